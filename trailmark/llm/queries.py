@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat_format, media_png, packing, url_filter
+from trailmark.llm import chat_format, media_png, mixing, packing, secret_trigram, url_filter
 from trailmark.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -25,6 +25,17 @@ def op5_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_png.media(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_secret_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_trigram.scan(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, lambda k: F.when(k == F.lit(r.kind), 1)))).cast("long").alias(f"n_{r.kind}") for r in secret_trigram.BASE]
+    return found.select("doc_id", *counts, secret_trigram.base_digest(F.col("spans")).alias("base_sha256"), secret_trigram.digest(F.col("spans")).alias("spans"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -33,9 +44,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_format, op5_media_png, op8_url_filter, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_format, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op10_packing)}
 
 ORACLE: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE_SQL,
     "op3_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
