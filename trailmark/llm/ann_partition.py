@@ -198,7 +198,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                z = router.logits(unit(_matrix(b.column("v"))))
+                z = router.logits(unit(_matrix(b.column("q"))))
                 best = np.argsort(-z, axis=1, kind="stable")[:, : router.probes].astype(np.int32)
                 probes = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, probes], names=["query_id", "q", "probes"])
