@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ann_partition, chat_format, media_png, mixing, packing, quality_gam, secret_trigram, url_filter
+from trailmark.llm import ann_partition, chat_format, media_png, mixing, packing, quality_gam, secret_trigram, token_counts, url_filter
 from trailmark.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -49,11 +49,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount(token_counts.build(table(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op3_chat_format, op4_ann_partition, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op3_chat_format, op4_ann_partition, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op9_token_counts, op10_packing)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
