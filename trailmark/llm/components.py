@@ -1,0 +1,31 @@
+"""Connected components of links between nodes, by distributed minimum labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailmark.llm.common import cut
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, label`` of every node of ``links`` (longs ``a``, ``b``): the label
+    is the smallest node of its component.
+
+    Each round takes the least label of all neighbours and then the label of
+    that label, so paths shorten by half. Sums by node are combined before the
+    shuffle, and joins leave large nodes to Spark's splitting of skewed
+    partitions. Each round is cut into the shared checkpoint folder.
+    """
+    ends = links.where("a <> b").select("a", "b")
+    both = cut(ends.union(ends.select("b", "a")).toDF("node", "other").distinct())
+    state = cut(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
+    while True:
+        known = state.select(F.col("node").alias("other"), F.col("label").alias("others"))
+        least = both.join(known, "other").groupBy("node").agg(F.min("others").alias("others"))
+        stepped = cut(state.join(least, "node").select("node", F.col("label").alias("was"), F.least("label", "others").alias("label")))
+        above = stepped.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        state = cut(stepped.join(above, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("was")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.select("node", "label")
+        state = state.select("node", "label")

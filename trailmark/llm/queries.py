@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ann_partition, chat_format, media_png, mixing, packing, quality_gam, secret_trigram, token_counts, url_filter
+from trailmark.llm import ann_partition, chat_format, jaccard_tree, media_png, mixing, packing, quality_gam, secret_trigram, token_counts, url_filter
 from trailmark.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -19,6 +19,14 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Three words and nine tenths.
+OP2 = jaccard_tree.Options(words=3, num=90, den=100)
+
+
+def op2_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.join(table(spark, sf_dir, "documents"), options=OP2)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
@@ -57,9 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op3_chat_format, op4_ann_partition, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_jaccard_tree, op3_chat_format, op4_ann_partition, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op9_token_counts, op10_packing)}
 
 ORACLE: dict[str, str] = {
+    "op2_jaccard_tree": jaccard_tree.oracle_sql(OP2.words, OP2.num, OP2.den),
     "op7_mixing": mixing.ORACLE_SQL,
     "op3_chat_format": r"""
 WITH turns AS (
