@@ -23,9 +23,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         known = state.select(F.col("node").alias("other"), F.col("label").alias("others"))
         least = both.join(known, "other").groupBy("node").agg(F.min("others").alias("others"))
-        stepped = cut(state.join(least, "node").select("node", F.col("label").alias("was"), F.least("label", "others").alias("label")))
+        stepped = cut(state.join(least, "node").select("node", F.col("label").alias("was"), F.least("label", "others").alias("label")), state)
         above = stepped.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        state = cut(stepped.join(above, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("was")).alias("moved")))
+        moved = stepped.join(above, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("was")).alias("moved"))
+        state = cut(moved, stepped)
         if state.where("moved").isEmpty():
             return state.select("node", "label")
-        state = state.select("node", "label")

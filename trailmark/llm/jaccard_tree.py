@@ -231,7 +231,8 @@ def tree_join(sets: list[np.ndarray], num: int, den: int, first: int = 0) -> lis
     everything = np.arange(len(sets))
     if 0 < first < len(sets):
         run(everything[:first], everything)
-    run(everything[first:], None)
+        everything = everything[first:]
+    run(everything, None)
     return out
 
 
@@ -374,17 +375,18 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
 
     def side(name: str) -> DataFrame:
         at = pairs.select("pair", "family", f"{name}.bucket", f"{name}.chunk")
-        return known.join(at, ["family", "bucket", "chunk"]).select("pair", "family", "c", "n", "label", "bitmap")
+        # Names of its own for each side: both come from the same table.
+        return known.join(at, ["family", "bucket", "chunk"]).select(*(F.col(x).alias(f"{name}_{x}") for x in ("pair", "c", "n", "label", "bitmap")))
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if len(left) and len(right):
-            width = min(len(v) for t in (left, right) for v in t.column("bitmap").to_pylist()) // 8
+            width = min(len(v) for t in (left, right) for v in t.column(4).to_pylist()) // 8
 
             def tree(t: pa.Table) -> tuple[SignatureTree, np.ndarray, np.ndarray]:
-                maps = np.concatenate([fold(np.frombuffer(v, dtype=U)[None, :], width) for v in t.column("bitmap").to_pylist()])
-                s = SignatureTree(maps, t.column("n").to_numpy())
-                return s, t.column("c").to_numpy()[s.order], t.column("label").to_numpy()[s.order]
+                maps = np.concatenate([fold(np.frombuffer(v, dtype=U)[None, :], width) for v in t.column(4).to_pylist()])
+                s = SignatureTree(maps, t.column(2).to_numpy())
+                return s, t.column(1).to_numpy()[s.order], t.column(3).to_numpy()[s.order]
 
             (a, ca, la), (b, cb, lb) = tree(left), tree(right)
             for p, q in leaf_pairs(a, b, num, den):
@@ -393,7 +395,7 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
         a_, b_ = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
-    maybe = side("l").groupBy("pair").cogroup(side("r").groupBy("pair")).applyInArrow(candidates, "a long, b long")
+    maybe = side("l").groupBy("l_pair").cogroup(side("r").groupBy("r_pair")).applyInArrow(candidates, "a long, b long")
     once = sets.select("c", "shingles").dropDuplicates(["c"])
     checked = maybe.join(once.withColumnsRenamed({"c": "a", "shingles": "sa"}), "a").join(once.withColumnsRenamed({"c": "b", "shingles": "sb"}), "b")
 
@@ -450,7 +452,8 @@ def oracle_sql(words: int, num: int, den: int) -> str:
     parts = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(words))
     return rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {parts}))
