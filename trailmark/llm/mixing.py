@@ -77,6 +77,20 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     )
 
 
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, max_sources: int = 1_000_000, broadcast_sources: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it.
+
+    The hash is computed on the row itself, so rows need no key to be found again.
+    """
+    _, plan = _plan(docs, id_col, text_col, source_col, weights, share, most, max_sources)
+    few = plan.count() <= broadcast_sources
+    plan = plan.select(F.col("name").alias("__name"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
+    joined = docs.withColumn("__h", _hash(id_col, text_col)).join(F.broadcast(plan) if few else plan.hint("shuffle_merge"), F.col(source_col).cast("string").eqNullSafe(F.col("__name")))
+    times = F.col("__whole") + F.when(F.col("__h") <= F.col("__threshold"), 1).otherwise(0)
+    copies = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return copies.drop("__h", "__name", "__whole", "__threshold", "__copy")
+
+
 def _plan(docs, id_col, text_col, source_col, weights, share, most, max_sources) -> tuple[DataFrame, DataFrame]:
     """The documents' compact table, and per source its size, target, whole copies and threshold."""
     spark = docs.sparkSession
