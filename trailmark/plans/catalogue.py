@@ -1,6 +1,272 @@
-"""All queries of the tracking engine, by name, with their SQL."""
+"""All queries of the tracking engine, by name, with their SQL.
+
+The driver's tables stand in for tracking tables: ``events`` for observations
+and scalar series, ``lineitem`` / ``part`` / ``orders`` for track states,
+detections and identities, ``embeddings`` for fragment vectors.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trailmark.functions import vectors as V
+from trailmark.operators import export, identity
+from trailmark.operators.query import View, windows
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def obs(spark: SparkSession, d: str) -> DataFrame:
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    e = table(spark, d, "events").withColumn("frame_idx", hour.cast("bigint"))
+    return e.select(
+        "event_id", F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("global_track_id"), (F.col("user_id") % 4).alias("local_track_id"), "frame_idx", (F.floor(F.col("frame_idx") / 144) + 1).cast("bigint").alias("epoch_id"),
+        (F.col("event_type") != "error").alias("is_matched"), F.col("event_type").isin("purchase", "signup").alias("confirmed"), F.col("value").alias("bbox_x1"),
+    )
+
+
+OBS = """WITH hours AS (SELECT *, date_sub('hour', TIMESTAMP '2024-01-01', ts) AS frame_idx FROM events),
+obs AS (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS global_track_id, user_id % 4 AS local_track_id, frame_idx,
+  CAST(floor(frame_idx / 144) AS BIGINT) + 1 AS epoch_id, event_type <> 'error' AS is_matched, event_type IN ('purchase', 'signup') AS confirmed, value AS bbox_x1 FROM hours)
+"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_obs(name: str, of, sql: str) -> None:
+    """A query that is one method chain over the observations."""
+    QUERIES[name] = lambda spark, d: of(View(obs(spark, d)))
+    ORACLE[name] = OBS + sql
+
+
+# ------------------------------------------------------------- filters and ranges
+COLUMNS = "event_id, global_track_id, frame_idx, epoch_id, is_matched, confirmed"
+_cols = lambda df: df.select(*COLUMNS.split(", "))
+on_obs("q_filter_chain", lambda v: _cols(v.global_ids([3, 7, 11]).epochs([1, 2]).matched_only().between(0, 200).df), f"SELECT {COLUMNS} FROM obs WHERE global_track_id IN (3, 7, 11) AND epoch_id IN (1, 2) AND is_matched AND frame_idx BETWEEN 0 AND 200")
+on_obs("q_global_id", lambda v: _cols(v.global_id(5).df), f"SELECT {COLUMNS} FROM obs WHERE global_track_id = 5")
+on_obs("q_epoch", lambda v: _cols(v.epoch(2).df), f"SELECT {COLUMNS} FROM obs WHERE epoch_id = 2")
+on_obs("q_local_track", lambda v: _cols(v.local_track(1, 2).df), f"SELECT {COLUMNS} FROM obs WHERE local_track_id = 1 AND epoch_id = 2")
+on_obs("q_at_frame", lambda v: _cols(v.at_frame(100).df), f"SELECT {COLUMNS} FROM obs WHERE frame_idx = 100")
+on_obs("q_frames_range", lambda v: _cols(v.frames(10, 60).df), f"SELECT {COLUMNS} FROM obs WHERE frame_idx BETWEEN 10 AND 60")
+on_obs("q_matched_only", lambda v: _cols(v.matched_only().df), f"SELECT {COLUMNS} FROM obs WHERE is_matched")
+on_obs("q_confirmed_only", lambda v: _cols(v.confirmed_only().df), f"SELECT {COLUMNS} FROM obs WHERE confirmed")
+on_obs("q_unassigned", lambda v: _cols(v.unassigned().df), f"SELECT {COLUMNS} FROM obs WHERE global_track_id IS NULL")
+on_obs("q_select_combined", lambda v: _cols(v.select(global_ids=[1, 2, 3], epochs=1, frames=(0, 143), matched=True).df), f"SELECT {COLUMNS} FROM obs WHERE global_track_id IN (1, 2, 3) AND epoch_id = 1 AND frame_idx BETWEEN 0 AND 143 AND is_matched")
+on_obs("q_distinct_ids", lambda v: v.available("global_track_id"), "SELECT DISTINCT global_track_id FROM obs WHERE global_track_id IS NOT NULL")
+on_obs("q_distinct_epochs", lambda v: v.available("epoch_id"), "SELECT DISTINCT epoch_id FROM obs WHERE epoch_id IS NOT NULL")
+
+# ------------------------------------------------------------- aggregations
+on_obs("q_local_tracks", lambda v: v.local_tracks(), "SELECT global_track_id, epoch_id, local_track_id, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, count(*) AS n_observations, CAST(count_if(is_matched) AS BIGINT) AS n_matched FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL")
+on_obs("q_ambiguous", lambda v: v.ambiguous(), "SELECT global_track_id, frame_idx, count(*) AS n_rows FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+on_obs("q_segment_lengths", lambda v: v.df.where("global_track_id is not null").groupBy("global_track_id").agg(F.count_distinct("frame_idx").alias("n_frames"), F.count("*").alias("n_rows")), "SELECT global_track_id, count(DISTINCT frame_idx) AS n_frames, count(*) AS n_rows FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL")
+
+
+def _keyed_sample(v: View) -> DataFrame:
+    order = Window.partitionBy("global_track_id").orderBy("event_id")
+    return v.df.where("global_track_id is not null").withColumn("place", F.row_number().over(order)).where("place <= 5").select("global_track_id", "event_id", F.col("place").cast("bigint").alias("place"))
+
+
+on_obs("q_sample_by_key", _keyed_sample, "SELECT global_track_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY global_track_id ORDER BY event_id) AS place FROM obs WHERE global_track_id IS NOT NULL) WHERE place <= 5")
+QUERIES["q_sample_per_global"] = lambda spark, d: View(obs(spark, d)).sample_per_global(3, seed=7)
+
+# ------------------------------------------------------------- windows on a dense axis
+_seen = lambda v: v.df.where("global_track_id is not null").groupBy("global_track_id", "frame_idx").agg(F.min("event_id").alias("event_id"))
+SEEN = "seen AS (SELECT global_track_id, frame_idx, min(event_id) AS event_id FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL), ids AS (SELECT DISTINCT global_track_id FROM seen)"
+on_obs("q_padded_window", lambda v: windows(_seen(v), [20], 24).drop("window_start"), f", {SEEN}\nSELECT i.global_track_id, f.frame_idx, s.event_id, s.event_id IS NOT NULL AS frame_mask FROM ids i CROSS JOIN (SELECT unnest(range(20, 44)) AS frame_idx) f LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx = f.frame_idx")
+on_obs("q_sliding_windows", lambda v: windows(_seen(v), range(0, 129, 16), 32).groupBy("global_track_id", "window_start").agg(F.count_if("frame_mask").alias("n_seen"), F.count("*").alias("n_frames")), f", {SEEN}\nSELECT i.global_track_id, w.window_start, CAST(count(s.event_id) AS BIGINT) AS n_seen, CAST(32 AS BIGINT) AS n_frames FROM ids i CROSS JOIN (SELECT unnest(range(0, 129, 16)) AS window_start) w LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx BETWEEN w.window_start AND w.window_start + 31 GROUP BY ALL")
+
+
+# ------------------------------------------------------------- joins
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_partkey END AS det_id, p_size AS payload, o_custkey AS global_track_id
+FROM lineitem LEFT JOIN part ON p_partkey = CASE WHEN l_returnflag = 'R' THEN -1 ELSE l_partkey END LEFT JOIN orders ON o_orderkey = l_orderkey""")
+def q_export(spark: SparkSession, d: str) -> DataFrame:
+    """Track states with their detections' payload and identities, -1 made null."""
+    states = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.col("l_partkey")).alias("det"))
+    prepared, mapping = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("payload")), table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("global_track_id"))
+    rows = states.join(prepared, states["det"] == prepared["p_partkey"], "left").join(mapping, states["l_orderkey"] == mapping["o_orderkey"], "left")
+    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("det") >= 0, F.col("det")).alias("det_id"), "payload", "global_track_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def q_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return export.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+def q_split_matched(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+def q_split_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+_BOXES = "SELECT frame_idx, event_id AS det_id, bbox_x1, bbox_x1 AS bbox_y1, bbox_x1 + 10 AS bbox_x2, bbox_x1 + 20 AS bbox_y2 FROM obs"
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return obs(spark, d).select("frame_idx", F.col("event_id").alias("det_id"), "bbox_x1", F.col("bbox_x1").alias("bbox_y1"), (F.col("bbox_x1") + 10).alias("bbox_x2"), (F.col("bbox_x1") + 20).alias("bbox_y2"))
+
+
+PAIRS = f""", b AS ({_BOXES}), raw AS (SELECT a.frame_idx, a.det_id, b.det_id AS other_id,
+  greatest(0, least(a.bbox_x2, b.bbox_x2) - greatest(a.bbox_x1, b.bbox_x1)) * greatest(0, least(a.bbox_y2, b.bbox_y2) - greatest(a.bbox_y1, b.bbox_y1)) AS common,
+  sqrt((a.bbox_x1 + a.bbox_x2 - b.bbox_x1 - b.bbox_x2) ** 2 / 4 + (a.bbox_y1 + a.bbox_y2 - b.bbox_y1 - b.bbox_y2) ** 2 / 4) / sqrt(200.0) AS dist
+  FROM b a JOIN b ON a.frame_idx = b.frame_idx AND a.det_id <> b.det_id),
+pairs AS (SELECT frame_idx, det_id, other_id, common / (400 - common) AS iou, dist FROM raw)
+"""
+
+
+@query(OBS + PAIRS + "SELECT frame_idx, det_id, other_id, round(iou, 6) AS iou, round(dist, 6) AS center_dist_norm FROM pairs")
+def q_pair_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return export.overlaps(_boxes(spark, d)).select("frame_idx", "det_id", "other_id", F.round("iou", 6).alias("iou"), F.round("center_dist_norm", 6).alias("center_dist_norm"))
+
+
+@query(OBS + PAIRS + ", r AS (SELECT *, round(iou, 6) AS v, round(dist, 6) AS w FROM pairs) SELECT frame_idx, det_id, max(v) AS max_overlap_iou, CASE WHEN max(v) > 0 THEN arg_max(other_id, (v, -other_id)) END AS max_overlap_det_idx, min(w) AS min_center_dist_norm, arg_min(other_id, (w, other_id)) AS center_dist_norm_det_idx FROM r GROUP BY ALL")
+def q_overlap_extrema(spark: SparkSession, d: str) -> DataFrame:
+    pairs = export.overlaps(_boxes(spark, d)).withColumns({"iou": F.round("iou", 6), "center_dist_norm": F.round("center_dist_norm", 6)})
+    return export.overlap_extrema(pairs)
+
+
+# ------------------------------------------------------------- ordered functions
+@query("""SELECT event_id, user_id, CAST(1 + sum(rise) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS epoch_id FROM (
+SELECT *, CASE WHEN event_type = 'error' AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') <> 'error' THEN 1 ELSE 0 END AS rise FROM events)""")
+def q_epoch_ids(spark: SparkSession, d: str) -> DataFrame:
+    frames = table(spark, d, "events").withColumn("reset", F.col("event_type") == "error")
+    return export.epochs(frames, "reset", ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "epoch_id")
+
+
+def _series(spark: SparkSession, d: str, value) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", value.alias("value"))
+    return e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]).alias("values"))
+
+
+NUMBERED = "WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM events)"
+
+
+@query(NUMBERED + ", f AS (SELECT user_id, k, m, 0.2::double + 0.8::double * greatest(0, least(1, value / 100)) AS g FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, n.m, f.g * (1 - 0.8::double) + 0.8::double * greatest(0, least(1, n.value / 100)) FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1) SELECT user_id, round(g, 6) AS g FROM f WHERE k = m")
+def q_ema_fold(spark: SparkSession, d: str) -> DataFrame:
+    return _series(spark, d, F.col("value") / 100).select("user_id", F.round(V.ema(F.col("values"), 0.8), 6).alias("g"))
+
+
+KALMAN = """, f AS (SELECT user_id, k, m, value AS x, 0::double AS v, 1000::double AS a, 0::double AS b, 1000::double AS c FROM n WHERE k = 1 UNION ALL
+SELECT user_id, k, m, xp + ap / (ap + 5000) * (z - xp), v + bp / (ap + 5000) * (z - xp), ap * 5000 / (ap + 5000), bp * 5000 / (ap + 5000), cp - bp * bp / (ap + 5000) FROM (
+SELECT n.user_id, n.k, n.m, n.value AS z, f.v, f.x + f.v * (1 / 30::double) AS xp, f.a + f.b * (2 / 30::double) + f.c * (1 / 30::double) ** 2 + 1e7 * (1 / 30::double) ** 4 / 4 AS ap, f.b + f.c * (1 / 30::double) + 1e7 * (1 / 30::double) ** 3 / 2 AS bp, f.c + 1e7 * (1 / 30::double) ** 2 AS cp
+FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)) SELECT user_id, round(x, 6) AS x, round(v, 6) AS v, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM f WHERE k = m"""
+
+
+@query(NUMBERED + KALMAN)
+def q_kalman_fold(spark: SparkSession, d: str) -> DataFrame:
+    s = _series(spark, d, F.col("value")).select("user_id", V.kalman_axis(F.col("values")).alias("s"))
+    return s.select("user_id", *(F.round(f"s.{x}", 6).alias(x) for x in "xvabc"))
+
+
+@query(OBS + ", t AS (SELECT DISTINCT global_track_id, frame_idx FROM obs WHERE global_track_id IS NOT NULL AND is_matched) SELECT global_track_id, frame_idx AS last_frame FROM (SELECT *, lead(frame_idx) OVER (PARTITION BY global_track_id ORDER BY frame_idx) AS following FROM t) WHERE following IS NOT NULL AND following <> frame_idx + 1")
+def q_absent_after(spark: SparkSession, d: str) -> DataFrame:
+    t = obs(spark, d).where("global_track_id is not null and is_matched").select("global_track_id", "frame_idx").distinct()
+    after = t.withColumn("following", F.lead("frame_idx").over(Window.partitionBy("global_track_id").orderBy("frame_idx")))
+    return after.where("following is not null and following <> frame_idx + 1").select("global_track_id", F.col("frame_idx").alias("last_frame"))
+
+
+@query(OBS + "SELECT epoch_id, global_track_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY epoch_id ORDER BY hits DESC, global_track_id) AS place FROM (SELECT epoch_id, global_track_id, count(*) AS hits FROM obs WHERE is_matched AND global_track_id IS NOT NULL GROUP BY ALL)) WHERE place <= 4")
+def q_topk_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = obs(spark, d).where("is_matched and global_track_id is not null").groupBy("epoch_id", "global_track_id").agg(F.count("*").alias("hits"))
+    order = Window.partitionBy("epoch_id").orderBy(F.desc("hits"), "global_track_id")
+    return hits.withColumn("place", F.row_number().over(order)).where("place <= 4").drop("place")
+
+
+# ------------------------------------------------------------- scalar functions
+@query("SELECT event_id, round(greatest(0, least(1, ln((value + 1e-6) / (min(value) OVER (PARTITION BY user_id) + 1e-6)) / ln(3::double))), 6) AS penalty FROM events")
+def q_log_ratio_penalty(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("best", F.min("value").over(Window.partitionBy("user_id")))
+    return e.select("event_id", F.round(V.log_ratio_penalty(F.col("value"), F.col("best"), 3.0), 6).alias("penalty"))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 <= 0.04 THEN 'very_close' WHEN value / 100 <= 0.15 THEN 'near' ELSE 'far' END AS status FROM events")
+def q_closeness(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", V.closeness(F.col("value") / 100).alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN greatest(0, least(1, value / 20)) ELSE 0 END AS relax FROM events")
+def q_miss_relaxation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", V.miss_relaxation(F.col("event_type") == "purchase", F.col("value")).alias("relax"))
+
+
+@query("SELECT event_type, round(sum(value * (user_id + 1)) / greatest(sum(user_id + 1), 1e-12), 6) AS loss FROM events GROUP BY ALL")
+def q_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("w", F.col("user_id") + 1)
+    return e.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("w")) / F.greatest(F.sum("w").cast("double"), F.lit(1e-12)), 6).alias("loss"))
+
+
+@query("SELECT event_id, round(y * dist * dist + (1 - y) * greatest(1 - dist, 0) ** 2, 6) AS loss FROM (SELECT event_id, user_id % 2 AS y, value / 50 AS dist FROM events)")
+def q_contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.round(V.contrastive(F.col("user_id") % 2, F.col("value") / 50, 1.0), 6).alias("loss"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS squared_norm FROM embeddings")
+def q_squared_norm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared_norm"))
+
+
+# ------------------------------------------------------------- similarity graph
+EDGES = "SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+
+
+def _edges(spark: SparkSession, d: str, threshold: float) -> DataFrame:
+    return identity.candidate_edges(table(spark, d, "embeddings"), threshold, id_col="vec_id", epoch_col="label", vector="embedding")
+
+
+@query(f"SELECT i, j, round(sim, 6) AS sim FROM ({EDGES}) WHERE sim >= 0.3")
+def q_candidate_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d, 0.3).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+MEANS = "WITH p AS (SELECT label, unnest(embedding)::double AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM p GROUP BY ALL), v AS (SELECT label, list(x ORDER BY pos) AS mean FROM m GROUP BY ALL)"
+
+
+@query(MEANS + " SELECT a.label AS i, b.label AS j, round(list_cosine_similarity(a.mean, b.mean), 6) AS sim FROM v a JOIN v b ON a.label < b.label")
+def q_mean_similarity(spark: SparkSession, d: str) -> DataFrame:
+    means = identity.mean_vectors(table(spark, d, "embeddings"), ["label"], "embedding", least=1).withColumn("epoch_id", F.col("label"))
+    return identity.candidate_edges(means, -2.0, id_col="label").select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query(f"SELECT i, j, CASE WHEN round(sim, 6) >= 0.3 THEN CASE WHEN (SELECT label FROM embeddings WHERE vec_id = i) = (SELECT label FROM embeddings WHERE vec_id = j) THEN 'REJECT_SAME_EPOCH' ELSE 'PASS_PAIR' END END AS status FROM ({EDGES}) WHERE round(sim, 6) >= 0.3")
+def q_pair_status(spark: SparkSession, d: str) -> DataFrame:
+    epoch = table(spark, d, "embeddings").select("vec_id", "label")
+    e = _edges(spark, d, 0.2999).where(F.round("sim", 6) >= 0.3)
+    e = e.join(epoch.toDF("i", "a"), "i").join(epoch.toDF("j", "b"), "j")
+    return e.select("i", "j", F.when(F.col("a") == F.col("b"), "REJECT_SAME_EPOCH").otherwise("PASS_PAIR").alias("status"))
+
+
+@query()
+def q_clique_groups(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d, 0.3)
+    one = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct().withColumn("label", F.lit(0).cast("bigint"))
+    return identity.identities(edges, one, least=2)
+
+
+# ------------------------------------------------------------- sets
+_ids = lambda spark, d, kind: table(spark, d, "events").where(F.col("event_type") == kind).select("user_id")
+for _name, _op, _sql in (("q_set_difference", "subtract", "EXCEPT"), ("q_set_intersection", "intersect", "INTERSECT"), ("q_set_union_all", "unionAll", "UNION ALL")):
+    QUERIES[_name] = lambda spark, d, op=_op: getattr(_ids(spark, d, "error"), op)(_ids(spark, d, "purchase"))
+    ORACLE[_name] = f"SELECT user_id FROM events WHERE event_type = 'error' {_sql} SELECT user_id FROM events WHERE event_type = 'purchase'"
