@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 
 from trailmark.functions import vectors as V
 from trailmark.operators import export, identity
+from trailmark.operators.components import components
 from trailmark.operators.query import View, windows
+from trailmark.sources.tables import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -260,9 +262,8 @@ def q_pair_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_clique_groups(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d, 0.3)
-    one = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct().withColumn("label", F.lit(0).cast("bigint"))
-    return identity.identities(edges, one, least=2)
+    edges = cut(_edges(spark, d, 0.3))
+    return identity.identities(edges, components(edges.toDF("a", "b", "sim")), least=2)
 
 
 # ------------------------------------------------------------- sets
