@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,45 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from trailmark.sources.tables import cut, shared_dir
+
 #: The code points that end a word in the word-counting contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It lies in the cluster's ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) does a temporary folder stand in for it.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame, *replaced: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This drops the lineage, survives lost executors and, unlike ``checkpoint()``,
-    gives the planner the real size (a checkpointed plan keeps its estimate, and
-    estimates of joins in a loop multiply without bound). ``replaced`` are earlier
-    results of this function that are no longer needed; their files go at once,
-    all others when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    for old in replaced:
-        gone = jvm.org.apache.hadoop.fs.Path(old._cut_path)
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller zero-copy batches, so that few long texts are held decoded at once."""
     for b in batches:
