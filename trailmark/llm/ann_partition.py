@@ -72,7 +72,7 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 12
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     cuts = np.searchsorted(a, np.arange(len(x) + 1))
-    sizes, limit = np.bincount(label, minlength=parts), int(np.ceil(len(x) / parts * slack))
+    sizes, limit = np.bincount(label, minlength=parts), int(np.ceil(len(x) / parts * slack - 1e-9))
     for _ in range(rounds):
         moved = 0
         for v in range(len(x)):
