@@ -15,6 +15,7 @@ from trailmark.functions import vectors as V
 from trailmark.operators import export, identity
 from trailmark.operators.components import components
 from trailmark.operators.query import View, windows
+from trailmark.operators.tracking import track
 from trailmark.sources.tables import cut
 
 QUERIES: dict = {}
@@ -266,6 +267,13 @@ def q_clique_groups(spark: SparkSession, d: str) -> DataFrame:
     return identity.identities(edges, components(edges.toDF("a", "b", "sim")), least=2)
 
 
+# ------------------------------------------------------------- tracking
+@query()
+def q_tracking_fold(spark: SparkSession, d: str) -> DataFrame:
+    seen = obs(spark, d).select(F.col("local_track_id").cast("string").alias("video"), "epoch_id", "frame_idx", F.col("event_id").alias("det_id"), (F.col("bbox_x1") * 10).alias("center_x"), F.lit(0.0).alias("center_y"))
+    return track(seen)
+
+
 # ------------------------------------------------------------- sets
 _ids = lambda spark, d, kind: table(spark, d, "events").where(F.col("event_type") == kind).select("user_id")
 for _name, _op, _sql in (("q_set_difference", "subtract", "EXCEPT"), ("q_set_intersection", "intersect", "INTERSECT"), ("q_set_union_all", "unionAll", "UNION ALL")):
