@@ -27,10 +27,20 @@ def masked_cosine(a: Column, b: Column, mask: Column) -> Column:
     return cosine(keep(a), keep(b))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed one time, also where ``use`` needs it
+    inside a lambda (there Spark would compute an expression again for each element)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column, floor: float = 1e-8) -> Column:
     """Scaled to length 1; null if empty, not finite or of a norm up to ``floor``."""
-    n = norm(a)
-    return F.when((F.size(a) > 0) & ~F.isnan(n) & (n < float("inf")) & (n > floor), F.transform(a, lambda x: x.cast("double") / n))
+
+    def scaled(s: Column) -> Column:
+        ok = (F.size(s["a"]) > 0) & ~F.isnan(s["n"]) & (s["n"] < float("inf")) & (s["n"] > floor)
+        return F.when(ok, F.transform(s["a"], lambda x: x.cast("double") / s["n"]))
+
+    return once(F.struct(a.alias("a"), norm(a).alias("n")), scaled)
 
 
 def _times(v: Column, w: float) -> Column:
@@ -46,7 +56,8 @@ def fuse(parts: list[tuple[Column, float, int]]) -> tuple[Column, Column]:
     scaled = [_times(f, w) for f, (_, w, _) in zip(filled, parts, strict=True)]
     total = sum(w for _, w, _ in parts if w > 0)
     seen = sum((F.when(u.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for u, (_, w, _) in zip(units, parts, strict=True)), F.lit(0.0))
-    return F.when(units[0].isNotNull(), unit(F.concat(*scaled))), F.when(units[0].isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), seen / F.lit(total)))).otherwise(F.lit(0.0))
+    whole = once(F.when(units[0].isNotNull(), F.concat(*scaled)), unit)
+    return whole, F.when(units[0].isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), seen / F.lit(total)))).otherwise(F.lit(0.0))
 
 
 def box_iou(a: list[Column], b: list[Column]) -> Column:
@@ -100,3 +111,37 @@ def kalman_axis(values: Column, dt: float = 1 / 30, process: float = 1e7, measur
 
     first = F.struct(values[0].alias("x"), F.lit(0.0).alias("v"), F.lit(p0).alias("a"), F.lit(0.0).alias("b"), F.lit(p0).alias("c"))
     return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), first, step)
+
+
+def overlap_zone(distance: Column, stable: Column, zones: tuple[tuple[str, float, float], ...] = (("near", 0.55, 0.003), ("mid", 0.85, 0.005), ("far", 1.20, 0.007)), default: float = 0.008) -> tuple[Column, Column]:
+    """The overlap threshold of a pair by its scaled distance, and why; only stable pairs are graded."""
+    value, reason = F.lit(default), F.lit("default")
+    for name, limit, threshold in reversed(zones):
+        hit = stable & (distance <= limit)
+        value, reason = F.when(hit, F.lit(threshold)).otherwise(value), F.when(hit, F.lit(name)).otherwise(reason)
+    return value, reason
+
+
+def clip_box(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float) -> Column:
+    """A box inside an image, truncated to whole pixels; null where nothing is left."""
+    inside = [F.greatest(F.lit(0.0), F.least(F.lit(float(m)), v)).cast("int") for v, m in ((x1, width - 1), (y1, height - 1), (x2, width - 1), (y2, height - 1))]
+    return F.when((inside[2] > inside[0]) & (inside[3] > inside[1]), F.array(*inside))
+
+
+def node_name(epoch: Column, local: Column) -> Column:
+    return F.format_string("E%d:T%d", epoch, local)
+
+
+def centred(points: Column, root: int) -> Column:
+    """Points minus the root point, unless that is not finite or next to the origin."""
+    r = points[root]
+    usable = ~F.isnan(r[0]) & ~F.isnan(r[1]) & (F.abs(r[0]) + F.abs(r[1]) >= 1e-6)
+    return F.when(usable, F.transform(points, lambda p: F.array(p[0] - r[0], p[1] - r[1]))).otherwise(points)
+
+
+def keypoint_box(points: Column, conf: Column, least: float) -> Column:
+    """x1, y1, x2, y2 around the points of enough confidence; null with no extent."""
+    good = F.filter(F.arrays_zip(points.alias("p"), conf.alias("c")), lambda z: (z["c"] >= least) & ~F.isnan(z["p"][0]) & ~F.isnan(z["p"][1]))
+    xs, ys = F.transform(good, lambda z: z["p"][0]), F.transform(good, lambda z: z["p"][1])
+    box = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    return F.when((F.size(good) > 0) & (F.array_max(xs) > F.array_min(xs)) & (F.array_max(ys) > F.array_min(ys)), box)
