@@ -99,3 +99,15 @@ def test_components(spark, one_task):
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 21: 20, 30: 30, 31: 30, 32: 30, 33: 30, 34: 30}
     assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
+
+
+def test_pair_files(spark, tmp_path):
+    for kind, names in (("A", ["1_x.jpg", "2_y.jpg"]), ("B", ["1_z.jpg", "2_q.jpg"]), ("Label", ["1.txt", "2__w_050.txt"])):
+        (tmp_path / kind).mkdir()
+        for n in names:
+            (tmp_path / kind / n).write_text("1\n" if n[0] == "1" else "0")
+    rows = results.pairs(spark, str(tmp_path)).orderBy("pair_id").collect()
+    assert [(r["pair_id"], r["label"], r["sample_weight"]) for r in rows] == [("1", 1, 1.0), ("2", 0, 0.5)]
+    (tmp_path / "B" / "2_q.jpg").unlink()
+    with pytest.raises(ValueError, match="pair 2"):
+        results.pairs(spark, str(tmp_path))

@@ -111,3 +111,11 @@ def q_attempt_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("attempts"), F.count_if(F.col("value") > 50).alias("rejected"), F.min_by("event_id", F.struct("value", "event_id")).alias("best"))
 
 
+
+
+@query("""WITH p AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+m AS (SELECT vec_id, list_avg(x) AS mx, list_avg(y) AS my, list_dot_product(x, x) / 64 AS xx, list_dot_product(y, y) / 64 AS yy, list_dot_product(x, y) / 64 AS xy FROM p)
+SELECT vec_id, round((2 * mx * my + 1e-4) * (2 * (xy - mx * my) + 9e-4) / ((mx * mx + my * my + 1e-4) * (xx - mx * mx + yy - my * my + 9e-4)), 6) AS ssim FROM m""")
+def q_global_ssim(spark: SparkSession, d: str) -> DataFrame:
+    a, b = table(spark, d, "embeddings").alias("a"), table(spark, d, "embeddings").alias("b")
+    return a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(V.global_ssim(F.col("a.embedding"), F.col("b.embedding")), 6).alias("ssim"))

@@ -91,3 +91,30 @@ def write_manifest(spark: SparkSession, path: str, **values) -> None:
     out.close()
     fs.delete(where, False)
     fs.rename(part, where)
+
+
+def pairs(spark: SparkSession, root: str) -> DataFrame:
+    """``pair_id, a_path, b_path, label, sample_weight`` of a training folder.
+
+    Files of ``A``, ``B`` and ``Label`` belong together by the number that starts
+    their names; a label file's name may end in ``__w_NNN``, a weight in
+    hundredths. An A file without its B or label is a ValueError.
+    """
+
+    def listed(kind: str) -> DataFrame:
+        files = spark.read.format("binaryFile").load(f"{root}/{kind}")
+        return files.withColumn("pair_id", F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(\d+)", 1)).where("pair_id <> ''")
+
+    a, b = listed("A").select("pair_id", F.col("path").alias("a_path")), listed("B").select("pair_id", F.col("path").alias("b_path"))
+    weight = F.regexp_extract("path", r"__w_(\d+)\.[^./]*$", 1)
+    label = listed("Label").select("pair_id", F.trim(F.decode("content", "UTF-8")).cast("int").alias("label"), F.when(weight != "", weight.cast("double") / 100).otherwise(1.0).alias("sample_weight"))
+    for name, other in (("B", b), ("Label", label)):
+        missing = a.join(other, "pair_id", "left_anti").first()
+        if missing:
+            raise ValueError(f"pair {missing['pair_id']} has no file in {name}")
+    return a.join(b, "pair_id").join(label, "pair_id")
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """A similarity graph as a table of its edges, by first node."""
+    edges.select("i", "j", "sim").sortWithinPartitions("i", "j").write.mode("overwrite").parquet(path)
