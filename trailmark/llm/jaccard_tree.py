@@ -50,6 +50,8 @@ from trailmark.llm.shingles import U, fingerprint, mix, shingle_sets
 from trailmark.operators.components import components
 
 LOW = U(0xFFFFFFFF)
+#: Chunks whose bitmaps meet in one task.
+WIDE = 8
 
 
 # ---------------------------------------------------------------- routing
@@ -365,18 +367,21 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
     """Links between chunks of large families whose ends are not yet connected."""
     num, den = options.num, options.den
     labels = components(links).select(F.col("node").alias("c"), F.col("label").alias("label"))
-    known = cut(sets.join(labels, "c", "left").select("c", "n", "family", "bucket", "chunk", "bitmap", F.coalesce("label", "c").alias("label")).dropDuplicates(["c"]))
-    nodes = cut(known.groupBy("family", "bucket", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one")))
+    # Bitmaps are an eighth of the sets, so eight chunks fit where one did, and each
+    # goes to fewer pairs. A wide chunk is joined with itself as well.
+    wide = F.floor(F.col("chunk") / WIDE).cast("int").alias("wide")
+    known = cut(sets.join(labels, "c", "left").select("c", "n", "family", "bucket", wide, "bitmap", F.coalesce("label", "c").alias("label")).dropDuplicates(["c"]))
+    nodes = cut(known.groupBy("family", "bucket", "wide").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one")))
     x, y = nodes.alias("x"), nodes.alias("y")
-    after = (F.col("y.bucket") == F.col("x.bucket") + 1) | (F.col("y.bucket") == F.col("x.bucket")) & (F.col("y.chunk") > F.col("x.chunk"))
+    after = (F.col("y.bucket") == F.col("x.bucket") + 1) | (F.col("y.bucket") == F.col("x.bucket")) & (F.col("y.wide") >= F.col("x.wide"))
     open_ = ~(F.col("x.one") & F.col("y.one") & (F.col("x.label") == F.col("y.label"))) & (F.col("x.high") * den >= F.col("y.low") * num)
     pairs = x.join(y, F.col("x.family").eqNullSafe(F.col("y.family")) & after & open_)
-    pairs = cut(pairs.select(F.col("x.family").alias("family"), F.struct("x.bucket", "x.chunk").alias("l"), F.struct("y.bucket", "y.chunk").alias("r")).withColumn("pair", F.xxhash64("family", "l.bucket", "l.chunk", "r.bucket", "r.chunk")))
+    pairs = cut(pairs.select(F.col("x.family").alias("family"), F.struct("x.bucket", "x.wide").alias("l"), F.struct("y.bucket", "y.wide").alias("r")).withColumn("pair", F.xxhash64("family", "l.bucket", "l.wide", "r.bucket", "r.wide")))
 
     def side(name: str) -> DataFrame:
-        at = pairs.select("pair", "family", f"{name}.bucket", f"{name}.chunk")
+        at = pairs.select("pair", "family", f"{name}.bucket", f"{name}.wide")
         # Names of its own for each side: both come from the same table.
-        return known.join(at, ["family", "bucket", "chunk"]).select(*(F.col(x).alias(f"{name}_{x}") for x in ("pair", "c", "n", "label", "bitmap")))
+        return known.join(at, ["family", "bucket", "wide"]).select(*(F.col(x).alias(f"{name}_{x}") for x in ("pair", "c", "n", "label", "bitmap")))
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -396,6 +401,7 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
         return pa.table([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
     maybe = side("l").groupBy("l_pair").cogroup(side("r").groupBy("r_pair")).applyInArrow(candidates, "a long, b long")
+    maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     once = sets.select("c", "shingles").dropDuplicates(["c"])
     checked = maybe.join(once.withColumnsRenamed({"c": "a", "shingles": "sa"}), "a").join(once.withColumnsRenamed({"c": "b", "shingles": "sb"}), "b")
 
