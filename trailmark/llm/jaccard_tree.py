@@ -320,11 +320,13 @@ def class_links(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame
     members = families.select(F.col("node").alias("c"), F.col("label").alias("family")).join(reps, "c").join(weights, "c", "left").select("c", "family", "r.*", F.coalesce("weight", F.lit(0)).alias("weight"))
     # Size buckets of a ratio of den / num: partners are in the same or the next one.
     members = cut(members.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")))
-    size = members.groupBy("family").agg(F.count("c").alias("members"), F.sum("n").alias("shingles"))
+    # By bucket first, combined before the shuffle, so a large family is a few rows.
+    held = members.groupBy("family", "bucket").agg(F.count("c").alias("n"), F.sum("n").alias("s"))
+    size = held.groupBy("family").agg(F.sum("n").alias("members"), F.sum("s").alias("shingles"))
     size = size.withColumn("large", (F.col("members") > options.chunk) | (F.col("shingles") > options.chunk_shingles) & (F.col("members") > 2))
-    totals = size.where(~F.col("large")).agg(F.count("family").alias("n"), F.sum("shingles").alias("s"), F.sum("members").alias("m")).first()
+    totals = size.where(~F.col("large")).agg(F.sum("shingles").alias("s"), F.sum("members").alias("m")).first()
     heaps = max(1, math.ceil((totals["s"] or 0) / options.chunk_shingles), math.ceil((totals["m"] or 0) / (4 * options.chunk)))
-    parts = members.join(size, "family").groupBy("family", "bucket", "large").agg(F.count("c").alias("n"), F.sum("n").alias("s"))
+    parts = held.join(size.select("family", "large"), "family")
     parts = cut(parts.where("large").select("family", "bucket", F.ceil(F.greatest(F.col("n") / options.chunk, F.col("s") / options.chunk_shingles)).cast("int").alias("chunks")))
     placed = members.join(parts, ["family", "bucket"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("c"), "chunks").cast("int")))
     # One text of each class, by its row's id and text hash.
