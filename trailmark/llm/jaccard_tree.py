@@ -41,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,8 +51,8 @@ from trailmark.llm.shingles import U, fingerprint, mix, shingle_sets
 from trailmark.operators.components import components
 
 LOW = U(0xFFFFFFFF)
-#: Chunks whose bitmaps meet in one task.
-WIDE = 8
+#: Chunks whose bitmaps meet in one task, and the bytes that they may hold.
+WIDE, WIDE_BYTES = 8, 8_000_000
 
 
 # ---------------------------------------------------------------- routing
@@ -369,9 +370,12 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
     """Links between chunks of large families whose ends are not yet connected."""
     num, den = options.num, options.den
     labels = components(links).select(F.col("node").alias("c"), F.col("label").alias("label"))
-    # Bitmaps are an eighth of the sets, so eight chunks fit where one did, and each
-    # goes to fewer pairs. A wide chunk is joined with itself as well.
-    wide = F.floor(F.col("chunk") / WIDE).cast("int").alias("wide")
+    # Bitmaps are an eighth of the sets or so, hence several chunks fit where one
+    # did, and each goes to fewer pairs; how many, follows from the sizes in a
+    # bucket (two bytes a shingle at most). A wide chunk is joined with itself as well.
+    heaviest = 2 * options.chunk * F.pow(F.lit(den / num), F.col("bucket") + 1)
+    width = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(WIDE_BYTES / heaviest)))
+    wide = F.floor(F.col("chunk") / width).cast("int").alias("wide")
     known = cut(sets.join(labels, "c", "left").select("c", "n", "family", "bucket", wide, "bitmap", F.coalesce("label", "c").alias("label")).dropDuplicates(["c"]))
     nodes = cut(known.groupBy("family", "bucket", "wide").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one")))
     x, y = nodes.alias("x"), nodes.alias("y")
@@ -388,10 +392,12 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if len(left) and len(right):
-            width = min(len(v) for t in (left, right) for v in t.column(4).to_pylist()) // 8
+            width = min(pa.compute.min(pa.compute.binary_length(t.column(4))).as_py() for t in (left, right)) // 8
 
             def tree(t: pa.Table) -> tuple[SignatureTree, np.ndarray, np.ndarray]:
-                maps = np.concatenate([fold(np.frombuffer(v, dtype=U)[None, :], width) for v in t.column(4).to_pylist()])
+                maps = np.empty((len(t), width), dtype=U)
+                for row, v in enumerate(t.column(4)):
+                    maps[row] = fold(np.frombuffer(v.as_buffer(), dtype=U)[None, :], width)[0]
                 s = SignatureTree(maps, t.column(2).to_numpy())
                 return s, t.column(1).to_numpy()[s.order], t.column(3).to_numpy()[s.order]
 
