@@ -58,6 +58,20 @@ def test_search_edges(spark):
     assert ann_partition.search(df.where("vec_id = 7"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(12)
+    once = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    want = brute_force(once)
+    close = next(j for j, _ in want[0])
+    near = [(close, [c + e for c in dict(once)[close]]) for e in (1e-3, -1e-3, 2e-3, -2e-3, 3e-3)]  # one id, six vectors
+    for rows, ask in ((once * 2, want), (once + [r for r in once if r[0] == close] * 6, want), (once + near, want)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann_partition.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert {q: sorted(v) for q, v in got.items()} == {q: sorted(i for i, _ in v) for q, v in ask.items()}
+
+
 def test_parts_are_balanced():
     x = ann_partition.unit(np.random.default_rng(3).normal(size=(600, 8)))
     label = ann_partition.balanced_parts(x, ann_partition.neighbours(x, 8), 6)

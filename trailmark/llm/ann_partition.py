@@ -203,6 +203,8 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
                 probes = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, probes], names=["query_id", "q", "probes"])
 
+    # Copies of a row say nothing new; without them one id cannot fill a chunk.
+    rows = rows.groupBy("vec_id", "v").agg(F.max("asked").alias("asked"))
     index = cut(rows.mapInArrow(place, "vec_id long, v array<double>, asked boolean, part int"))
     queries = cut(index.where("asked").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")).mapInArrow(probe, "query_id long, q array<double>, probes array<int>").select("query_id", "q", F.explode("probes").alias("part")))
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
@@ -220,15 +222,19 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         if not len(a) or not len(b):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         ids, x = a.column("vec_id").to_numpy(), unit(_matrix(a.column("v")))
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id]
+        firsts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # all rows of an id are in this chunk
         out: list[tuple] = []
         for i in range(0, len(b), 512):
             some = b.slice(i, 512)
             asked_ids, y = some.column("query_id").to_numpy(), unit(_matrix(some.column("q")))
             s = y @ x.T
             s[asked_ids[:, None] == ids[None, :]] = -np.inf
+            best = np.maximum.reduceat(s, firsts, axis=1)  # of each id; the cut counts ids, not rows
+            m = min(k, len(firsts))
             for row, (query, vector) in enumerate(zip(asked_ids, y, strict=True)):
-                m = min(k, len(ids))
-                least = np.partition(s[row], len(ids) - m)[len(ids) - m]
+                least = np.partition(best[row], len(firsts) - m)[len(firsts) - m]
                 near = np.flatnonzero((s[row] >= least - 1e-9) & (s[row] > -np.inf))
                 exact = (x[near] * vector).sum(axis=1)  # in one order of summation, wherever the vector stands
                 taken: set[int] = set()
