@@ -7,7 +7,9 @@ and unites postings, and only the candidates are searched with the expression.
 A rule from which no mandatory trigram follows searches every document.
 
 It is a map over Arrow batches; nothing shuffles. Offsets are code points, ends
-exclusive. Matches of a kind are the leftmost, non-overlapping ones.
+exclusive. Matches of a kind are the leftmost, non-overlapping ones. A private
+key spans its body and END line; where END is missing, the base64 after BEGIN
+(and perhaps one word after its last run, which may be the rest of a line).
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each;
 an empty table gives no rows; other columns are ignored or, by ``redact``, kept.
@@ -45,8 +47,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", re.A, 0, 20),
     Rule("hex", r"[0-9a-f]+", re.A, 0, 24),
 )
+#: What stands between the lines of a key: line ends (also written as ``\\n``), quotes and marks of quoting.
+_GAP = r"""(?:[\s"'`,;>\#*|]|\\[nrt]|\+(?=\s))"""
+_IN_LINE = r"""(?:[\x20\t\r"'`,;]|\\r|\+(?=\s))"""
+_NEXT_LINE = rf"""(?:{_IN_LINE}*+\\n(?:{_IN_LINE}*+\n)?+|{_IN_LINE}*+\n)[\x20\t"'`>\#*|]*+"""
+_LINE_END = r"""(?=[\x20\t\r"'`,;]*+(?:\n|\\[nr]|\Z))"""
+_HEADERS = rf"""(?:{_GAP}++(?:[A-Z][A-Za-z0-9]*+-[A-Z][A-Za-z0-9-]*+|Comment):[^\n\\]*+)*+"""
+_BODY = rf"""(?:{_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}}|{_NEXT_LINE}[A-Za-z0-9+/]++={{0,2}}{_LINE_END})++(?:[\x20\t]++[A-Za-z0-9+/]++={{0,2}})?+"""
+#: From BEGIN through the next END before another BEGIN. Without END: headers, then
+#: lines of base64 (runs of 16 or more also within a line, with a word after them).
+PRIVATE_KEY = rf"""-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:(?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20[A-Z ]{{0,40}}PRIVATE\x20KEY-----|(?:{_HEADERS}{_BODY})?+)"""
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
