@@ -76,3 +76,61 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda r: tuple(r)
     assert sorted(map(key, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(key, track(spark.createDataFrame(whole, SCHEMA)).collect()))
+
+
+WIDE = SCHEMA + ", keypoints array<array<double>>, kp_conf array<double>, e_app array<double>, e_app_valid_mask array<boolean>, e_app_coverage double"
+POSE = [[float(i % 5) * 20, float(i // 5) * 30] for i in range(25)]
+
+
+def second_match(spark, *later, first=(POSE, [1.0, 0.0, 0.0, 0.0], [True] * 4, 1.0)):
+    """Whether the one detection of frame 2 is matched to the track of frame 1, for each of ``later``."""
+    data = [(str(i), 1, f, 0, 100.0 + f, 50.0, (r := first if f == 1 else row)[0], [1.0] * 25, *r[1:]) for i, row in enumerate(later) for f in (1, 2)]
+    got = track(spark.createDataFrame(data, WIDE)).where("frame_idx = 2 and local_track_id = 1").collect()
+    return [r["is_matched"] for r in sorted(got, key=lambda r: int(r["video"]))]
+
+
+def test_gates_on_rows_with_keypoints_vectors_and_masks(spark):
+    same, other, valid = [1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 3.0, 3.0], [True] * 4
+    got = second_match(
+        spark,
+        (POSE, same, valid, 1.0),
+        (POSE, None, None, 0.0),  # appearance missing costs 0.58 against 0.12
+        (None, same, valid, 1.0),  # pose missing costs 0.5 against 0.4
+        (POSE, other, valid, 1.0),
+        (POSE, other, [True, True, False, False], 1.0),  # only valid components are compared
+        (POSE, other, [False] * 4, 1.0),  # an empty mask counts for nothing
+        (POSE, same, valid, None),
+    )
+    assert got == [True, False, False, False, True, False, True]
+
+
+def test_births_weigh_pose_and_appearance():
+    a, b, pose = np.array([1.0, 0.0]), np.array([-1.0, 0.0]), np.array(POSE)
+    far = pose + 500
+    for left, right, seen in (((pose, a), (pose, b), (pose, a)), ((pose, a), (far, a), (pose, a))):
+        tracker = Tracker(Params(easy_births=0))
+        tracker.step([Seen(0, 0.0, 0.0, left[0], None, left[1]), Seen(1, 40.0, 0.0, right[0], None, right[1])])
+        tracker.step([Seen(0, 22.0, 0.0, seen[0], None, seen[1])])  # nearer to the right one
+        assert [c.seen.x for c in tracker.pending] == [40.0] and len(tracker.tracks) == 1
+    tracker = Tracker(Params(easy_births=0, birth_score=0.05))
+    tracker.step([Seen(0, 0.0, 0.0)])
+    tracker.step([Seen(0, 0.0, 0.0)])  # both missing: 0.08
+    assert not tracker.tracks and len(tracker.pending) == 2
+
+
+def test_few_keypoints_make_no_memory():
+    def pose(n):
+        out = np.array(POSE)
+        out[[i for i in (1, 2, 3, 5, 6, 8, 9, 10, 12, 13)][n:]] = np.nan
+        return out
+
+    for n, kept in ((6, False), (7, True)):
+        tracker = Tracker(Params(easy_births=0))
+        for _ in range(2):
+            tracker.step([Seen(0, 0.0, 0.0, pose(n), np.ones(25), np.ones(3))])
+        assert (tracker.tracks[0].vector is not None) == kept
+    for n, kept in ((4, False), (5, True)):
+        tracker = Tracker()
+        for k in (10, n):
+            tracker.step([Seen(0, 0.0, 0.0, pose(k), np.ones(25), np.ones(3))])
+        assert bool(np.isnan(tracker.tracks[0].points).any()) == kept

@@ -4,6 +4,10 @@ A frame is taken in this order: predict all tracks, match, return of frozen
 sources, freezing around what vanished, update of matched tracks, births from
 what is left, pruning, countdown of freezes, removal of dead tracks. No state
 crosses an epoch, so epochs run in parallel; a stream keeps one state a video.
+
+Edge cases: in a table with vectors a pair in which one is missing costs 0.5 or
+more in appearance and is rejected, likewise keypoints in pose; a table without
+the column is matched without that gate.
 """
 
 from __future__ import annotations
@@ -67,6 +71,18 @@ class Params:
     birth_motion: float = 0.60
     birth_age: int = 4
     birth_misses: int = 2
+    #: 0 is no gate: the configured 0.45 is never read there.
+    birth_score: float = 0.0
+    birth_pose_missing: float = 0.05
+    birth_pose_bad: float = 0.18
+    birth_pose_limit: float = 0.8
+    birth_joints: int = 3
+    birth_appearance_missing: float = 0.03
+    birth_appearance_bad: float = 0.12
+    birth_appearance_limit: float = 0.35
+    birth_near_existing: float = 0.03
+    joints_update: int = 5
+    joints_create: int = 7
 
 
 @dataclass
@@ -112,6 +128,10 @@ class Seen:
     coverage: float = 1.0
     overlap: float = 0.0
     risky: tuple[int, ...] = ()
+    mask: np.ndarray | None = None
+    #: Whether the table has keypoints and vectors at all; only then is a missing one rejected.
+    posed: bool = False
+    dressed: bool = False
 
 
 @dataclass
@@ -137,6 +157,7 @@ class Pending:
     kind: str
     need: int
     seen: Seen
+    vector: np.ndarray | None = None
     hits: int = 1
     age: int = 1
     misses: int = 0
@@ -157,7 +178,7 @@ def pose_similarity(a: np.ndarray | None, ca, b: np.ndarray | None, cb, least: f
     swapped = np.arange(25)
     for i, j in SWAPS:
         swapped[[i, j]] = j, i
-    good = lambda p, c: np.isfinite(p).all(axis=1) & (np.asarray(c)[:25] >= least) & np.isin(np.arange(25), CORE)
+    good = lambda p, c: np.isfinite(p).all(axis=1) & (np.ones(25) >= least if c is None else np.asarray(c)[:25] >= least) & np.isin(np.arange(25), CORE)
     best, ga, gb = 0.0, good(a[:25], ca), good(b[:25], cb)
     for order in (np.arange(25), swapped):
         shared = ga & gb[order]
@@ -169,13 +190,42 @@ def pose_similarity(a: np.ndarray | None, ca, b: np.ndarray | None, cb, least: f
     return best
 
 
-def _cosine(a, b) -> float:
+def joints(s: Seen) -> int:
+    """Core joints with finite coordinates, whatever their confidence."""
+    if s.points is None or s.points.ndim != 2:
+        return 0
+    core = [i for i in CORE if i < len(s.points)]
+    return int(np.isfinite(s.points[core, :2]).all(axis=1).sum())
+
+
+def _cosine(a, b, mask=None) -> float:
+    """Over the valid components; over all where the mask fits neither or is empty."""
     if a is None or b is None or len(a) != len(b):
         return 0.0
+    if mask is not None and len(mask) == len(a) and mask.any():
+        a, b = a[mask], b[mask]
     n = np.linalg.norm(a) * np.linalg.norm(b)
     return float(a @ b / n) if n > 1e-8 else 0.0
 
 
+def pose_penalty(a: Seen, b: Seen, p: Params) -> float:
+    """Mean distance of shared core joints against their spread: penalty where too large or too few are shared."""
+    if a.points is None or b.points is None or len(a.points) != len(b.points):
+        return p.birth_pose_missing
+    n = len(a.points)
+    ca, cb = (np.ones(n) if s.conf is None else np.asarray(s.conf, dtype=float) for s in (a, b))
+    if len(ca) != n or len(cb) != n:
+        return p.birth_pose_missing
+    core = np.array([i for i in CORE if i < n], dtype=int)
+    u, v = a.points[core, :2], b.points[core, :2]
+    shared = np.isfinite(u).all(axis=1) & np.isfinite(v).all(axis=1) & (ca[core] >= p.min_conf) & (cb[core] >= p.min_conf)
+    if shared.sum() < p.birth_joints:
+        return p.birth_pose_missing
+    u, v = u[shared], v[shared]
+    away = np.linalg.norm(u - v, axis=1).mean() / (u.std() + v.std() + 1e-6)
+    return 0.0 if away <= p.birth_pose_limit else p.birth_pose_bad
+
+
 def penalties(values: np.ndarray, active: np.ndarray, k: float) -> np.ndarray:
     """Log ratio to the best active value, 0 to 1; 1 where not active."""
     if not active.any():
@@ -226,10 +276,10 @@ class Tracker:
                 if d > p.chi2 or cost[0, i, j] > p.motion * relax:
                     continue
                 cost[1, i, j] = (1 - pose_similarity(t.points, t.conf, s.points, s.conf, p.min_conf)) / 2
-                if cost[1, i, j] > p.pose * relax and t.points is not None and s.points is not None:
+                if cost[1, i, j] > p.pose * relax and s.posed:
                     continue
-                cost[2, i, j] = min(1.0, max(0.0, (1 - _cosine(t.vector, s.vector)) / 2 + p.missing * (1 - s.coverage)))
-                valid[i, j] = cost[2, i, j] <= p.appearance or t.vector is None or s.vector is None
+                cost[2, i, j] = min(1.0, max(0.0, (1 - _cosine(t.vector, s.vector, s.mask)) / 2 + p.missing * (1 - s.coverage)))
+                valid[i, j] = cost[2, i, j] <= p.appearance or not s.dressed
         return cost, valid
 
     def _match(self, seen: list[Seen]) -> tuple[dict[int, int], np.ndarray]:
@@ -278,7 +328,7 @@ class Tracker:
                 t.confirmed |= t.hits >= p.min_hits
                 t.sub |= t.hits >= p.min_hits_sub
                 if not s.risky and not t.frozen:
-                    if s.points is not None and (t.points is None or cost[1, i, j] <= p.update_pose):
+                    if s.points is not None and cost[1, i, j] <= p.update_pose and joints(s) >= p.joints_update:
                         t.points, t.conf = s.points, s.conf
                     if s.vector is not None and (t.vector is None or cost[2, i, j] <= p.update_appearance):
                         t.vector = s.vector if t.vector is None else p.ema * t.vector + (1 - p.ema) * s.vector
@@ -295,32 +345,54 @@ class Tracker:
         self.tracks = [t for t in self.tracks if t.id not in gone and t.missed <= (p.max_confirmed_age if t.confirmed else p.max_age)]
         return [(t.id, dets.get(t.id, -1), t.id in dets, t.confirmed, t.hits, t.age, t.missed, *t.center) for t in self.tracks]
 
+    def _nearest(self, s: Seen, tracks: list[Track]) -> float:
+        return min((t.motion.distance(s.x, s.y, self.p) / self.p.birth_chi2 for t in tracks), default=math.inf)
+
+    def _pending_score(self, c: Pending, s: Seen) -> float | None:
+        """Distance and penalties of continuing a pending candidate by a detection, None where not allowed."""
+        p = self.p
+        motion = c.motion.distance(s.x, s.y, p) / p.birth_chi2
+        if motion > p.birth_motion:
+            return None
+        score = motion + pose_penalty(c.seen, s, p)
+        if c.vector is None or s.vector is None:
+            score += p.birth_appearance_missing
+        elif (1 - _cosine(c.vector, s.vector)) / 2 > p.birth_appearance_limit:
+            score += p.birth_appearance_bad
+        score += p.birth_near_existing if c.kind == "near" else 0.0
+        return score if p.birth_score <= 0 or score <= p.birth_score else None
+
     def _births(self, rest: list[Seen]) -> None:
         p = self.p
         stable = [t for t in self.tracks if t.confirmed or t.sub]
         for c in self.pending:
             c.motion.predict(p)
             c.age += 1
-        pairs = sorted((min(1.0, d / p.birth_chi2), i, j) for i, c in enumerate(self.pending) for j, s in enumerate(rest) if (d := c.motion.distance(s.x, s.y, p)) <= p.birth_chi2)
+        pairs = sorted((score, i, j) for i, c in enumerate(self.pending) for j, s in enumerate(rest) if (score := self._pending_score(c, s)) is not None)
         used_c: set[int] = set()
         used_s: set[int] = set()
-        for score, i, j in pairs:
-            if score <= p.birth_motion and i not in used_c and j not in used_s:
+        for _, i, j in pairs:
+            if i not in used_c and j not in used_s:
                 used_c.add(i)
                 used_s.add(j)
                 c = self.pending[i]
                 c.motion.update(rest[j].x, rest[j].y, p)
                 c.seen, c.hits, c.misses = rest[j], c.hits + 1, 0
+                if rest[j].vector is not None:
+                    c.vector = rest[j].vector if c.vector is None else p.ema * c.vector + (1 - p.ema) * rest[j].vector
         ready = []
         for i, c in enumerate(self.pending):
             c.misses += i not in used_c
+            if c.kind == "blocked":  # set free of what it stood too close to; the hits it needs stay
+                away = self._nearest(c.seen, stable)
+                c.kind = c.kind if away <= p.close else "near" if away <= p.near else "normal"
             if i in used_c and c.hits >= c.need:
                 ready.append(c)
         self.pending = [c for c in self.pending if c not in ready and c.age <= p.birth_age and c.misses <= p.birth_misses]
         for j, s in enumerate(rest):
             if j in used_s:
                 continue
-            nearest = min((min(1.0, t.motion.distance(s.x, s.y, p) / p.birth_chi2) for t in stable), default=1.0)
+            nearest = self._nearest(s, stable)
             if self.easy < p.easy_births:
                 kind, need = "easy_start", p.easy_hits
                 self.easy += 1
@@ -330,11 +402,14 @@ class Tracker:
                 kind, need = "near", p.near_hits
             else:
                 kind, need = "normal", p.normal_hits
-            c = Pending(Motion(s.x, s.y, a=p.p0, c=p.p0), kind, need, s)
+            c = Pending(Motion(s.x, s.y, a=p.p0, c=p.p0), kind, need, s, s.vector)
             (ready if c.hits >= need else self.pending).append(c)
         for c in sorted(ready, key=lambda c: c.seen.det_id):
             s = c.seen
-            t = Track(self.next_id, Motion(s.x, s.y, a=p.p0, c=p.p0), s.points, s.conf, s.vector, hits=1, center=(s.x, s.y))
+            easy = c.kind == "easy_start"
+            points, conf = (s.points, s.conf) if easy or not s.risky else (None, None)
+            vector = s.vector if easy or (joints(s) >= p.joints_create and not s.risky) else None
+            t = Track(self.next_id, Motion(s.x, s.y, a=p.p0, c=p.p0), points, conf, vector, hits=1, center=(s.x, s.y))
             t.motion.update(s.x, s.y, p)
             self.tracks.append(t)
             self.next_id += 1
@@ -344,12 +419,21 @@ def _array(value) -> np.ndarray | None:
     return None if value is None else np.array([list(v) if isinstance(v, list | np.ndarray) else v for v in value], dtype=float)
 
 
+def _mask(value) -> np.ndarray | None:
+    return None if value is None else np.array([bool(v) for v in value], dtype=bool)
+
+
+def _coverage(value) -> float:
+    """1 where the table has none, 0 where a row has none."""
+    return 0.0 if value is None or math.isnan(value) else min(1.0, max(0.0, float(value)))
+
+
 def _frame(rows: pd.DataFrame) -> list[Seen]:
     out = []
     for r in rows.sort_values("det_id").to_dict("records"):
         if pd.isna(r["det_id"]) or pd.isna(r["center_x"]) or pd.isna(r["center_y"]):
             continue  # a frame without detections, or a detection without a place
-        out.append(Seen(int(r["det_id"]), float(r["center_x"]), float(r["center_y"]), _array(r.get("keypoints")), _array(r.get("kp_conf")), _array(r.get("e_app")), float(r.get("e_app_coverage") or 0.0), float(r.get("max_overlap_iou") or 0.0), tuple(r["risky"]) if r.get("risky") is not None else ()))
+        out.append(Seen(int(r["det_id"]), float(r["center_x"]), float(r["center_y"]), _array(r.get("keypoints")), _array(r.get("kp_conf")), _array(r.get("e_app")), _coverage(r.get("e_app_coverage", 1.0)), float(r.get("max_overlap_iou") or 0.0), tuple(r["risky"]) if r.get("risky") is not None else (), _mask(r.get("e_app_valid_mask")), "keypoints" in rows, "e_app" in rows))
     return out
 
 
