@@ -30,6 +30,13 @@ def test_query(spark, duck, name):
     assert got == plain(ran.fetchall(), [c[0] for c in ran.description])
 
 
+def test_sliding_windows_reach_every_row(spark):
+    seen = catalogue.obs(spark, SMALL).where("global_track_id is not null").selectExpr("min(frame_idx)", "max(frame_idx)").first()
+    starts = [r["window_start"] for r in catalogue.QUERIES["q_sliding_windows_whole"](spark, SMALL).select("window_start").distinct().collect()]
+    covered = {f for s in starts for f in range(s, s + 32)}
+    assert set(range(seen[0], seen[1] + 1)) <= covered
+
+
 def test_entry(spark):
     import __spark_entry__
 

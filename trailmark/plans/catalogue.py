@@ -94,6 +94,17 @@ on_obs("q_padded_window", lambda v: windows(_seen(v), [20], 24).drop("window_sta
 on_obs("q_sliding_windows", lambda v: windows(_seen(v), range(0, 129, 16), 32).groupBy("global_track_id", "window_start").agg(F.count_if("frame_mask").alias("n_seen"), F.count("*").alias("n_frames")), f", {SEEN}\nSELECT i.global_track_id, w.window_start, CAST(count(s.event_id) AS BIGINT) AS n_seen, CAST(32 AS BIGINT) AS n_frames FROM ids i CROSS JOIN (SELECT unnest(range(0, 129, 16)) AS window_start) w LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx BETWEEN w.window_start AND w.window_start + 31 GROUP BY ALL")
 
 
+def _whole_axis(v: View) -> DataFrame:
+    """Windows from the first frame that was seen through the last."""
+    seen = _seen(v)
+    first, last = seen.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+    starts = range(0) if first is None else range(first, last + 1, 16)
+    return windows(seen, starts, 32).groupBy("global_track_id", "window_start").agg(F.count_if("frame_mask").alias("n_seen"), F.count("*").alias("n_frames"))
+
+
+on_obs("q_sliding_windows_whole", _whole_axis, f", {SEEN}, axis AS (SELECT min(frame_idx) AS a, max(frame_idx) AS b FROM seen)\nSELECT i.global_track_id, w.window_start, CAST(count(s.event_id) AS BIGINT) AS n_seen, CAST(32 AS BIGINT) AS n_frames FROM ids i CROSS JOIN (SELECT unnest(range(a, b + 1, 16)) AS window_start FROM axis) w LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx BETWEEN w.window_start AND w.window_start + 31 GROUP BY ALL")
+
+
 # ------------------------------------------------------------- joins
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_partkey END AS det_id, p_size AS payload, o_custkey AS global_track_id
 FROM lineitem LEFT JOIN part ON p_partkey = CASE WHEN l_returnflag = 'R' THEN -1 ELSE l_partkey END LEFT JOIN orders ON o_orderkey = l_orderkey""")
