@@ -64,7 +64,7 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("url_login", r"://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("url_login", r"://[^/\s:@]+:[^/\s:@]+@"),
 )
 RULES = BASE + ADDED
 
