@@ -365,3 +365,14 @@ def test_packing(spark, docs, empty, max_open):
     tokens = sum(r["length"] for r in rows)
     assert len(sequences) * 2048 - tokens < 2048 * whole.rdd.getNumPartitions()
     assert packing.pack(empty).count() == 0
+
+
+def test_keep_one_row_of_a_group_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:-1], x]) for x in ("a", "b", "c")]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, near[0]), (1, near[1]), (1, near[1]), (2, near[2]), (1, other), (3, other), (4, ""), (4, "")]
+    kept = [tuple(r) for r in jaccard_tree.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), options=jaccard_tree.Options(words=3, num=80, den=100)).collect()]
+    # One of the linked texts, whichever has the smaller hash; the other group has the same id and keeps its own.
+    assert sorted(r for r in kept if r[1] not in near) == [(1, other), (4, ""), (4, "")]
+    assert [r[0] for r in kept if r[1] in near] == [1]

@@ -422,15 +422,15 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, options: Options) -> DataFrame:
-    """``doc_id, t, n, component_id`` of every row, ``t`` a hash of its text."""
+    """``doc_id, t, n, label, component_id`` of every row, ``t`` a hash of its text, ``label`` its group's."""
     text = text_of(docs, text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     rows, links = class_links(keyed, options)
     labels = components(links).withColumnRenamed("node", "c")
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     named = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = cut(classes.select("c", "label").join(named, "label").select("c", "component_id"))
-    return rows.join(by_class, "c", "left").select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = cut(classes.select("c", "label").join(named, "label").select("c", "label", "component_id"))
+    return rows.join(by_class, "c", "left").select("doc_id", "t", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
@@ -441,13 +441,19 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", opt
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
     """The rows of ``docs``, with all columns, but of each group of linked rows
-    the one of the smallest id; of rows alike in that id and in text, one.
+    the one of the smallest id; of several rows with that id, one of the smallest
+    hash of the text. Groups that are not linked each keep a row, though their
+    smallest ids be the same.
 
     Rows without words are in no group and all stay, and so do rows of unlike
     texts in a group in which no row has an id.
     """
     found = cut(_grouped(docs, id_col, text_col, options or Options()).where("n > 0"))
     dropped = found.where("component_id is not null and doc_id is distinct from component_id").select("doc_id", "t").distinct()
+    first = found.where("doc_id = component_id")
+    tied = first.groupBy("label").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least < most").select("label", "least")
+    if not tied.isEmpty():
+        dropped = dropped.unionByName(first.join(tied, "label").where("t > least").select("doc_id", "t").distinct())
     repeated = found.groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t")
     marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": F.xxhash64(text_of(docs, text_col))})
 
