@@ -8,9 +8,13 @@ reaches ``num / den``. The join is exact: it loses no link, up to collisions of
 2. Routing. A class is split into as many hash buckets as two linked sets of its
    size can differ in shingles, and some more: linked classes then agree in a
    whole bucket (as many as "some more", so near-empty buckets, which agree by
-   chance, need not be sent unless a class has more of them than that). Classes
-   that share a bucket, directly or through others, are a family. No link leaves
-   a family.
+   chance, need not be sent unless a class has more of them than that). Of the
+   classes that agree in a bucket one is the hub, and all of them join the hub's
+   family. Both ends of a link are so in one family at least, and a family grows
+   with its hub's own buckets, not through those of its members.
+   What shares a line or a passage is often in a family by chance: members that
+   no bitmap of another member allows to link are dropped by a first traversal,
+   before any set is sent.
 3. Signature trees. A family's classes are the leaves of a tree whose nodes
    hold the OR of their token bitmaps and their range of sizes. A dual traversal
    drops pairs of nodes by sizes and by the greatest overlap that the bitmaps
@@ -19,8 +23,8 @@ reaches ``num / den``. The join is exact: it loses no link, up to collisions of
    near copies costs about its size, not its square, and emits a spanning set
    of links.
 4. A family too large for a task is cut into chunks by size and hash. Every
-   chunk joins itself and the family's pivots (the classes that share most
-   buckets with others, hence the centres of groups of copies). What is not
+   chunk joins itself and the family's pivots (the hub and the classes that share
+   most buckets with it, hence the centres of groups of copies). What is not
    connected after that is joined chunk by chunk, on the bitmaps only: chunk
    pairs are the upper level of the tree, pruned by their size ranges, and only
    pairs of classes in different components whose bound allows a link are
@@ -41,7 +45,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +56,8 @@ from trailmark.operators.components import components
 LOW = U(0xFFFFFFFF)
 #: Chunks whose bitmaps meet in one task, and the bytes that they may hold.
 WIDE, WIDE_BYTES = 8, 8_000_000
+#: Tasks among which the classes of one component are dealt when it gets its name.
+SALTS = 32
 
 
 # ---------------------------------------------------------------- routing
@@ -118,8 +123,8 @@ class Routing:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of a bitmap for sets of ``n`` shingles: about eight each, a power of two."""
-    return max(256, 1 << (8 * max(1, n) - 1).bit_length())
+    """Bits of a bitmap for sets of ``n`` shingles: four to eight each, a power of two."""
+    return max(128, 1 << (4 * max(1, n) - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -197,6 +202,13 @@ def possible(a: SignatureTree, x: slice, b: SignatureTree, y: slice, num: int, d
     return (na * den >= nb * num) & (nb * den >= na * num) & (most * (num + den) >= num * (na + nb))
 
 
+def bitmaps(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Rows of a column of bitmaps as a matrix, folded to the least width among them."""
+    views = [np.frombuffer(column[int(i)].as_buffer(), dtype=U) for i in rows]
+    width = min(len(v) for v in views)
+    return np.stack([v if len(v) == width else fold(v[None, :], width)[0] for v in views])
+
+
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """The exact test on sorted distinct shingles."""
     both = np.concatenate([x, y])
@@ -211,7 +223,7 @@ def tree_join(sets: list[np.ndarray], num: int, den: int, first: int = 0) -> lis
     if len(sets) == 2:
         return [(0, 1)] if linked(sets[0], sets[1], num, den) else []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = bitmap_bits(int(sizes.max()))
+    bits = 2 * bitmap_bits(int(sizes.max()))
     maps = np.stack([bitmap(s, bits) for s in sets])
     root = np.arange(len(sets))
     out = []
@@ -249,19 +261,22 @@ class Options:
     den: int = 100
     #: Classes and shingles of one task's chunk, and pivots of a size bucket.
     chunk: int = 512
-    chunk_shingles: int = 4_000_000
+    chunk_shingles: int = 2_000_000
     pivots: int = 32
 
 
 def classify(docs: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, t, n, c`` of every row: hash of the text, size and class of its set (0 of none)."""
+    """``doc_id, t, n, c, bitmap`` of every row: hash of the text, size, class (0 of none) and bitmap of its set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column(2).to_pylist(), options.words)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64())], names=["doc_id", "t", "n", "c"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            classes = pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64())
+            maps = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, classes, maps], names=["doc_id", "t", "n", "c", "bitmap"])
 
-    return docs.select("doc_id", "t", "text").mapInArrow(task, "doc_id long, t long, n long, c long")
+    return docs.select("doc_id", "t", "text").mapInArrow(task, "doc_id long, t long, n long, c long, bitmap binary")
 
 
 def routed(docs: DataFrame, options: Options) -> DataFrame:
@@ -287,18 +302,25 @@ def routed(docs: DataFrame, options: Options) -> DataFrame:
     return docs.select("text").mapInArrow(task, "key long, c long")
 
 
-def _sets(rows: DataFrame, options: Options, carried: list[str]) -> DataFrame:
-    """``rows`` with the sets of their texts, as arrays and as bitmaps."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*carried).schema.fields)
+def _sets(rows: DataFrame, options: Options) -> DataFrame:
+    """``c, places, shingles``: the classes of ``rows`` with their sets. Equal rows
+    follow one another in a task; one is kept."""
+    places = rows.schema["places"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in slices(batches):
-            sets = shingle_sets(b.column("text").to_pylist(), options.words)
+            keep = []
+            for i, c in enumerate(b.column(0).to_pylist()):
+                if c != last:
+                    keep.append(i)
+                last = c
+            b = b.take(pa.array(keep, pa.int32()))
+            sets = shingle_sets(b.column(2).to_pylist(), options.words)
             arrays = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            maps = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in carried), arrays, maps], names=[*carried, "shingles", "bitmap"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), arrays], names=["c", "places", "shingles"])
 
-    return rows.select(*carried, "text").mapInArrow(task, f"{schema}, shingles array<long>, bitmap binary")
+    return rows.select("c", "places", "text").mapInArrow(task, f"c long, places {places}, shingles array<long>")
 
 
 def _positions(column) -> list[np.ndarray]:
@@ -308,43 +330,103 @@ def _positions(column) -> list[np.ndarray]:
     return [flat[a:b].view(U) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def partners(maps: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets have another that bitmaps and sizes allow to link with them."""
+    tree = SignatureTree(maps, sizes)
+    found = np.zeros(len(sizes), dtype=bool)
+    for x, y in leaf_pairs(tree, tree, num, den):
+        if not (found[x].all() and found[y].all()):
+            allowed = possible(tree, x, tree, y, num, den)
+            if x == y:
+                np.fill_diagonal(allowed, False)
+            found[x] |= allowed.any(axis=1)
+            found[y] |= allowed.any(axis=0)
+    out = np.empty_like(found)
+    out[tree.order] = found
+    return out
+
+
+def partnered(members: DataFrame, options: Options) -> DataFrame:
+    """The ``members`` of families that by their bitmaps may link with another one there.
+
+    Most members are in a family by chance, as they share a line or a passage. A
+    bitmap is a tenth of its set or less, so this is settled before sets are sent.
+    """
+    num, den = options.num, options.den
+    members = cut(members)
+    size = members.groupBy("family").agg(F.count("c").alias("n"), F.sum(F.octet_length("bitmap")).alias("bytes"))
+    size = size.where("n > 1").withColumn("chunks", F.ceil(F.greatest(F.col("n") / (8 * options.chunk), F.col("bytes") / WIDE_BYTES)).cast("int"))
+    size = cut(size)
+    totals = size.where("chunks = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    heaps = max(1, math.ceil((totals["bytes"] or 0) / WIDE_BYTES), math.ceil((totals["n"] or 0) / (8 * options.chunk)))
+    # Small families share a heap; of a large one, each pair of chunks is a heap.
+    placed = members.join(size.select("family", "chunks"), "family")
+    small = placed.where("chunks = 1").drop("chunks").withColumn("heap", F.pmod(F.xxhash64("family"), F.lit(heaps)))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    large = placed.where("chunks > 1").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int")).withColumn("other", other)
+    large = large.withColumn("heap", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))).drop("chunks", "own", "other")
+
+    def task(heap: pa.Table) -> pa.Table:
+        family, sizes = heap.column("family").to_numpy(), heap.column("n").to_numpy()
+        maps = heap.column("bitmap").combine_chunks()
+        order = np.argsort(family, kind="stable")
+        found = np.zeros(len(family), dtype=bool)
+        for some in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            if len(some) > 1:
+                found[some] = partners(bitmaps(maps, some), sizes[some], num, den)
+        return heap.filter(pa.array(found)).drop(["heap"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    kept = small.groupBy("heap").applyInArrow(task, schema)
+    if not size.where("chunks > 1").isEmpty():
+        kept = kept.unionByName(large.groupBy("heap").applyInArrow(task, schema)).dropDuplicates(["family", "c"])
+    return kept
+
+
 def class_links(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """The rows' classes (``classify``), and a spanning set ``a, b`` of links between classes."""
-    spark, num, den = docs.sparkSession, options.num, options.den
+    num, den = options.num, options.den
     rows = cut(classify(docs, options))
-    by_key = Window.partitionBy("key")
-    shared = routed(docs, options).withColumns({"a": F.min("c").over(by_key), "z": F.max("c").over(by_key), "k": F.count("c").over(by_key)}).where("a <> z")
-    edges = cut(shared.groupBy("a", F.col("c").alias("b")).agg(F.sum("k").alias("weight")))
-    families = components(edges)
-    reps = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "t", "n")).alias("r"))
-    weights = edges.groupBy(F.col("b").alias("c")).agg(F.sum("weight").alias("weight"))
-    members = families.select(F.col("node").alias("c"), F.col("label").alias("family")).join(reps, "c").join(weights, "c", "left").select("c", "family", "r.*", F.coalesce("weight", F.lit(0)).alias("weight"))
+    # The least class of a key is its hub. Two classes that share a key are both
+    # in the family of that key's hub, so families cover all pairs to compare.
+    by_key = Window.partitionBy("key").orderBy("c")
+    shared = routed(docs, options).withColumn("hub", F.first("c").over(by_key)).where("hub <> c")
+    edges = cut(shared.groupBy("hub", "c").agg(F.count("key").alias("weight")))
+    hubs = edges.groupBy("hub").agg(F.sum("weight").alias("weight")).select("hub", F.col("hub").alias("c"), "weight")
+    reps = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "t", "n", "bitmap")).alias("r"))
     # Size buckets of a ratio of den / num: partners are in the same or the next one.
-    members = cut(members.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")))
+    bucket = F.floor(F.log(F.col("r.n").cast("double")) / math.log(den / num)).cast("int")
+    members = edges.unionByName(hubs).join(reps, "c")
+    members = cut(partnered(members.select("c", F.col("hub").alias("family"), "weight", "r.*", bucket.alias("bucket")), options), edges)
     # By bucket first, combined before the shuffle, so a large family is a few rows.
     held = members.groupBy("family", "bucket").agg(F.count("c").alias("n"), F.sum("n").alias("s"))
     size = held.groupBy("family").agg(F.sum("n").alias("members"), F.sum("s").alias("shingles"))
     size = size.withColumn("large", (F.col("members") > options.chunk) | (F.col("shingles") > options.chunk_shingles) & (F.col("members") > 2))
     totals = size.where(~F.col("large")).agg(F.sum("shingles").alias("s"), F.sum("members").alias("m")).first()
     heaps = max(1, math.ceil((totals["s"] or 0) / options.chunk_shingles), math.ceil((totals["m"] or 0) / (4 * options.chunk)))
-    parts = held.join(size.select("family", "large"), "family")
-    parts = cut(parts.where("large").select("family", "bucket", F.ceil(F.greatest(F.col("n") / options.chunk, F.col("s") / options.chunk_shingles)).cast("int").alias("chunks")))
-    placed = members.join(parts, ["family", "bucket"], "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("c"), "chunks").cast("int")))
-    # One text of each class, by its row's id and text hash.
-    texts = docs.alias("d").join(placed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t")))
-    carried = ["c", "family", "n", "weight", "bucket", "chunk"]
-    sets = cut(_sets(texts.select(*(F.col(f"m.{x}").alias(x) for x in carried), F.col("d.text").alias("text")), options, carried))
-
-    best = Window.partitionBy("family", "bucket").orderBy(F.desc("weight"), "c")
-    pivots = sets.where("chunk is not null").withColumn("place", F.row_number().over(best)).where(F.col("place") <= options.pivots).drop("place")
-    near = pivots.withColumn("at", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    columns = ["c", "family", "n", "shingles"]
-    sent = (
-        near.join(parts.withColumnRenamed("bucket", "at"), ["family", "at"])
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("family", "at", "chunk").alias("heap"), F.lit(True).alias("pivot"), *columns)
-    )
-    own = sets.select(F.when(F.col("chunk").isNotNull(), F.xxhash64("family", "bucket", "chunk")).otherwise(F.pmod(F.xxhash64("family"), F.lit(heaps))).alias("heap"), F.lit(False).alias("pivot"), *columns)
+    parts = held.join(size.where("large").select("family"), "family")
+    chunks = F.ceil(F.greatest(F.col("n") / options.chunk, F.col("s") / options.chunk_shingles)).cast("int")
+    parts = cut(parts.select("family", "bucket", chunks.alias("chunks")))
+    placed = members.join(parts, ["family", "bucket"], "left").withColumn("chunk", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
+    # A class is in as many families as its keys have hubs. One text of each
+    # class, by its row's id and text hash.
+    place = F.struct("family", "bucket", "chunk")
+    homes = placed.groupBy("c", "doc_id", "t").agg(F.collect_list(place).alias("places"))
+    texts = docs.alias("d").join(homes.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t")))
+    sets = cut(_sets(texts.select("m.c", "m.places", "d.text"), options))
+    at_home = sets.select("c", F.explode("places").alias("place"), "shingles").select("c", "place.*", "shingles")
+
+    columns = ["c", "family", "shingles"]
+    heap = F.when(F.col("chunk").isNotNull(), F.xxhash64("family", "bucket", "chunk")).otherwise(F.pmod(F.xxhash64("family"), F.lit(heaps)))
+    heaped = at_home.select(heap.alias("heap"), F.lit(False).alias("pivot"), *columns)
+    some_large = not parts.isEmpty()
+    if some_large:
+        best = Window.partitionBy("family", "bucket").orderBy(F.desc("weight"), "c")
+        named = placed.where("chunk is not null").withColumn("place", F.row_number().over(best)).where(F.col("place") <= options.pivots)
+        near = named.select("c", "family", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+        sent = near.join(parts, ["family", "bucket"]).select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "family", "bucket")
+        sent = sent.select("c", F.xxhash64("family", "bucket", "chunk").alias("heap"), F.lit(True).alias("pivot"), "family")
+        heaped = heaped.unionByName(sent.join(sets.select("c", "shingles"), "c"))
 
     def join_heap(heap: pa.Table) -> pa.Table:
         family, c, pivot, shingles = heap.column("family").to_numpy(), heap.column("c").to_numpy(), heap.column("pivot").to_numpy(zero_copy_only=False), _positions(heap.column("shingles"))
@@ -360,14 +442,15 @@ def class_links(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    links = cut(own.unionByName(sent).groupBy("heap").applyInArrow(join_heap, "a long, b long"))
-    if parts.isEmpty():
+    links = cut(heaped.groupBy("heap").applyInArrow(join_heap, "a long, b long"))
+    if not some_large:
         return rows, links
-    return rows, links.unionByName(_across(sets.where("chunk is not null"), links, options))
+    return rows, links.unionByName(_across(placed.where("chunk is not null"), sets.select("c", "shingles"), links, options))
 
 
-def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
-    """Links between chunks of large families whose ends are not yet connected."""
+def _across(members: DataFrame, sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
+    """Links between chunks of large families whose ends are not yet connected:
+    ``members`` are the classes of such families with their bitmaps."""
     num, den = options.num, options.den
     labels = components(links).select(F.col("node").alias("c"), F.col("label").alias("label"))
     # Bitmaps are an eighth of the sets or so, hence several chunks fit where one
@@ -376,7 +459,8 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
     heaviest = 2 * options.chunk * F.pow(F.lit(den / num), F.col("bucket") + 1)
     width = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(WIDE_BYTES / heaviest)))
     wide = F.floor(F.col("chunk") / width).cast("int").alias("wide")
-    known = cut(sets.join(labels, "c", "left").select("c", "n", "family", "bucket", wide, "bitmap", F.coalesce("label", "c").alias("label")).dropDuplicates(["c"]))
+    known = members.join(labels, "c", "left").select("c", "n", "family", "bucket", wide, "bitmap", F.coalesce("label", "c").alias("label"))
+    known = cut(known)
     nodes = cut(known.groupBy("family", "bucket", "wide").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one")))
     x, y = nodes.alias("x"), nodes.alias("y")
     after = (F.col("y.bucket") == F.col("x.bucket") + 1) | (F.col("y.bucket") == F.col("x.bucket")) & (F.col("y.wide") >= F.col("x.wide"))
@@ -390,27 +474,25 @@ def _across(sets: DataFrame, links: DataFrame, options: Options) -> DataFrame:
         return known.join(at, ["family", "bucket", "wide"]).select(*(F.col(x).alias(f"{name}_{x}") for x in ("pair", "c", "n", "label", "bitmap")))
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         if len(left) and len(right):
-            width = min(pa.compute.min(pa.compute.binary_length(t.column(4))).as_py() for t in (left, right)) // 8
+            both = pa.concat_tables([left.rename_columns(right.column_names), right]).combine_chunks()
+            maps = bitmaps(both.column(4).combine_chunks(), np.arange(len(both)))
 
-            def tree(t: pa.Table) -> tuple[SignatureTree, np.ndarray, np.ndarray]:
-                maps = np.empty((len(t), width), dtype=U)
-                for row, v in enumerate(t.column(4)):
-                    maps[row] = fold(np.frombuffer(v.as_buffer(), dtype=U)[None, :], width)[0]
+            def tree(t: pa.Table, maps: np.ndarray) -> tuple[SignatureTree, np.ndarray, np.ndarray]:
                 s = SignatureTree(maps, t.column(2).to_numpy())
                 return s, t.column(1).to_numpy()[s.order], t.column(3).to_numpy()[s.order]
 
-            (a, ca, la), (b, cb, lb) = tree(left), tree(right)
+            (a, ca, la), (b, cb, lb) = tree(left, maps[: len(left)]), tree(right, maps[len(left) :])
             for p, q in leaf_pairs(a, b, num, den):
-                for i, j in np.argwhere(possible(a, p, b, q, num, den) & (la[p][:, None] != lb[q][None, :])).tolist():
-                    found.append((int(ca[p][i]), int(cb[q][j])))
-        a_, b_ = zip(*found, strict=True) if found else ((), ())
-        return pa.table([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+                i, j = np.nonzero(possible(a, p, b, q, num, den) & (la[p][:, None] != lb[q][None, :]))
+                found.append((ca[p][i], cb[q][j]))
+        ends = [np.concatenate([f[i] for f in found]) if found else np.array([], dtype=np.int64) for i in (0, 1)]
+        return pa.table([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
 
     maybe = side("l").groupBy("l_pair").cogroup(side("r").groupBy("r_pair")).applyInArrow(candidates, "a long, b long")
     maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    once = sets.select("c", "shingles").dropDuplicates(["c"])
+    once = sets.dropDuplicates(["c"])
     checked = maybe.join(once.withColumnsRenamed({"c": "a", "shingles": "sa"}), "a").join(once.withColumnsRenamed({"c": "b", "shingles": "sb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,9 +509,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, options: Options) -> D
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     rows, links = class_links(keyed, options)
     labels = components(links).withColumnRenamed("node", "c")
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    named = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = cut(classes.select("c", "label").join(named, "label").select("c", "label", "component_id"))
+    classes = cut(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first")).join(labels, "c", "left"))
+    # Only classes with links have a label. A label may be that of a third of all
+    # classes, so each label's name is dealt to as many tasks as there are salts.
+    joined = classes.where("label is not null")
+    named = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    # Rows that repeat a label compress well, which a broadcast would not stay.
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    salted = joined.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(named, ["label", "salt"])
+    alone = classes.where("label is null").select("c", F.col("c").alias("label"), F.col("first").alias("component_id"))
+    by_class = cut(salted.select("c", "label", "component_id").unionByName(alone), classes)
     return rows.join(by_class, "c", "left").select("doc_id", "t", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

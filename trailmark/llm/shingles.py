@@ -17,7 +17,7 @@ U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes hashed at once; blocks end at a space, so a longer word makes a longer block.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate([[True], _SPACE[raw], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
-    n = 1 << max(int(raw.size).bit_length(), 20)
+    n = 1 << max(int(raw.size).bit_length(), 18)
     powers, back, values = _tables(n)
     sums = np.concatenate([[U(0)], np.cumsum(values[raw] * powers[: raw.size])])
     return start, mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U))
@@ -56,10 +56,10 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     while at < raw.size:
         end = min(raw.size, at + BLOCK)
         if end < raw.size:
-            gaps = np.flatnonzero(_SPACE[raw[end:]][: 1 << 16])
+            gaps = np.flatnonzero(_SPACE[raw[end : end + (1 << 12)]])
             while not len(gaps):
-                end = min(raw.size, end + (1 << 16))
-                gaps = np.flatnonzero(_SPACE[raw[end:]][: 1 << 16]) if end < raw.size else np.array([0])
+                end = min(raw.size, end + (1 << 12))
+                gaps = np.flatnonzero(_SPACE[raw[end : end + (1 << 12)]]) if end < raw.size else np.array([0])
             end = min(raw.size, end + int(gaps[0]))
         s, h = _words(raw[at:end])
         starts.append(s + at)
