@@ -1,15 +1,18 @@
 """Packing of tokenised documents into fixed windows by sum-of-squares placement.
 
 A document is its token ids and then ``end_id``. Whole windows are cut off its
-front first; the rest (1..window tokens) is one item of an online bin packing:
-the item goes to the fill level whose choice minimises the sum of the squared
-counts of partially filled windows, which an array indexed by level keeps. The
-array decides in one vectorised look at the levels at which the item fits.
+front first; the rest (1..window tokens) is one item of an online bin packing. A
+level array counts the partially filled windows by fill, in levels of a 32nd of
+a window. The item starts a window, joins the fullest window of a level in which
+it fits, or is cut to fill a window of a level in which it does not: whatever
+makes the sum of the squared counts least, where a cut counts ``cut_cost`` more.
+So documents stay whole until windows of a level pile up, and the number of open
+windows is bounded by the levels and ``cut_cost``, not by the input.
 
 The work is a map over input partitions without a shuffle. A task holds only
-its open windows; beyond ``max_open`` of them, and at its end, it pours the
-open windows together: their pieces are laid end to end and cut anew at window
-bounds, so that only one padded window is left in each task.
+its open windows. At its end the fullest of them, as many as all their tokens
+fill, stay as they were placed; the pieces of the others are cut into their
+gaps, so that one padded window at most is left in each task.
 
 Edge cases: null and empty texts are documents of one token, ``end_id``;
 repeated rows (and rows with null ids) are packed once per row; an empty table
@@ -51,9 +54,10 @@ def _unicode_bytes() -> dict[str, int]:
 def encoder(path: str):
     """A byte-pair encoder over the vocabulary of a byte-level ``tokenizers`` file.
 
-    ``path`` is a file, or the bare name of a public vocabulary. Merge ranks are
-    the ids, so the file's vocabulary is enough; the ids equal those of the
-    ``tokenizers`` library (tested) at several times its speed.
+    ``path`` is a file, or the bare name of a public vocabulary. Ids must rise in
+    the order of the file's merges, so that they serve as ranks (else an error);
+    the ids equal those of the ``tokenizers`` library (tested) at several times
+    its speed.
     """
     import public_tokenizers
     import tiktoken
@@ -61,8 +65,12 @@ def encoder(path: str):
     with open(path if "/" in path else public_tokenizers.path(path), encoding="utf-8") as f:
         model = json.load(f)
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    vocab, merges = model["model"]["vocab"], model["model"]["merges"]
+    ranks_of = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if any(a >= b for a, b in zip(ranks_of[:-1], ranks_of[1:], strict=True)):
+        raise ValueError(f"{path}: ids do not rise with the merges")
     raw = _unicode_bytes()
-    ranks = {bytes(raw[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    ranks = {bytes(raw[c] for c in token): i for token, i in vocab.items() if token not in special}
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
@@ -72,81 +80,97 @@ def encode(text: str, tokenizer: str = TOKENIZER) -> np.ndarray:
 
 
 class Packer:
-    """One task's online packing. ``place`` and ``finish`` give pieces of closed windows."""
+    """One task's online packing. ``place`` and ``finish`` give pieces of closed windows.
 
-    def __init__(self, window: int = WINDOW, max_open: int = 4096, first_sequence: int = 0):
-        self.window, self.max_open, self.next = window, max_open, first_sequence
-        self.levels = np.zeros(window + 1, dtype=np.int64)  # partially filled windows at each fill
-        self.at: list[list[list]] = [[] for _ in range(window + 1)]  # their pieces
-        self.open = 0
+    A window is a list of its fill and its pieces ``(doc, start, ids, doc tokens)``.
+    """
+
+    def __init__(self, window: int = WINDOW, cut_cost: int = 8, first_sequence: int = 0):
+        self.window, self.cut_cost, self.next = window, cut_cost, first_sequence
+        self.grain = max(1, window // 32)
+        self.levels = [0] * (window // self.grain + 1)  # partially filled windows at each level
+        self.at: list[list[list]] = [[] for _ in self.levels]
+        self.placed = self.moved = 0  # tokens of items, and those that ``finish`` moved
 
-    def place(self, piece: tuple) -> Iterator[tuple]:
+    def place(self, piece: tuple, may_cut: bool = True) -> Iterator[tuple]:
         """``piece``: (doc, start, ids, doc tokens) of at most ``window`` tokens."""
-        size = len(piece[2])
+        doc, start, ids, total = piece
+        size = len(ids)
         if size == self.window:
-            yield from self._close([piece])
+            yield from self._close([size, [piece]])
             return
-        # Moving a window from level l to l + size changes the sum of squares by
-        # 2 * (levels[l + size] - levels[l]) + 2; a new window changes it by
-        # 2 * levels[size] + 1; a window that is filled up leaves the sum.
-        last = self.window - size
-        change = 2 * (self.levels[size : self.window + 1] - self.levels[: last + 1]) + 2
-        change[self.levels[: last + 1] == 0] = np.iinfo(np.int64).max
-        change[0] = 2 * self.levels[size] + 1
-        if self.levels[last]:
-            change[last] = 1 - 2 * self.levels[last]
-        # Of equal changes the fullest level.
-        level = last - int(np.argmin(change[::-1]))
-        pieces = []
-        if level:
-            pieces = self.at[level].pop()
-            self.levels[level] -= 1
-            self.open -= 1
-        pieces.append(piece)
-        if level + size == self.window:
-            yield from self._close(pieces)
-            return
-        self.at[level + size].append(pieces)
-        self.levels[level + size] += 1
-        self.open += 1
-        if self.open > self.max_open:
-            yield from self._pour(last=False)
+        # A new window at level l changes the sum by 2 * levels[l] + 1, one that
+        # closes by 1 - 2 * levels[l], one that moves by both.
+        least, into, fits = 2 * self.levels[size // self.grain] + 1, None, True
+        for level in range(len(self.levels) - 1, -1, -1):  # of equal changes the fullest level
+            count = self.levels[level]
+            if not count:
+                continue
+            fill = max((w[0] for w in self.at[level] if w[0] + size <= self.window), default=None)
+            if fill is not None:
+                to = (fill + size) // self.grain
+                change = 1 - 2 * count if fill + size == self.window else 0 if to == level else 2 * (self.levels[to] - count) + 2
+            elif may_cut:
+                change = 2 - 2 * count + self.cut_cost
+            else:
+                continue
+            if change < least:
+                least, into, fits = change, level, fill is not None
+        if into is None:
+            self._open([size, [piece]])
+        elif fits:
+            held = self._take(into, size)
+            held[0] += size
+            held[1].append(piece)
+            if held[0] == self.window:
+                yield from self._close(held)
+            else:
+                self._open(held)
+        else:
+            held = self._take(into, 0)
+            gap = self.window - held[0]
+            held[1].append((doc, start, ids[:gap], total))
+            yield from self._close(held)
+            yield from self.place((doc, start + gap, ids[gap:], total), may_cut=False)
 
     def finish(self) -> Iterator[tuple]:
-        yield from self._pour(last=True)
-
-    def _close(self, pieces: list) -> Iterator[tuple]:
+        """The open windows: the fullest as placed, their gaps filled with the others' pieces."""
+        held = sorted((w for at in self.at for w in at), key=lambda w: -w[0])
+        need = -(-sum(w[0] for w in held) // self.window)
+        stay, thin = held[:need], [p for w in held[need:] for p in w[1]]
+        self.moved = sum(len(p[2]) for p in thin)
+        for fill, pieces in stay:
+            while thin and fill < self.window:
+                doc, start, ids, total = thin.pop()
+                part, rest = ids[: self.window - fill], ids[self.window - fill :]
+                pieces.append((doc, start, part, total))
+                fill += len(part)
+                if len(rest):
+                    thin.append((doc, start + len(part), rest, total))
+            yield from self._close([fill, pieces])
+        self.levels = [0] * len(self.levels)
+        self.at = [[] for _ in self.levels]
+
+    def _open(self, held: list) -> None:
+        self.at[held[0] // self.grain].append(held)
+        self.levels[held[0] // self.grain] += 1
+
+    def _take(self, level: int, size: int) -> list:
+        """The level's fullest window in which ``size`` tokens fit."""
+        windows = self.at[level]
+        i = max((i for i, w in enumerate(windows) if w[0] + size <= self.window), key=lambda i: windows[i][0])
+        self.levels[level] -= 1
+        return windows.pop(i)
+
+    def _close(self, held: list) -> Iterator[tuple]:
         offset = 0
-        for doc, start, ids, total in pieces:
+        for doc, start, ids, total in held[1]:
             yield doc, start, ids, total, self.next, offset
             offset += len(ids)
         self.next += 1
 
-    def _pour(self, last: bool) -> Iterator[tuple]:
-        """Lay the open windows end to end and cut them at window bounds."""
-        pieces = [p for at in self.at for window in at for p in window]
-        self.at = [[] for _ in range(self.window + 1)]
-        self.levels[:] = 0
-        self.open = 0
-        held, filled = [], 0
-        for doc, start, ids, total in pieces:
-            while len(ids):
-                part, ids = ids[: self.window - filled], ids[self.window - filled :]
-                held.append((doc, start, part, total))
-                start += len(part)
-                filled += len(part)
-                if filled == self.window:
-                    yield from self._close(held)
-                    held, filled = [], 0
-        if held and last:
-            yield from self._close(held)
-        elif held:
-            self.at[filled].append(held)
-            self.levels[filled] += 1
-            self.open += 1
-
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, max_open: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, cut_cost: int = 8, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents with their places in sequences.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``
@@ -155,7 +179,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, max_open, TaskContext.get().partitionId() << 40)
+        packer = Packer(window, cut_cost, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], dtype="<u4")
         rows: list[tuple] = []
 
