@@ -13,7 +13,6 @@ training table every score is 0.5, which allows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from string import ascii_lowercase, ascii_uppercase
 
@@ -22,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm.shingles import mix
+
 #: (verdict, host, path prefix). A rule fits its host and every subdomain.
 RULES = (
     ("allow", "com", "/"),
@@ -31,36 +32,30 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Invented training URLs: 1 block, 0 allow.
-LABELLED = tuple(
-    (label, url)
-    for label, urls in (
-        (
-            1,
-            "http://casino-royal-bonus.xyz/slots/free-spins http://best-online-casino.top/jackpot http://bet-now.win/live/odds http://sportbet.top/bonus "
-            "http://poker-freeroll.win/join http://cheap-pills-rx.biz/viagra http://meds-no-prescription.top/cialis http://pharma-discount.click/buy/pills "
-            "http://xxx-videos.top/hot http://adult-cams.click/live http://porn-tube.xyz/watch/1 http://sexy-singles.click/chat http://warez-full.xyz/crack/keygen "
-            "http://torrent-free.top/download/crack http://free-keygen.xyz/serial http://win-a-phone.click/claim/prize http://prize-winner.top/claim "
-            "http://secure-login-verify.top/account/update http://paypa1-verify.click/login http://bank-alert.xyz/signin/confirm http://crypto-double.win/invest "
-            "http://fast-loan-cash.biz/apply/now http://payday-cash.click/apply http://replica-watches.top/buy http://cheap-bags-outlet.xyz/sale "
-            "http://essay-writer.click/order http://buy-followers.top/instant http://seo-backlinks.xyz/buy http://malware-kit.top/exe/download http://hot-slots.win/spin",
-        ),
-        (
-            0,
-            "https://www.city-library.org/catalogue https://docs.opensource.org/manual/install https://news.daily-post.org/world/2023/05 https://wiki.kernel-notes.org/page/12 "
-            "https://university.edu/research/papers https://school-district.edu/calendar https://museum.org/exhibits/2024 https://en.encyclopedia.org/wiki/river "
-            "https://data.statistics.gov/tables/population https://health.gov/topics/sleep https://weather.gov/forecast/today https://blog.gardeners.org/roses/pruning "
-            "https://forum.cyclists.org/thread/4411 https://recipes.kitchen.org/soup/lentil https://maps.hikers.org/trail/77 https://code.repo.io/project/readme "
-            "https://developer.platform.io/api/reference https://support.printer.org/drivers https://m.journal.org/en/article/9 https://www.theatre.org/en/tickets "
-            "https://science.review.org/de/beitrag/3 https://musee.org/fr/collection/825 https://biblioteca.org/es/libros/12 https://zeitung.org/de/politik "
-            "https://shop.bookstore.org/item/555 https://church-choir.org/concerts https://farmers-market.org/en/685 https://radio.station.org/live/schedule "
-            "https://parks.gov/visit/map https://transit.city.gov/lines/7 https://www.example.net/en/25 https://m.village.net/de/140 http://photos.family.net/album/3?page=2 "
-            "https://news.valley.net/en/912 https://status.provider.net/uptime https://www.bakery.com/menu https://m.hotel.com/rooms/12 http://garden.example.net/it/77 "
-            "https://letters.archive.net/1911/05 https://www.railway.com/es/horarios http://choir.parish.net/en/3 https://notes.physics.net/lecture/9",
-        ),
-    )
-    for url in urls.split()
-)
+#: Words of invented URLs of each label, 1 to block and 0 to allow, and the hosts' last parts.
+WORDS = {
+    1: "casino slots poker bet odds jackpot bonus pills viagra cialis pharma meds porn adult cams sexy warez crack keygen torrent replica outlet payday loan cash prize claim winner verify malware".split(),
+    0: "library manual docs news wiki research calendar museum history health weather garden forum recipes maps project support journal theatre science books choir market radio parks transit village letters railway notes".split(),
+}
+ENDS = {1: "top xyz click win biz".split(), 0: "org edu gov io com net".split()}
+
+
+def labelled_urls(words: dict[int, list[str]] = WORDS, ends: dict[int, list[str]] = ENDS) -> list[tuple[int, str]]:
+    """A small labelled table: hosts of two words, paths of a word, of a word and a
+    number, or as pages of a site in some language have them. The words, the
+    neutral parts and the plain paths are the same rule for both labels."""
+    out, mild = [], ("www.", "m.", "blog.", "")
+    for label, some in words.items():
+        for i, word in enumerate(some):
+            second, third = some[(7 * i + 3) % len(some)], some[(11 * i + 5) % len(some)]
+            host = f"{mild[i % 4]}{word}{'-' if i % 2 else ''}{second}.{ends[label][i % len(ends[label])]}"
+            out += [(label, f"http://{host}/{third}"), (label, f"https://{host}/{third}-{word}/{31 * i + 7}"), (label, f"https://{word}.example.{('com', 'org', 'net')[i % 3]}/{('en', 'de', 'es')[i % 3]}/{third}")]
+            out.append((0, f"http://{mild[i % 4]}{second[:2]}{word[-2:]}{third[:2]}.example.{('com', 'org', 'net')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{37 * i + 1}"))
+    return out
+
+
+#: The training table.
+LABELLED = tuple(labelled_urls())
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -82,14 +77,21 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, verdict
 
 
-def hashed(host: str, path: str, bits: int, sizes: Sequence[int]) -> np.ndarray:
-    """Buckets of all character n-grams of ``^host$`` and ``^path$``, apart."""
-    mask, out = (1 << bits) - 1, []
-    for kind, part in ((b"h", host), (b"p", path)):
-        if part:
-            raw = b"^" + part.encode("utf-8", "surrogatepass") + b"$"
-            out += [zlib.crc32(raw[i : i + n], kind[0] * 256 + n) & mask for n in sizes for i in range(len(raw) - n + 1)]
-    return np.array(out, dtype=np.int64)
+def hashed(parts: Sequence[str], kind: int, bits: int, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and buckets of all character n-grams of ``^part$`` of all non-empty parts."""
+    raws = [b"^" + p.encode("utf-8", "surrogatepass") + b"$" if p else b"" for p in parts]
+    lengths = np.array([len(r) for r in raws], dtype=np.int64)
+    raw = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    row, end = np.repeat(np.arange(len(parts)), lengths), np.repeat(np.cumsum(lengths), lengths)
+    rows, buckets, at = [], [], np.arange(len(raw))
+    for n in sizes:
+        start = at[at + n <= end]
+        h = np.full(len(start), n * 1000 + kind, dtype=np.uint64)
+        for j in range(n):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + raw[start + j])
+        rows.append(row[start])
+        buckets.append((h & np.uint64((1 << bits) - 1)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
 class UrlModel:
@@ -99,31 +101,31 @@ class UrlModel:
         self.bits, self.sizes = bits, tuple(sizes)
         self.weights, self.bias = np.zeros(1 << bits), 0.0
 
+    def counts(self, hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, bucket and count of every bucket of every URL, rows scaled to length 1."""
+        found = [hashed(part, kind, self.bits, self.sizes) for kind, part in enumerate((hosts, paths))]
+        keys, n = np.unique(np.concatenate([(r << self.bits) | b for r, b in found]), return_counts=True)
+        row, bucket, n = keys >> self.bits, keys & ((1 << self.bits) - 1), n.astype(float)
+        length = np.sqrt(np.bincount(row, n * n, minlength=len(hosts)))
+        return row, bucket, n / length[row]
+
     def fit(self, rows: Sequence[tuple[int, str]], steps: int = 400, rate: float = 2.0, l2: float = 1e-4) -> UrlModel:
         if not rows:
             return self
         y = np.array([label for label, _ in rows], dtype=float)
-        x = np.zeros((len(rows), 1 << self.bits))
-        for i, (_, url) in enumerate(rows):
-            rest = url.split("://", 1)[-1]
-            host, slash, path = rest.partition("/")
-            found = hashed(host.lower(), slash + path, self.bits, self.sizes)
-            np.add.at(x[i], found, 1.0)
-            x[i] /= max(1.0, np.linalg.norm(x[i]))
+        split = [url.split("://", 1)[-1].partition("/") for _, url in rows]
+        row, bucket, n = self.counts([h.lower() for h, _, _ in split], [slash + p for _, slash, p in split])
         for _ in range(steps):
-            error = 1 / (1 + np.exp(-(x @ self.weights + self.bias))) - y
-            self.weights -= rate * (x.T @ error / len(y) + l2 * self.weights)
+            z = np.bincount(row, self.weights[bucket] * n, minlength=len(y)) + self.bias
+            error = 1 / (1 + np.exp(-z)) - y
+            self.weights -= rate * (np.bincount(bucket, error[row] * n, minlength=1 << self.bits) / len(y) + l2 * self.weights)
             self.bias -= rate * error.mean()
         return self
 
-    def score(self, host: str, path: str) -> float:
-        """The probability that the URL is one to block."""
-        found = hashed(host, path, self.bits, self.sizes)
-        z = self.bias
-        if len(found):
-            buckets, n = np.unique(found, return_counts=True)
-            z += float(self.weights[buckets] @ n / np.sqrt((n * n).sum()))
-        return float(1 / (1 + np.exp(-z)))
+    def score(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """The probabilities that the URLs are to be blocked."""
+        row, bucket, n = self.counts(hosts, paths)
+        return 1 / (1 + np.exp(-np.bincount(row, self.weights[bucket] * n, minlength=len(hosts)) - self.bias))
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[int, str]] = LABELLED) -> DataFrame:
@@ -138,7 +140,11 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in parts:
-            yield pd.Series([model.score(h, p) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+            # In runs of bounded bytes: a very long URL is a run of its own.
+            ends = np.cumsum(hosts.str.len() + paths.str.len()).to_numpy() // 100_000
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(hosts)]
+            runs = [model.score(hosts[a:b].tolist(), paths[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.Series(np.concatenate(runs) if len(hosts) else [], dtype="float64")
 
     host, path = host_and_path(F.col(url_col).cast("string"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
