@@ -14,7 +14,8 @@ are a dimension of the corpus, and more than ``max_sources`` are an error. It
 is broadcast below ``broadcast_sources`` rows and joined by shuffle beyond.
 
 Edge cases: a null text has size 0; a null source is a source of its own, in
-the last place; rows alike in id and text share their fate; documents of size 0
+the last place; of rows alike in id and text at the threshold as many are taken
+as come nearest to the target (which of them, is not fixed); documents of size 0
 are taken 0 words; an empty table gives no rows; other columns are ignored.
 Reruns agree, whatever the partitions, for the hash is of id and text.
 """
@@ -32,6 +33,8 @@ from trailmark.llm.common import cut, text_of, word_count
 
 #: Hexadecimal digits of the hash, and how many of them one level of histograms resolves.
 HASH_DIGITS, LEVEL_DIGITS = 15, 3
+#: Tasks among which rows alike at a threshold are dealt.
+TIE_TASKS = 64
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -70,11 +73,31 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     base, plan = _plan(docs, id_col, text_col, source_col, weights, share, most, max_sources)
     few = plan.count() <= broadcast_sources
-    return (
-        base.join(F.broadcast(plan) if few else plan.hint("shuffle_merge"), base["source"].eqNullSafe(plan["name"]))
-        .withColumn("times", F.col("whole") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0))
-        .select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
-    )
+    joined = base.join(F.broadcast(plan) if few else plan.hint("shuffle_merge"), base["source"].eqNullSafe(plan["name"]))
+    columns = [F.col(c).alias(f"__{c}") for c in ("h", "name", "whole", "threshold", "ties")]
+    counted = _times(joined.select("doc_id", "size", "source", "source_size", "target", *columns), plan)
+    return counted.select("doc_id", "size", "source", "source_size", "target", F.col("__times").alias("times"), (F.col("__times") * F.col("size")).alias("taken"))
+
+
+def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with ``__h`` and the plan's columns) and ``__times``, how often each is taken.
+
+    Where a source's budget ends within rows of one hash, ``ties`` of these are
+    taken once more. They are numbered in ``TIE_TASKS`` groups and by offsets.
+    """
+    below = F.when((F.col("__h") < F.col("__threshold")) | (F.col("__h") == F.col("__threshold")) & F.col("__ties").isNull(), 1).otherwise(0)
+    times = F.col("__whole") + below
+    if plan.where("ties is not null").isEmpty():
+        return rows.withColumn("__times", times)
+    at_edge = F.coalesce((F.col("__h") == F.col("__threshold")) & F.col("__ties").isNotNull(), F.lit(False))
+    tied = cut(rows.where(at_edge).withColumn("__group", F.monotonically_increasing_id() % TIE_TASKS))
+    sizes = tied.groupBy("__name", "__group").count().withColumnsRenamed({"__name": "__n", "__group": "__g"})
+    offset = Window.partitionBy("__n").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__n", "__g", F.coalesce(F.sum("count").over(offset), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__name", "__group").orderBy("__h"))
+    numbered = tied.withColumn("__place", place).join(sizes, F.col("__name").eqNullSafe(F.col("__n")) & (F.col("__group") == F.col("__g")))
+    taken = F.when(F.col("__place") + F.col("__before") <= F.col("__ties"), 1).otherwise(0)
+    return rows.where(~at_edge).withColumn("__times", times).unionByName(numbered.withColumn("__times", F.col("__whole") + taken).select(*rows.columns, "__times"))
 
 
 def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, max_sources: int = 1_000_000, broadcast_sources: int = 20_000) -> DataFrame:
@@ -84,11 +107,10 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """
     _, plan = _plan(docs, id_col, text_col, source_col, weights, share, most, max_sources)
     few = plan.count() <= broadcast_sources
-    plan = plan.select(F.col("name").alias("__name"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
-    joined = docs.withColumn("__h", _hash(id_col, text_col)).join(F.broadcast(plan) if few else plan.hint("shuffle_merge"), F.col(source_col).cast("string").eqNullSafe(F.col("__name")))
-    times = F.col("__whole") + F.when(F.col("__h") <= F.col("__threshold"), 1).otherwise(0)
-    copies = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-    return copies.drop("__h", "__name", "__whole", "__threshold", "__copy")
+    side = plan.select(*(F.col(c).alias(f"__{c}") for c in ("name", "whole", "threshold", "ties")))
+    joined = docs.withColumn("__h", _hash(id_col, text_col)).join(F.broadcast(side) if few else side.hint("shuffle_merge"), F.col(source_col).cast("string").eqNullSafe(F.col("__name")))
+    copies = _times(joined, plan).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int"))))
+    return copies.select(*docs.columns)
 
 
 def _plan(docs, id_col, text_col, source_col, weights, share, most, max_sources) -> tuple[DataFrame, DataFrame]:
@@ -108,37 +130,40 @@ def _plan(docs, id_col, text_col, source_col, weights, share, most, max_sources)
     fields = [("name", StringType()), ("source_size", LongType()), ("target", DoubleType()), ("whole", LongType()), ("extra", DoubleType())]
     plan = spark.createDataFrame(rows, StructType([StructField(n, t) for n, t in fields]))
     found = thresholds(base, {r[0]: r[4] for r in rows})
-    marks = spark.createDataFrame([(n, found.get(n)) for n in (r[0] for r in rows)], StructType([StructField("n", StringType()), StructField("threshold", StringType())]))
+    marks = spark.createDataFrame([(r[0], *found.get(r[0], (None, None))) for r in rows], StructType([StructField("n", StringType()), StructField("threshold", StringType()), StructField("ties", LongType())]))
     return base, plan.join(marks, plan["name"].eqNullSafe(marks["n"])).drop("n", "extra")
 
 
-def thresholds(base: DataFrame, budgets: dict[str | None, float]) -> dict[str | None, str]:
+def thresholds(base: DataFrame, budgets: dict[str | None, float]) -> dict[str | None, tuple[str, int | None]]:
     """For each source the greatest hash to take, so that the words of all hashes
-    up to it come nearest to its budget; absent where nothing is to be taken."""
+    up to it come nearest to its budget, and how many rows of that hash (none:
+    all); absent where nothing is to be taken."""
     spark = base.sparkSession
     schema = StructType([StructField("name", StringType()), StructField("prefix", StringType()), StructField("left", DoubleType())])
-    out: dict[str | None, str] = {}
+    out: dict[str | None, tuple[str, int | None]] = {}
     state = {n: ("", b) for n, b in budgets.items() if b > 0}
     digits = 0
     while state and digits < HASH_DIGITS:
         digits += LEVEL_DIGITS
         now = spark.createDataFrame([(n, p, b) for n, (p, b) in state.items()], schema)
         inside = base.join(F.broadcast(now) if len(state) <= 20_000 else now, base["source"].eqNullSafe(now["name"]) & F.col("h").startswith(F.col("prefix")))
-        sums = inside.groupBy("name", F.substring("h", 1, digits).alias("part")).agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("left").alias("left"))
+        sums = inside.groupBy("name", F.substring("h", 1, digits).alias("part")).agg(F.sum("size").alias("words"), F.count("h").alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("left").alias("left"))
         order = Window.partitionBy("name").orderBy("part")
         run = sums.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
         # The part in which the budget ends, and the greatest hash before it.
         run = run.withColumn("previous", F.lag("high").over(order))
-        edge = run.where((F.col("before") < F.col("left")) & (F.col("upto") >= F.col("left"))).groupBy("name").agg(F.min(F.struct("part", "before", "words", "low", "high", "previous")).alias("e"))
+        edge = run.where((F.col("before") < F.col("left")) & (F.col("upto") >= F.col("left"))).groupBy("name").agg(F.min(F.struct("part", "before", "words", "rows", "low", "high", "previous")).alias("e"))
         following = {}
         for r in edge.collect():
             n, e = r["name"], r["e"]
             left = state[n][1] - e["before"]
             if e["previous"] is not None:
-                out[n] = e["previous"]
+                out[n] = e["previous"], None
             if e["low"] == e["high"]:
-                if 2 * left >= e["words"]:
-                    out[n] = e["high"]
+                # Rows of one hash are alike, so all of one size.
+                taken = min(e["rows"], int(left * e["rows"] / e["words"] + 0.5))
+                if taken:
+                    out[n] = e["high"], None if taken == e["rows"] else taken
             else:
                 following[n] = (e["part"], left)
         state = following
@@ -168,9 +193,10 @@ parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
 summed AS (
   SELECT b.doc_id, b.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS extra,
-    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h) AS upto, sum(b.size) OVER (PARTITION BY b.source, b.h) AS tied
+    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h) AS upto, sum(b.size) OVER (PARTITION BY b.source, b.h) AS tied,
+    row_number() OVER (PARTITION BY b.source, b.h) AS place
   FROM base b JOIN parts p ON b.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
-  CAST(size * (whole + CASE WHEN extra > 0 AND 2 * upto - tied <= 2 * extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN extra > 0 AND 2 * (upto - tied + place * size) - size <= 2 * extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM summed
 """
