@@ -35,6 +35,10 @@ from pyspark.sql.window import Window
 from trailmark.llm.common import cut
 
 
+#: Parts of the smallest tables; a sample of no more than two vectors a part is one part.
+MIN_PARTS = 4
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, safe for very large and very small components."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -169,12 +173,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, fit_rows: int = 4_096, rows_per_part: int = 1_500, max_parts: int = 256, chunk_rows: int = 8_192, recall: float = 0.95) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, fit_rows: int = 4_096, rows_per_part: int = 1_500, max_parts: int = 1_024, chunk_rows: int = 8_192, recall: float = 0.99) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found.
 
     ``is_query`` is a condition on the columns of ``vectors``. The sample is
-    ``fit_rows`` rows of smallest hash; a part is planned to hold
-    ``rows_per_part`` vectors, with at most ``max_parts`` parts.
+    ``fit_rows`` rows of smallest hash, or 16 a part if that is more; a part is
+    planned to hold ``rows_per_part`` vectors, with ``MIN_PARTS`` to ``max_parts``
+    parts. Beyond ``max_parts * rows_per_part`` vectors parts grow with the table.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
@@ -185,9 +190,10 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
         return empty
     d, n = lengths["d"], lengths["count"]
     rows = rows.where(F.size("v") == d)
-    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(fit_rows)
+    parts = min(max_parts, max(MIN_PARTS, n // rows_per_part))
+    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(fit_rows, 16 * parts))
     sample = np.unique(np.array([r["v"] for r in sample.collect()], dtype=float).reshape(-1, d), axis=0)
-    router = train(sample, parts=int(min(max_parts, max(1, n // rows_per_part))), recall=recall)
+    router = train(sample, parts=int(parts), recall=recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
