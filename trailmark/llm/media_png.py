@@ -125,14 +125,14 @@ def dct_hash(image: np.ndarray, side: int = 32, low: int = 8) -> bytes:
     ``side`` by ``side`` boxes, exceed their median (the constant one left out)."""
     y = np.linspace(0, image.shape[0], side + 1).astype(int)
     x = np.linspace(0, image.shape[1], side + 1).astype(int)
-    sums = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=sums[1:, 1:])
     y1, x1 = np.maximum(y[1:], y[:-1] + 1), np.maximum(x[1:], x[:-1] + 1)  # a box has a pixel at least
     y0, x0 = np.minimum(y[:-1], image.shape[0] - 1), np.minimum(x[:-1], image.shape[1] - 1)
     y1, x1 = np.minimum(y1, image.shape[0]), np.minimum(x1, image.shape[1])
     y0, x0 = np.minimum(y0, y1 - 1), np.minimum(x0, x1 - 1)
-    boxes = sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]
-    boxes /= np.outer(y1 - y0, x1 - x0)
+    # Rows are summed first, so what is held beside the image is ``side`` rows.
+    rows = np.stack([image[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(y0, y1, strict=True)])
+    sums = np.concatenate([np.zeros((side, 1), dtype=np.int64), np.cumsum(rows, axis=1)], axis=1)
+    boxes = (sums[:, x1] - sums[:, x0]) / np.outer(y1 - y0, x1 - x0)
     c = _cosines(side, low)
     freq = np.round(c @ boxes @ c.T, 6).ravel()
     return np.packbits(freq > np.median(freq[1:])).tobytes()
