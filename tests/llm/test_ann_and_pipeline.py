@@ -133,5 +133,52 @@ def test_stage_edges(spark, stage):
     rows = [(1, "a plain text of some words", "en", "s", 26), (1, "a plain text of some words", "en", "s", 26), (None, None, None, None, None), (2, "", "en", None, 0), (3, "long " * 30_000, "en", "s", 150_000)]
     docs = spark.createDataFrame([(*r, random.random()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double")
     sf = "/root/testdata/sf0.001"
-    assert stage(spark, docs, sf).count() >= 0
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in stage(spark, docs, sf).select("doc_id").collect())
+    scores = [r["predicted"] for r in score(docs, fit(docs, table(spark, sf, "labels"))).collect()]
+    times = {(r["doc_id"] if r["doc_id"] is not None else -1, r["size"]): 0 for r in mixing.mix(docs).collect()}
+    for r in mixing.mix(docs).collect():
+        times[r["doc_id"] if r["doc_id"] is not None else -1, r["size"]] += r["times"]
+    want = {
+        "quality": sorted((-1 if r[0] is None else r[0]) for r, p in zip(rows, scores, strict=True) if p),
+        "near_duplicates": [-1, 1, 2, 3],  # the repeated row once; rows without words all stay
+        "secrets": [-1, 1, 1, 2, 3],
+        "mixture": sorted(i for (i, _), n in times.items() for _ in range(n)),
+        "packed": sorted([-1, 1, 1, 2] + [3] * -(-(len(packing.encode(rows[4][1])) + 1) // 2048)),
+    }[stage.__name__]
+    assert (sorted(set(got)) == sorted(set(want)) and len(got) >= len(want)) if stage.__name__ == "packed" else got == want
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_quality_stage_against_features_by_hand(spark):
+    """The stage's decision from bins, edges and tables looked up one by one."""
+    from trailmark.llm import quality_gam
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = fit(docs, table(spark, sf, "labels"))
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    features = quality_gam.features([r["text"] or "" for r in rows])
+    for r, f in zip(rows, features, strict=True):
+        words = (r["text"] or "").split()
+        assert f[0] == pytest.approx(np.log1p(len(r["text"] or "")))
+        if words:
+            assert f[10] == pytest.approx(np.mean([len(w) for w in words])) and f[11] == pytest.approx(len(set(words)) / len(words))
+            assert f[14] == pytest.approx(np.mean([len(w) > 14 for w in words])) and f[15] == pytest.approx(np.mean([len(w) < 3 for w in words]))
+    bins = [[int(np.searchsorted(e, f[j], side="right")) for j, e in enumerate(model.edges)] for f in features]
+    assert len(model.tables) == len(model.edges) == features.shape[1]
+    assert all(0 <= b < len(t) for row in bins for b, t in zip(row, model.tables, strict=True))
+
+
+def test_run_chains_the_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    want = sorted((r["doc_id"], i) for r in docs.collect() for i in packing.encode(r["text"] or "").tolist() + [packing.END_ID])
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], i) for r in rows for i in r["ids"]) == want
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= packing.WINDOW
