@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from trailmark.operators.tracking import Motion, Params, Seen, Tracker, deferred_match, pose_similarity, track
+from trailmark.operators.tracking import Motion, Params, Seen, Track, Tracker, decide_appearance, deferred_match, pose_similarity, risky_overlaps, track
 from trailmark.streaming.tracking import track_stream
 
 SCHEMA = "video string, epoch_id bigint, frame_idx bigint, det_id bigint, center_x double, center_y double"
@@ -134,3 +135,99 @@ def test_few_keypoints_make_no_memory():
         for k in (10, n):
             tracker.step([Seen(0, 0.0, 0.0, pose(k), np.ones(25), np.ones(3))])
         assert bool(np.isnan(tracker.tracks[0].points).any()) == kept
+
+
+# ------------------------------------------------------------------ gates of a matched track, by hand
+
+
+def seen(x, vector=None, points=True, det=0, **more):
+    body = np.stack([np.linspace(0, 50, 25), np.linspace(0, 90, 25)], axis=1) + x if points else None
+    return Seen(det, float(x), 0.0, body, np.ones(25) if points else None, vector, posed=points, dressed=vector is not None, **more)
+
+
+def grown(frames=8, **more):
+    """One track, seen at the same place; easy start gives it its vector at once."""
+    t = Tracker(Params(easy_births=1))
+    for _ in range(frames):
+        t.step([seen(0, np.array([1.0, 0.0]), **more)])
+    return t
+
+
+def test_overlap_is_a_weak_motion_update():
+    free, held = grown(), grown()
+    before = free.tracks[0].motion.x
+    free.step([seen(20, np.array([1.0, 0.0]))])
+    held.step([seen(20, np.array([1.0, 0.0]), risky=(9,))])
+    assert free.tracks[0].hits == held.tracks[0].hits == 9
+    assert held.tracks[0].motion.x - before == pytest.approx(0.25 * (free.tracks[0].motion.x - before))
+    assert free.tracks[0].points[0, 0] == 20 and held.tracks[0].points[0, 0] == 0  # the pose stays
+
+
+def test_a_freeze_blocks_the_vector_only():
+    t = grown()
+    t.tracks[0].frozen = {99: 5}
+    t.step([seen(5, np.array([0.99, 0.1]))])
+    assert t.tracks[0].points[0, 0] == 5 and t.tracks[0].vector.tolist() == [1.0, 0.0] and t.tracks[0].stale == 1
+
+
+def test_beyond_the_motion_gate_nothing_changes():
+    t = grown()
+    p, track = Params(), t.tracks[0]
+    track.motion.predict(p)
+    var = track.motion.a + p.measure
+    x = track.motion.x + (0.085 * p.chi2 * var) ** 0.5  # between the update's 0.08 and the match's 0.09
+    t = grown()
+    t.step([seen(x, np.array([1.0, 0.0]))])
+    assert t.tracks[0].hits == 8 and t.tracks[0].missed == 1 and t.tracks[0].center == (0.0, 0.0) and t.tracks[0].stale == 1
+
+
+def angled(cost):
+    """A unit vector at this appearance cost from (1, 0)."""
+    c = 1 - 2 * cost
+    return np.array([c, (1 - c * c) ** 0.5])
+
+
+def test_recovery_after_three_agreeing_vectors():
+    t = grown()
+    far = angled(0.1)
+    for k in (1, 2):
+        t.step([seen(0, far)])
+        assert len(t.tracks[0].buffer) == k and t.tracks[0].vector.tolist() == [1.0, 0.0] and t.tracks[0].stale == k
+    t.step([seen(0, far)])
+    want = 0.97 * np.array([1.0, 0.0]) + 0.03 * far
+    assert t.tracks[0].vector == pytest.approx(want / np.linalg.norm(want)) and t.tracks[0].stale == 0 and not t.tracks[0].buffer
+
+
+def test_reasons_and_clearing_of_the_buffer():
+    p = Params(appearance=1.0)
+    for appearance, more, overlapped, frozen, reason, kept in (
+        (0.05, {}, False, {}, "strict", 1), (0.1, {}, True, {}, "overlap", 0), (0.1, {}, False, {1: 2}, "freeze", 0), (0.2, {}, False, {}, "hard", 0),
+        (0.1, {"coverage": 0.5}, False, {}, "unsafe", 0), (0.15, {}, False, {}, "above", 1), (0.1, {}, False, {}, "buffer", 2), (0.05, {"none": True}, False, {}, "missing", 1),
+    ):
+        track = Track(1, None, vector=np.array([1.0, 0.0]), frozen=frozen, buffer=[np.array([1.0, 0.0])])
+        s = seen(0, None if more.pop("none", False) else angled(appearance), **more)
+        assert decide_appearance(track, s, 0.0, 0.0, appearance, overlapped, p) == reason and len(track.buffer) == kept
+    # After many matched frames without an update the reach is the hard limit.
+    late = Track(1, None, vector=np.array([1.0, 0.0]), stale=100)
+    assert decide_appearance(late, seen(0, angled(0.17)), 0.0, 0.0, 0.17, False, p) == "buffer"
+
+
+def test_overlap_thresholds_by_zone():
+    p, a, b = Params(), Track(1, None, sub=True), Track(2, None, confirmed=True)
+    young = Track(3, None)
+
+    def risky(overlap, away, track, other):
+        return risky_overlaps(seen(0, overlaps=((7, overlap, away),)), track, {7: other} if other else {}, p) == (7,)
+
+    for away, limit in ((0.5, 0.003), (0.8, 0.005), (1.1, 0.007), (1.5, 0.008)):
+        assert risky(limit + 1e-4, away, a, b) and not risky(limit, away, a, b)
+    for pair in ((a, young), (young, b), (a, None), (None, b)):  # not both stable: the default
+        assert not risky(0.0079, 0.1, *pair) and risky(0.0081, 0.1, *pair)
+    assert risky_overlaps(seen(0, risky=(4,)), a, {}, p) == (4,)
+
+
+def test_unknown_coverage_is_no_perfect_match(spark):
+    rows = [("v", 1, f, 0, 0.0, 0.0, [1.0, 0.0] if f < 6 else [-1.0, 0.0], None) for f in range(8)]
+    found = track(spark.createDataFrame(rows, "video string, epoch_id bigint, frame_idx bigint, det_id bigint, center_x double, center_y double, e_app array<double>, e_app_coverage double"))
+    last = found.where("frame_idx = 7").collect()
+    assert not any(r["is_matched"] and r["local_track_id"] == 1 for r in last)  # opposite vectors never match

@@ -7,7 +7,8 @@ crosses an epoch, so epochs run in parallel; a stream keeps one state a video.
 
 Edge cases: in a table with vectors a pair in which one is missing costs 0.5 or
 more in appearance and is rejected, likewise keypoints in pose; a table without
-the column is matched without that gate.
+the column is matched without that gate. A row without a coverage has
+the coverage 0, a table without the column has it 1 throughout.
 """
 
 from __future__ import annotations
@@ -50,6 +51,22 @@ class Params:
     update_motion: float = 0.08
     update_pose: float = 0.25
     update_appearance: float = 0.06
+    #: Share of a detection's place in the motion update of an overlapped track.
+    overlap_motion: float = 0.25
+    #: Overlap that is risky, by the pair's scaled distance, for two stable tracks; else the last.
+    overlap_near: tuple[float, float] = (0.55, 0.003)
+    overlap_mid: tuple[float, float] = (0.85, 0.005)
+    overlap_far: tuple[float, float] = (1.20, 0.007)
+    overlap_default: float = 0.008
+    #: Vectors too far for an update are kept and, if several agree, move the track's a little.
+    buffer_upper: float = 0.12
+    buffer_hard: float = 0.18
+    buffer_relax: float = 8.0
+    buffer_size: int = 3
+    buffer_motion: float = 0.08
+    buffer_pose: float = 0.25
+    buffer_coverage: float = 0.70
+    buffer_ema: float = 0.97
     ema: float = 0.9
     relax_full: float = 20.0
     relax_strength: float = 2.0
@@ -128,6 +145,8 @@ class Seen:
     coverage: float = 1.0
     overlap: float = 0.0
     risky: tuple[int, ...] = ()
+    #: (detection, overlap, scaled distance) of each overlap, where the table has them; else ``risky`` is taken.
+    overlaps: tuple[tuple[int, float, float], ...] | None = None
     mask: np.ndarray | None = None
     #: Whether the table has keypoints and vectors at all; only then is a missing one rejected.
     posed: bool = False
@@ -149,6 +168,13 @@ class Track:
     frozen: dict[int, int] = field(default_factory=dict)  # source -> frames left
     group: tuple[int, ...] = ()
     center: tuple[float, float] = (0.0, 0.0)
+    #: Unit vectors kept for a recovery, and matched frames since the last update of the vector.
+    buffer: list[np.ndarray] = field(default_factory=list)
+    stale: int = 0
+
+    @property
+    def stable(self) -> bool:
+        return self.confirmed or self.sub
 
 
 @dataclass
@@ -226,6 +252,54 @@ def pose_penalty(a: Seen, b: Seen, p: Params) -> float:
     return 0.0 if away <= p.birth_pose_limit else p.birth_pose_bad
 
 
+def risky_overlaps(s: Seen, track: Track | None, holder: dict[int, Track], p: Params) -> tuple[int, ...]:
+    """Detections whose overlap with ``s`` exceeds the threshold of the pair: graded
+    by distance where both tracks are stable, the default otherwise."""
+    if s.overlaps is None:
+        return s.risky
+    found = []
+    for other, overlap, away in s.overlaps:
+        limit, held = p.overlap_default, holder.get(other)
+        if track is not None and track.stable and held is not None and held.stable:
+            limit = next((x for reach, x in (p.overlap_near, p.overlap_mid, p.overlap_far) if away <= reach), limit)
+        if overlap > limit:
+            found.append(other)
+    return tuple(found)
+
+
+def decide_appearance(t: Track, s: Seen, motion: float, pose: float, appearance: float, overlapped: bool, p: Params) -> str:
+    """How a matched detection may change its track's vector: ``strict``, ``buffer``,
+    ``recovery`` or the reason of a rejection. Buffers, and applies a recovery.
+
+    The reach of the buffer grows with the matched frames since the last update.
+    """
+    frozen = bool(t.frozen)
+    if appearance <= p.update_appearance and not overlapped and not frozen and s.vector is not None:
+        return "strict"
+    reach = min(p.buffer_hard, p.buffer_upper + (p.buffer_hard - p.buffer_upper) * (1 - math.exp(-t.stale / max(p.buffer_relax, 1e-6))))
+    safe = motion <= p.buffer_motion and pose <= p.buffer_pose and s.coverage >= p.buffer_coverage
+    if s.vector is not None and p.update_appearance < appearance <= reach and safe and not overlapped and not frozen:
+        n = float(np.linalg.norm(s.vector))
+        t.buffer.append(s.vector / n if n > 1e-8 else s.vector)
+        if len(t.buffer) < max(1, p.buffer_size) or t.vector is None:
+            return "buffer"
+        batch = np.mean(t.buffer, axis=0)
+        moved = p.buffer_ema * t.vector + (1 - p.buffer_ema) * batch / max(float(np.linalg.norm(batch)), 1e-8)
+        t.vector = moved / max(float(np.linalg.norm(moved)), 1e-8)
+        t.stale, t.buffer = 0, []
+        return "recovery"
+    hard = appearance > p.buffer_hard
+    if overlapped or frozen or hard or not safe:
+        t.buffer = []
+    if overlapped:
+        return "overlap"
+    if frozen:
+        return "freeze"
+    if s.vector is None:
+        return "missing"
+    return "hard" if hard else "unsafe" if not safe else "above"
+
+
 def penalties(values: np.ndarray, active: np.ndarray, k: float) -> np.ndarray:
     """Log ratio to the best active value, 0 to 1; 1 where not active."""
     if not active.any():
@@ -318,22 +392,29 @@ class Tracker:
             for source in fresh:
                 if t.id == source or source in t.group:
                     t.frozen[source] = max(p.freeze, t.frozen.get(source, 0))
-        holder = {seen[j].det_id: self.tracks[i].id for i, j in matches.items()}
+        holder = {seen[j].det_id: self.tracks[i] for i, j in matches.items()}
         for i, j in matches.items():
             t, s = self.tracks[i], seen[j]
-            if cost[0, i, j] <= p.update_motion or t.missed > 1:
-                t.motion.update(s.x, s.y, p)
+            risky = risky_overlaps(s, t, holder, p)
+            decision = decide_appearance(t, s, *cost[:, i, j], bool(risky), p)
+            moved = cost[0, i, j] <= p.update_motion
+            if moved:
+                # Under an overlap the place is trusted a little, pose and vector not at all.
+                share = p.overlap_motion if risky else 1.0
+                t.motion.update(t.motion.x + share * (s.x - t.motion.x), t.motion.y + share * (s.y - t.motion.y), p)
                 t.hits += 1
                 t.missed = 0
                 t.confirmed |= t.hits >= p.min_hits
                 t.sub |= t.hits >= p.min_hits_sub
-                if not s.risky and not t.frozen:
-                    if s.points is not None and cost[1, i, j] <= p.update_pose and joints(s) >= p.joints_update:
-                        t.points, t.conf = s.points, s.conf
-                    if s.vector is not None and (t.vector is None or cost[2, i, j] <= p.update_appearance):
-                        t.vector = s.vector if t.vector is None else p.ema * t.vector + (1 - p.ema) * s.vector
-            t.center = (s.x, s.y)
-            t.group = tuple(sorted(holder[o] for o in s.risky if o in holder))
+                t.center = (s.x, s.y)
+                if not risky and s.points is not None and cost[1, i, j] <= p.update_pose and joints(s) >= p.joints_update:
+                    t.points, t.conf = s.points, s.conf
+            if decision == "strict" and moved:
+                t.vector = s.vector if t.vector is None else p.ema * t.vector + (1 - p.ema) * s.vector
+                t.buffer, t.stale = [], 0
+            elif decision != "recovery":
+                t.stale += 1
+            t.group = tuple(sorted(holder[o].id for o in risky if o in holder))
         taken = set(matches.values())
         self._births([s for j, s in enumerate(seen) if j not in taken])
         loose = sorted((t for t in self.tracks if not t.confirmed and not t.sub and t.age > 1), key=lambda t: (-t.hits, t.missed, t.age))
@@ -364,7 +445,7 @@ class Tracker:
 
     def _births(self, rest: list[Seen]) -> None:
         p = self.p
-        stable = [t for t in self.tracks if t.confirmed or t.sub]
+        stable = [t for t in self.tracks if t.stable]
         for c in self.pending:
             c.motion.predict(p)
             c.age += 1
@@ -406,9 +487,9 @@ class Tracker:
             (ready if c.hits >= need else self.pending).append(c)
         for c in sorted(ready, key=lambda c: c.seen.det_id):
             s = c.seen
-            easy = c.kind == "easy_start"
-            points, conf = (s.points, s.conf) if easy or not s.risky else (None, None)
-            vector = s.vector if easy or (joints(s) >= p.joints_create and not s.risky) else None
+            easy, risky = c.kind == "easy_start", risky_overlaps(s, None, {}, p)
+            points, conf = (s.points, s.conf) if easy or not risky else (None, None)
+            vector = s.vector if easy or (joints(s) >= p.joints_create and not risky) else None
             t = Track(self.next_id, Motion(s.x, s.y, a=p.p0, c=p.p0), points, conf, vector, hits=1, center=(s.x, s.y))
             t.motion.update(s.x, s.y, p)
             self.tracks.append(t)
@@ -423,6 +504,10 @@ def _mask(value) -> np.ndarray | None:
     return None if value is None else np.array([bool(v) for v in value], dtype=bool)
 
 
+def _overlaps(value) -> tuple[tuple[int, float, float], ...] | None:
+    return None if value is None else tuple((int(v["det_idx"]), float(v["iou"]), float(v["center_dist_norm"])) for v in value)
+
+
 def _coverage(value) -> float:
     """1 where the table has none, 0 where a row has none."""
     return 0.0 if value is None or math.isnan(value) else min(1.0, max(0.0, float(value)))
@@ -433,7 +518,7 @@ def _frame(rows: pd.DataFrame) -> list[Seen]:
     for r in rows.sort_values("det_id").to_dict("records"):
         if pd.isna(r["det_id"]) or pd.isna(r["center_x"]) or pd.isna(r["center_y"]):
             continue  # a frame without detections, or a detection without a place
-        out.append(Seen(int(r["det_id"]), float(r["center_x"]), float(r["center_y"]), _array(r.get("keypoints")), _array(r.get("kp_conf")), _array(r.get("e_app")), _coverage(r.get("e_app_coverage", 1.0)), float(r.get("max_overlap_iou") or 0.0), tuple(r["risky"]) if r.get("risky") is not None else (), _mask(r.get("e_app_valid_mask")), "keypoints" in rows, "e_app" in rows))
+        out.append(Seen(int(r["det_id"]), float(r["center_x"]), float(r["center_y"]), _array(r.get("keypoints")), _array(r.get("kp_conf")), _array(r.get("e_app")), _coverage(r.get("e_app_coverage", 1.0)), float(r.get("max_overlap_iou") or 0.0), tuple(r["risky"]) if r.get("risky") is not None else (), _overlaps(r.get("overlap_relations")), _mask(r.get("e_app_valid_mask")), "keypoints" in rows, "e_app" in rows))
     return out
 
 
@@ -446,7 +531,9 @@ def fold(tracker: Tracker, rows: pd.DataFrame) -> Iterator[tuple]:
 
 def track(detections: DataFrame, params: Params | None = None) -> DataFrame:
     """Track states of ``detections`` (``video, epoch_id, frame_idx, det_id,
-    center_x, center_y`` and, where there, keypoints, vectors and overlaps)."""
+    center_x, center_y`` and, where there, keypoints, vectors and overlaps: either
+    ``overlap_relations``, structs of ``det_idx, iou, center_dist_norm``, or the
+    detections that are ``risky`` whatever the tracks)."""
     columns = [f.split()[0] for f in STATES.split(", ")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions import vectors as V
-from trailmark.operators import export, identity
+from trailmark.operators import export, identity, matches, skeleton
 from trailmark.operators.components import components
 from trailmark.operators.query import View, windows
 from trailmark.operators.tracking import track
@@ -76,7 +76,7 @@ on_obs("q_distinct_epochs", lambda v: v.available("epoch_id"), "SELECT DISTINCT
 # ------------------------------------------------------------- aggregations
 on_obs("q_local_tracks", lambda v: v.local_tracks(), "SELECT global_track_id, epoch_id, local_track_id, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, count(*) AS n_observations, CAST(count_if(is_matched) AS BIGINT) AS n_matched FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL")
 on_obs("q_ambiguous", lambda v: v.ambiguous(), "SELECT global_track_id, frame_idx, count(*) AS n_rows FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
-on_obs("q_segment_lengths", lambda v: v.df.where("global_track_id is not null").groupBy("global_track_id").agg(F.count_distinct("frame_idx").alias("n_frames"), F.count("*").alias("n_rows")), "SELECT global_track_id, count(DISTINCT frame_idx) AS n_frames, count(*) AS n_rows FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL")
+on_obs("q_segment_lengths", lambda v: matches.segment_lengths(v.df), "SELECT global_track_id, count(DISTINCT frame_idx) AS n_frames, count(*) AS n_rows FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL")
 
 
 def _keyed_sample(v: View) -> DataFrame:
@@ -110,10 +110,13 @@ on_obs("q_sliding_windows_whole", _whole_axis, f", {SEEN}, axis AS (SELECT min(f
 FROM lineitem LEFT JOIN part ON p_partkey = CASE WHEN l_returnflag = 'R' THEN -1 ELSE l_partkey END LEFT JOIN orders ON o_orderkey = l_orderkey""")
 def q_export(spark: SparkSession, d: str) -> DataFrame:
     """Track states with their detections' payload and identities, -1 made null."""
-    states = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.col("l_partkey")).alias("det"))
-    prepared, mapping = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("payload")), table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("global_track_id"))
-    rows = states.join(prepared, states["det"] == prepared["p_partkey"], "left").join(mapping, states["l_orderkey"] == mapping["o_orderkey"], "left")
-    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("det") >= 0, F.col("det")).alias("det_id"), "payload", "global_track_id")
+    line = table(spark, d, "lineitem")
+    states = line.select(F.col("l_orderkey").alias("epoch_id"), F.col("l_linenumber").alias("local_track_id"), F.lit(0).cast("bigint").alias("frame_idx"), F.when(F.col("l_returnflag") == "R", F.lit(-1)).otherwise(F.col("l_partkey")).alias("det_id"))
+    prepared = table(spark, d, "part").select(F.lit(0).cast("bigint").alias("frame_idx"), F.col("p_partkey").alias("det_id"), F.col("p_size").cast("double").alias("max_overlap_iou"))
+    # An order is an epoch here, so its tracks take its customer as identity.
+    mapping = states.select("epoch_id", "local_track_id").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("epoch_id"), F.col("o_custkey").alias("global_track_id")), "epoch_id").distinct()
+    rows = export.build_observations(states, prepared, mapping)
+    return rows.select(F.col("epoch_id").alias("l_orderkey"), F.col("local_track_id").alias("l_linenumber"), "det_id", F.col("max_overlap_iou").cast("int").alias("payload"), "global_track_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -121,14 +124,22 @@ def q_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return export.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("det_id"))
+
+
+def _taken(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("det_id"))
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def q_split_matched(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
+    return matches.matched(_parts(spark, d), _taken(spark, d), "det_id").withColumnRenamed("det_id", "p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def q_split_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return matches.unmatched(_parts(spark, d), _taken(spark, d), "det_id").withColumnRenamed("det_id", "p_partkey")
 
 
 _BOXES = "SELECT frame_idx, event_id AS det_id, bbox_x1, bbox_x1 AS bbox_y1, bbox_x1 + 10 AS bbox_x2, bbox_x1 + 20 AS bbox_y2 FROM obs"
@@ -153,8 +164,7 @@ def q_pair_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(OBS + PAIRS + ", r AS (SELECT *, round(iou, 6) AS v, round(dist, 6) AS w FROM pairs) SELECT frame_idx, det_id, max(v) AS max_overlap_iou, CASE WHEN max(v) > 0 THEN arg_max(other_id, (v, -other_id)) END AS max_overlap_det_idx, min(w) AS min_center_dist_norm, arg_min(other_id, (w, other_id)) AS center_dist_norm_det_idx FROM r GROUP BY ALL")
 def q_overlap_extrema(spark: SparkSession, d: str) -> DataFrame:
-    pairs = export.overlaps(_boxes(spark, d)).withColumns({"iou": F.round("iou", 6), "center_dist_norm": F.round("center_dist_norm", 6)})
-    return export.overlap_extrema(pairs)
+    return skeleton.frame_extrema(_boxes(spark, d), digits=6)
 
 
 # ------------------------------------------------------------- ordered functions
@@ -192,16 +202,13 @@ def q_kalman_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(OBS + ", t AS (SELECT DISTINCT global_track_id, frame_idx FROM obs WHERE global_track_id IS NOT NULL AND is_matched) SELECT global_track_id, frame_idx AS last_frame FROM (SELECT *, lead(frame_idx) OVER (PARTITION BY global_track_id ORDER BY frame_idx) AS following FROM t) WHERE following IS NOT NULL AND following <> frame_idx + 1")
 def q_absent_after(spark: SparkSession, d: str) -> DataFrame:
-    t = obs(spark, d).where("global_track_id is not null and is_matched").select("global_track_id", "frame_idx").distinct()
-    after = t.withColumn("following", F.lead("frame_idx").over(Window.partitionBy("global_track_id").orderBy("frame_idx")))
-    return after.where("following is not null and following <> frame_idx + 1").select("global_track_id", F.col("frame_idx").alias("last_frame"))
+    return matches.absent_after(obs(spark, d).where("global_track_id is not null and is_matched"))
 
 
 @query(OBS + "SELECT epoch_id, global_track_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY epoch_id ORDER BY hits DESC, global_track_id) AS place FROM (SELECT epoch_id, global_track_id, count(*) AS hits FROM obs WHERE is_matched AND global_track_id IS NOT NULL GROUP BY ALL)) WHERE place <= 4")
 def q_topk_hits(spark: SparkSession, d: str) -> DataFrame:
     hits = obs(spark, d).where("is_matched and global_track_id is not null").groupBy("epoch_id", "global_track_id").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("epoch_id").orderBy(F.desc("hits"), "global_track_id")
-    return hits.withColumn("place", F.row_number().over(order)).where("place <= 4").drop("place")
+    return matches.top_by_hits(hits, ["epoch_id"], "global_track_id")
 
 
 # ------------------------------------------------------------- scalar functions
@@ -224,7 +231,7 @@ def q_miss_relaxation(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, round(sum(value * (user_id + 1)) / greatest(sum(user_id + 1), 1e-12), 6) AS loss FROM events GROUP BY ALL")
 def q_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("w", F.col("user_id") + 1)
-    return e.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("w")) / F.greatest(F.sum("w").cast("double"), F.lit(1e-12)), 6).alias("loss"))
+    return matches.weighted_mean(e, "event_type", "value", "w").withColumn("loss", F.round("loss", 6))
 
 
 @query("SELECT event_id, round(y * dist * dist + (1 - y) * greatest(1 - dist, 0) ** 2, 6) AS loss FROM (SELECT event_id, user_id % 2 AS y, value / 50 AS dist FROM events)")
@@ -264,12 +271,14 @@ def q_mean_similarity(spark: SparkSession, d: str) -> DataFrame:
     return identity.candidate_edges(means, -2.0, id_col="label").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
-@query(f"SELECT i, j, CASE WHEN round(sim, 6) >= 0.3 THEN CASE WHEN (SELECT label FROM embeddings WHERE vec_id = i) = (SELECT label FROM embeddings WHERE vec_id = j) THEN 'REJECT_SAME_EPOCH' ELSE 'PASS_PAIR' END END AS status FROM ({EDGES}) WHERE round(sim, 6) >= 0.3")
+@query(f"SELECT i, j, CASE WHEN i = 1 AND j IN (2, 3) OR i = 2 AND j = 3 THEN 'PASS_FINAL_G5' WHEN sim < 0.32 THEN 'REJECT_BELOW_THRESHOLD' WHEN (SELECT label FROM embeddings WHERE vec_id = i) = (SELECT label FROM embeddings WHERE vec_id = j) THEN 'REJECT_SAME_EPOCH' ELSE 'PASS_PAIR_NOT_FINAL_GROUP' END AS status FROM ({EDGES}) WHERE round(sim, 6) >= 0.3 OR i < 3 AND j < 4 AND i > 0")
 def q_pair_status(spark: SparkSession, d: str) -> DataFrame:
-    epoch = table(spark, d, "embeddings").select("vec_id", "label")
-    e = _edges(spark, d, 0.2999).where(F.round("sim", 6) >= 0.3)
-    e = e.join(epoch.toDF("i", "a"), "i").join(epoch.toDF("j", "b"), "j")
-    return e.select("i", "j", F.when(F.col("a") == F.col("b"), "REJECT_SAME_EPOCH").otherwise("PASS_PAIR").alias("status"))
+    """What became of pairs: strong ones, and those of an identity of the vectors 1 to 3."""
+    e = table(spark, d, "embeddings")
+    strong = _edges(spark, d, 0.2999).where(F.round("sim", 6) >= 0.3)
+    inside = identity.candidate_edges(e.where("vec_id between 1 and 3"), -2.0, id_col="vec_id", epoch_col="label", vector="embedding")
+    final = spark.range(1, 4).select(F.col("id").alias("node"), F.lit(5).cast("bigint").alias("global_track_id"))
+    return identity.pair_status(strong.unionByName(inside).dropDuplicates(["i", "j"]), e, final, 0.32, id_col="vec_id", epoch_col="label").drop("sim")
 
 
 @query()
@@ -286,7 +295,7 @@ def q_tracking_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- sets
-_ids = lambda spark, d, kind: table(spark, d, "events").where(F.col("event_type") == kind).select("user_id")
+_ids = lambda spark, d, kind: table(spark, d, "events").where((F.col("event_type") == kind) & (F.col("value") > 60)).select(F.hour("ts").alias("hour"), "user_id")
 for _name, _op, _sql in (("q_set_difference", "subtract", "EXCEPT"), ("q_set_intersection", "intersect", "INTERSECT"), ("q_set_union_all", "unionAll", "UNION ALL")):
     QUERIES[_name] = lambda spark, d, op=_op: getattr(_ids(spark, d, "error"), op)(_ids(spark, d, "purchase"))
-    ORACLE[_name] = f"SELECT user_id FROM events WHERE event_type = 'error' {_sql} SELECT user_id FROM events WHERE event_type = 'purchase'"
+    ORACLE[_name] = f"SELECT CAST(hour(ts) AS INTEGER) AS hour, user_id FROM events WHERE event_type = 'error' AND value > 60 {_sql} SELECT CAST(hour(ts) AS INTEGER), user_id FROM events WHERE event_type = 'purchase' AND value > 60"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trailmark.functions import vectors as V
+from trailmark.operators import identity, matches
 from trailmark.plans.catalogue import EDGES, OBS, _edges, obs, query, table
 
 _NORM = "sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])))"
@@ -61,28 +61,24 @@ def q_name_parts(spark: SparkSession, d: str) -> DataFrame:
 @query(OBS + ", t AS (SELECT DISTINCT global_track_id, frame_idx FROM obs WHERE global_track_id IS NOT NULL), s AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER w <= 10 THEN 0 ELSE 1 END AS starts FROM t WINDOW w AS (PARTITION BY global_track_id ORDER BY frame_idx)), l AS (SELECT *, sum(starts) OVER (PARTITION BY global_track_id ORDER BY frame_idx) AS life FROM s) SELECT global_track_id, CAST(life AS BIGINT) AS life, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_frames FROM l GROUP BY ALL")
 def q_lifetimes(spark: SparkSession, d: str) -> DataFrame:
     """Lives of an identity: a gap of more than ten frames ends one."""
-    w = Window.partitionBy("global_track_id").orderBy("frame_idx")
-    t = obs(spark, d).where("global_track_id is not null").select("global_track_id", "frame_idx").distinct()
-    starts = F.when(F.col("frame_idx") - F.lag("frame_idx").over(w) <= 10, 0).otherwise(1)
-    lives = t.withColumn("starts", starts).withColumn("life", F.sum("starts").over(w).cast("bigint"))
-    return lives.groupBy("global_track_id", "life").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count("*").alias("n_frames"))
+    return matches.lifetimes(obs(spark, d))
 
 
 @query(OBS + "SELECT global_track_id, frame_idx, arg_max(event_id, event_id) AS event_id FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL")
 def q_last_row_per_frame(spark: SparkSession, d: str) -> DataFrame:
-    return obs(spark, d).where("global_track_id is not null").groupBy("global_track_id", "frame_idx").agg(F.max_by("event_id", "event_id").alias("event_id"))
+    return matches.last_per_frame(obs(spark, d), F.col("event_id"))
 
 
 @query("SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change FROM events")
 def q_lag_compare(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", (F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("change"))
+    return matches.change(table(spark, d, "events"), "value", ["user_id"], ["ts", "event_id"]).select("event_id", "change")
 
 
 @query(f"SELECT label, round(coalesce(avg(sim), 1), 6) AS mean_sim, round(coalesce(min(sim), 1), 6) AS min_sim FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN (SELECT a.label AS g, e.sim FROM ({EDGES}) e JOIN embeddings a ON a.vec_id = e.i JOIN embeddings b ON b.vec_id = e.j WHERE a.label = b.label) ON g = label GROUP BY ALL")
 def q_group_similarity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    inside = _edges(spark, d, -2.0).join(e.toDF("i", "a"), "i").join(e.toDF("j", "b"), "j").where("a = b").groupBy(F.col("a").alias("label")).agg(F.avg("sim").alias("m"), F.min("sim").alias("n"))
-    return e.select("label").distinct().join(inside, "label", "left").select("label", F.round(F.coalesce("m", F.lit(1.0)), 6).alias("mean_sim"), F.round(F.coalesce("n", F.lit(1.0)), 6).alias("min_sim"))
+    e = table(spark, d, "embeddings")
+    g = identity.group_similarity(e, "label", id_col="vec_id", vector="embedding")
+    return g.select("label", F.round("mean_sim", 6).alias("mean_sim"), F.round("min_sim", 6).alias("min_sim"))
 
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN round(sim, 6) < 0.3 THEN 'below_threshold' WHEN a.label = b.label THEN 'same_epoch' ELSE 'candidate' END AS reason FROM ({EDGES}) e JOIN embeddings a ON a.vec_id = e.i JOIN embeddings b ON b.vec_id = e.j) GROUP BY ALL")
@@ -97,18 +93,44 @@ def q_rejection_counts(spark: SparkSession, d: str) -> DataFrame:
 def q_merge_matches(spark: SparkSession, d: str) -> DataFrame:
     """Two maps as one; the later map's entries win."""
     first = lambda kind: table(spark, d, "events").where(F.col("event_type") == kind).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    both = first("view").withColumn("rank", F.lit(0)).unionByName(first("signup").withColumn("rank", F.lit(1)))
-    return both.groupBy("user_id").agg(F.max_by("event_id", "rank").alias("event_id"))
+    return matches.merged(first("view"), first("signup"), "user_id", "event_id")
 
 
 @query(OBS + "SELECT event_id, coalesce(global_track_id, 880) AS global_track_id FROM obs")
 def q_unknown_identity(spark: SparkSession, d: str) -> DataFrame:
-    return obs(spark, d).select("event_id", F.coalesce("global_track_id", F.lit(880).cast("bigint")).alias("global_track_id"))
+    return matches.known_or(obs(spark, d)).select("event_id", "global_track_id")
 
 
 @query("SELECT event_type, count(*) AS attempts, CAST(count_if(value > 50) AS BIGINT) AS rejected, arg_min(event_id, (value, event_id)) AS best FROM events GROUP BY ALL")
 def q_attempt_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("attempts"), F.count_if(F.col("value") > 50).alias("rejected"), F.min_by("event_id", F.struct("value", "event_id")).alias("best"))
+    return matches.attempts(table(spark, d, "events"), "event_type", "value", "event_id", 50)
+
+
+@query("SELECT user_id AS track, arg_min(event_id, (value, event_id)) AS best_detection, min(value) AS best_cost, round(avg(value), 6) AS mean_cost, count(*) AS n_pairs FROM events GROUP BY ALL")
+def q_cost_summary(spark: SparkSession, d: str) -> DataFrame:
+    costs = table(spark, d, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("detection"), F.col("value").alias("cost"))
+    return matches.cost_summary(costs).withColumn("mean_cost", F.round("mean_cost", 6))
+
+
+@query("SELECT DISTINCT b.user_id AS member FROM (SELECT event_type, user_id FROM events WHERE value > 60) a JOIN (SELECT event_type, user_id FROM events WHERE value > 60) b USING (event_type) WHERE a.user_id = 7 AND b.user_id <> 7")
+def q_same_group(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "events").where("value > 60").groupBy("event_type").agg(F.collect_set("user_id").alias("group"))
+    return matches.same_group(groups, 7)
+
+
+@query(OBS + "SELECT o.event_id, m.global_track_id FROM obs o JOIN (SELECT epoch_id, local_track_id, min(global_track_id) AS global_track_id FROM obs WHERE local_track_id > 1 AND global_track_id IS NOT NULL GROUP BY ALL) m USING (epoch_id, local_track_id)")
+def q_identity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Identities of rows by track; rows of tracks outside the mapping are dropped."""
+    o = obs(spark, d)
+    mapping = o.where("local_track_id > 1 and global_track_id is not null").groupBy("epoch_id", "local_track_id").agg(F.min("global_track_id").alias("global_track_id"))
+    return matches.global_of(o.drop("global_track_id"), mapping).select("event_id", "global_track_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS local_track_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0")
+def q_local_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The local track of each detection that has one."""
+    found = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("local_track_id"))
+    return matches.local_of(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), found, ("l_orderkey",))
 
 
 
