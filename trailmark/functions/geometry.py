@@ -95,7 +95,8 @@ def _median(values: Column) -> Column:
 def torso_center(points: Column) -> Column:
     """Median of neck and middle hip, axis by axis; of all joints where neither is there."""
     torso = F.array(F.get(points, F.lit(NECK)), F.get(points, F.lit(MID_HIP)))
-    some = F.exists(torso, lambda p: F.coalesce(~F.isnan(p[0]) | ~F.isnan(p[1]), F.lit(False)))
+    there = lambda x: x.isNotNull() & ~F.isnan(x)
+    some = F.exists(torso, lambda p: there(p[0]) | there(p[1]))
     used = F.when(some, torso).otherwise(points)
     return F.array(_median(F.transform(used, lambda p: p[0])), _median(F.transform(used, lambda p: p[1])))
 

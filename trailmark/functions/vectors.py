@@ -150,13 +150,14 @@ def keypoint_box(points: Column, conf: Column, least: float) -> Column:
 def global_ssim(a: Column, b: Column, c1: float = 1e-4, c2: float = 9e-4) -> Column:
     """Structural similarity of two equally long number arrays as one block."""
 
+    n = F.nullif(F.size(a), F.lit(0))
+
     def mean(v: Column) -> Column:
-        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(v)
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
 
     def value(s: Column) -> Column:
         va, vb, cov = s["aa"] - s["ma"] * s["ma"], s["bb"] - s["mb"] * s["mb"], s["ab"] - s["ma"] * s["mb"]
         den = (s["ma"] * s["ma"] + s["mb"] * s["mb"] + c1) * (va + vb + c2)
         return F.when(den <= 1e-12, 1.0).otherwise((s["ma"] * s["mb"] * 2 + c1) * (cov * 2 + c2) / den)
 
-    n = F.size(a)
     return once(F.struct(mean(a).alias("ma"), mean(b).alias("mb"), (dot(a, a) / n).alias("aa"), (dot(b, b) / n).alias("bb"), (dot(a, b) / n).alias("ab")), value)

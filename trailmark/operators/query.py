@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions.vectors import visible_points
-from trailmark.schemas import validate
+from trailmark.operators.segments import AmbiguousObservationError, Observation, Segment, SegmentCollection, as_id
+from trailmark.schemas import META, OBSERVATIONS
 from trailmark.sources.results import scan
 
 
-class AmbiguousObservationError(ValueError):
-    """Several rows where one identity has one row a frame."""
-
-
 def as_list(value) -> list | None:
-    """None stays None; list, tuple and set are read through; all else is one value."""
+    """None stays None; list, tuple, set and array are read through; all else is one
+    value. Numbers and texts of numbers become whole numbers."""
     if value is None:
         return None
-    return list(value) if isinstance(value, list | tuple | set | frozenset) else [value]
+    return [as_id(v) for v in value] if isinstance(value, list | tuple | set | frozenset | np.ndarray) else [as_id(value)]
 
 
 class View:
@@ -38,7 +37,7 @@ class View:
         return View(self.df.where(condition))
 
     def global_id(self, value) -> View:
-        return self._where(F.col("global_track_id") == value)
+        return self._where(F.col("global_track_id") == as_id(value))
 
     def global_ids(self, values) -> View:
         return self._where(F.col("global_track_id").isin(as_list(values)))
@@ -99,24 +98,52 @@ class View:
 
     def frame(self, frame: int):
         """The one row of a frame, or an error that says why there is none."""
-        rows = self.at_frame(frame).df.limit(2).collect()
+        at = self.at_frame(frame).df
+        rows = at.limit(2).collect()
         if not rows:
             raise LookupError(f"no observation at frame {frame}")
         if len(rows) > 1:
-            ids = {r["global_track_id"] for r in rows}
-            if len(ids) == 1:
-                raise AmbiguousObservationError(f"several rows of one identity at frame {frame}")
+            if at.where(~F.col("global_track_id").eqNullSafe(F.lit(rows[0]["global_track_id"]))).isEmpty():
+                raise AmbiguousObservationError(rows[0]["global_track_id"], frame, at.limit(1000).toPandas())
             raise ValueError(f"several identities at frame {frame}; filter by one first")
         return rows[0]
 
+    def observation(self, frame: int) -> Observation:
+        """The frame's row as an object."""
+        row = self.frame(frame)
+        return Observation(int(frame), as_id(row["global_track_id"]), row.asDict())
+
     def window(self, start: int, length: int) -> DataFrame:
         """Exactly ``length`` rows for each identity, padded where it was not seen:
         ``frame_mask`` says whether there is an observation, ``detection_mask``
         whether it is matched and has keypoints."""
         if length <= 0:
             raise ValueError("the length must be positive")
+        if not self.focus_ids(1):
+            raise ValueError("a window needs an identity; filter by one or several")
+        inside = View(self.df.where(F.col("frame_idx").between(start, start + length - 1)))
+        twice = inside.ambiguous().first()
+        if twice:
+            gid, frame = twice["global_track_id"], twice["frame_idx"]
+            raise AmbiguousObservationError(gid, frame, inside.global_id(gid).at_frame(frame).df.limit(1000).toPandas())
         return windows(self.df, [start], length).drop("window_start")
 
+    def segment(self, start: int | None = None, length: int | None = None, most: int = 100) -> Segment | SegmentCollection:
+        """The view's identity, or its identities (at most ``most``), as objects on
+        the driver: over the frames that were seen, or padded to a window."""
+        if length is not None and length <= 0:
+            raise ValueError("the length must be positive")
+        ids = self.focus_ids(most + 1)
+        if not ids:
+            raise ValueError("a segment needs an identity; filter by one or several")
+        if len(ids) > most:
+            raise ValueError(f"more than {most} identities; filter first")
+        axis = None if length is None else range(int(start or 0), int(start or 0) + length)
+        rows = self.df.where("global_track_id is not null")
+        rows = (rows if axis is None else rows.where(F.col("frame_idx").between(axis[0], axis[-1]))).toPandas()
+        found = {i: Segment(i, rows[rows["global_track_id"] == i], axis) for i in ids}
+        return found[ids[0]] if len(ids) == 1 else SegmentCollection(found)
+
     def sliding_windows(self, first: int, last: int, stride: int, length: int) -> DataFrame:
         return windows(self.df, range(first, last - length + 2, stride), length)
 
@@ -128,8 +155,12 @@ class View:
             .agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.count("*").alias("n_observations"), F.count_if("is_matched").alias("n_matched"))
         )
 
-    def segments(self) -> dict[int, View]:
-        return {r[0]: self.global_id(r[0]) for r in self.available("global_track_id").collect()}
+    def segments(self, most: int = 10_000) -> dict[int, View]:
+        """A view of each identity; more than ``most`` are an error."""
+        ids = self.available("global_track_id").limit(most + 1).collect()
+        if len(ids) > most:
+            raise ValueError(f"more than {most} identities; filter first")
+        return {r[0]: self.global_id(r[0]) for r in ids}
 
     def available(self, column: str) -> DataFrame:
         return self.df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
@@ -137,15 +168,29 @@ class View:
     def sample_per_global(self, n: int, seed: int = 0, matched: bool = False) -> DataFrame:
         """At most ``n`` rows of each identity, without replacement, alike in reruns."""
         rows = (self.matched_only() if matched else self).df.where("global_track_id is not null")
-        order = Window.partitionBy("global_track_id").orderBy(F.xxhash64(F.lit(seed), "epoch_id", "local_track_id", "frame_idx"), "epoch_id", "local_track_id", "frame_idx")
+        # md5 of the row's place: a hash that other engines have too.
+        key = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("global_track_id", "epoch_id", "local_track_id", "frame_idx")))
+        order = Window.partitionBy("global_track_id").orderBy(F.md5(key), "epoch_id", "local_track_id", "frame_idx")
         return rows.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n).drop("__place").orderBy("global_track_id")
 
+    def ambiguous_rows(self) -> DataFrame:
+        """The rows of identities with several in a frame."""
+        return self.df.join(self.ambiguous().select("global_track_id", "frame_idx"), ["global_track_id", "frame_idx"], "left_semi")
+
     def ambiguous(self) -> DataFrame:
         """Identities with several rows in a frame."""
         return self.df.where("global_track_id is not null").groupBy("global_track_id", "frame_idx").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
     def meta(self) -> DataFrame:
-        return validate(self.df).withColumn("n_visible_keypoints", F.coalesce(visible_points(F.col("kp_conf")), F.lit(0)))
+        """The tracking columns (null where the table lacks one) and how many points are visible."""
+        columns = [F.col(c) if c in self.df.columns else F.lit(None).cast(OBSERVATIONS[c].dataType).alias(c) for c in META]
+        seen = F.coalesce(visible_points(F.col("kp_conf")), F.lit(0)) if "kp_conf" in self.df.columns else F.lit(0)
+        return self.df.select(*columns, seen.alias("n_visible_keypoints"))
+
+    def states(self) -> DataFrame:
+        """The rows with ``has_keypoints`` and ``has_detection`` (matched, with keypoints)."""
+        points = F.col("keypoints").isNotNull()
+        return self.df.withColumns({"has_keypoints": points, "has_detection": F.coalesce(F.col("is_matched") & points, F.lit(False))})
 
     def to_pandas(self):
         return self.df.toPandas()

@@ -54,8 +54,8 @@ def frame_extrema(detections: DataFrame, boxes: tuple[str, str, str, str] = ("bb
             if digits is not None:
                 iou, away = np.round(iou, digits), np.round(away, digits)
             same = ids[s, None] == ids
-            iou, away = np.where(same, -1.0, iou), np.where(same | np.isnan(away), np.inf, away)
-            best, near = iou.argmax(axis=1), away.argmin(axis=1)
+            iou, away = np.where(same, -1.0, iou), np.where(np.isnan(away), np.inf, away)
+            best, near = iou.argmax(axis=1), np.where(same, np.inf, np.minimum(away, 1e300)).argmin(axis=1)
             at = np.arange(len(best))
             for column, values in zip(out, (iou[at, best], ids[best], away[at, near], ids[near]), strict=True):
                 column.append(values)
@@ -74,7 +74,7 @@ def capsules(points: np.ndarray, sure: np.ndarray, shape: tuple[int, int], offse
     for a, b in bones:
         if a >= len(points) or b >= len(points) or not (sure[a] and sure[b]):
             continue
-        p, q = (np.array([round(float(points[k][0]) - offset[0]), round(float(points[k][1]) - offset[1])], dtype=float) for k in (a, b))
+        p, q = (np.array([round(float(points[k][c]) - float(offset[c])) for c in (0, 1)], dtype=float) for k in (a, b))
         lo, hi = np.floor(np.minimum(p, q) - reach).astype(int), np.ceil(np.maximum(p, q) + reach).astype(int) + 1
         x0, y0, x1, y1 = max(0, lo[0]), max(0, lo[1]), min(shape[1], hi[0]), min(shape[0], hi[1])
         if x1 <= x0 or y1 <= y0:

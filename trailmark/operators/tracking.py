@@ -337,6 +337,7 @@ class Tracker:
         self.tracks: list[Track] = []
         self.pending: list[Pending] = []
         self.next_id, self.easy, self.before = 1, 0, set()
+        self.log: list[tuple] | None = None  # a list takes one row a matched pair
 
     def _pairs(self, seen: list[Seen]) -> tuple[np.ndarray, np.ndarray]:
         """Motion, pose and appearance cost of each pair, and which pass all gates."""
@@ -398,6 +399,9 @@ class Tracker:
             risky = risky_overlaps(s, t, holder, p)
             decision = decide_appearance(t, s, *cost[:, i, j], bool(risky), p)
             moved = cost[0, i, j] <= p.update_motion
+            if self.log is not None:
+                total = float(np.dot(p.weights, cost[:, i, j]))
+                self.log.append((t.id, s.det_id, *(float(c) for c in cost[:, i, j]), total, moved, decision, list(risky), sorted(t.frozen)))
             if moved:
                 # Under an overlap the place is trusted a little, pose and vector not at all.
                 share = p.overlap_motion if risky else 1.0
@@ -529,6 +533,25 @@ def fold(tracker: Tracker, rows: pd.DataFrame) -> Iterator[tuple]:
             yield (int(frame), *state)
 
 
+LOG = "video string, epoch_id bigint, frame_idx bigint, local_track_id bigint, det_id bigint, d_motion double, d_pose double, d_app double, update_cost double, update_motion boolean, app_mode string, risky array<bigint>, frozen_by array<bigint>"
+
+
+def track_log(detections: DataFrame, params: Params | None = None) -> DataFrame:
+    """One row a matched pair of the same fold: its costs, what it was allowed to
+    change and why not."""
+    columns = [f.split()[0] for f in LOG.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        video, epoch, tracker, out = rows["video"].iloc[0], rows["epoch_id"].iloc[0], Tracker(params), []
+        for frame, part in rows.groupby("frame_idx", sort=True):
+            tracker.log = []
+            tracker.step(_frame(part))
+            out += [(video, epoch, int(frame), *entry) for entry in tracker.log]
+        return pd.DataFrame(out, columns=columns)
+
+    return detections.groupBy("video", "epoch_id").applyInPandas(run, LOG)
+
+
 def track(detections: DataFrame, params: Params | None = None) -> DataFrame:
     """Track states of ``detections`` (``video, epoch_id, frame_idx, det_id,
     center_x, center_y`` and, where there, keypoints, vectors and overlaps: either

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import geometry as G
 from trailmark.functions import vectors as V
 from trailmark.operators import detections as D
+from trailmark.operators import skeleton
 from trailmark.plans.catalogue import OBS, obs, query, table
 
 PEOPLE = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -219,6 +220,14 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).select(F.floor(F.col("vec_id") / 8).alias("frame_idx"), F.col("vec_id").alias("det_id"), F.col("kp").alias("keypoints"), F.col("conf").alias("kp_conf"), "e")
 
 
+@query()
+def q_skeleton_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest overlap of each drawn skeleton with another of its frame."""
+    from trailmark.operators.export import overlap_extrema
+
+    return overlap_extrema(skeleton.skeleton_pairs(_frames(spark, d), least=0.4))
+
+
 @query(PEOPLE + """, k AS (SELECT vec_id, list_filter(list_zip(kp, conf), lambda z: z[2] >= 0.1) AS z, conf FROM p)
 SELECT vec_id // 8 AS frame_idx, vec_id AS det_id, trunc(list_min(list_transform(z, lambda q: q[1][1]))) AS bbox_x1, trunc(list_max(list_transform(z, lambda q: q[1][2]))) AS bbox_y2, round(list_avg(conf), 6) AS confidence,
   (vec_id % 8) // 3 AS crop_shard_id, (vec_id % 8) % 3 AS crop_index FROM k""")

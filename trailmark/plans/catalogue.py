@@ -85,7 +85,9 @@ def _keyed_sample(v: View) -> DataFrame:
 
 
 on_obs("q_sample_by_key", _keyed_sample, "SELECT global_track_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY global_track_id ORDER BY event_id) AS place FROM obs WHERE global_track_id IS NOT NULL) WHERE place <= 5")
-QUERIES["q_sample_per_global"] = lambda spark, d: View(obs(spark, d)).sample_per_global(3, seed=7)
+on_obs("q_sample_per_global", lambda v: v.sample_per_global(3, seed=7).select("global_track_id", "epoch_id", "local_track_id", "frame_idx"), "SELECT global_track_id, epoch_id, local_track_id, frame_idx FROM obs WHERE global_track_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY global_track_id ORDER BY md5(concat_ws(':', '7', global_track_id, epoch_id, local_track_id, frame_idx)), epoch_id, local_track_id, frame_idx) <= 3")
+on_obs("q_ambiguous_rows", lambda v: v.ambiguous_rows().select("event_id", "global_track_id", "frame_idx"), "SELECT event_id, global_track_id, frame_idx FROM obs WHERE global_track_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY global_track_id, frame_idx) > 1")
+on_obs("q_meta", lambda v: v.meta().select("frame_idx", "epoch_id", "global_track_id", "is_matched", "hits", "n_visible_keypoints"), "SELECT frame_idx, epoch_id, global_track_id, is_matched, CAST(NULL AS BIGINT) AS hits, CAST(0 AS INTEGER) AS n_visible_keypoints FROM obs")
 
 # ------------------------------------------------------------- windows on a dense axis
 _seen = lambda v: v.df.where("global_track_id is not null").groupBy("global_track_id", "frame_idx").agg(F.min("event_id").alias("event_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import vectors as V
 from trailmark.operators import identity, matches
-from trailmark.plans.catalogue import EDGES, OBS, _edges, obs, query, table
+from trailmark.plans.catalogue import EDGES, OBS, obs, query, table
 
 _NORM = "sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])))"
 
@@ -83,10 +83,7 @@ def q_group_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN round(sim, 6) < 0.3 THEN 'below_threshold' WHEN a.label = b.label THEN 'same_epoch' ELSE 'candidate' END AS reason FROM ({EDGES}) e JOIN embeddings a ON a.vec_id = e.i JOIN embeddings b ON b.vec_id = e.j) GROUP BY ALL")
 def q_rejection_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    pairs = _edges(spark, d, -2.0).join(e.toDF("i", "a"), "i").join(e.toDF("j", "b"), "j")
-    reason = F.when(F.round("sim", 6) < 0.3, "below_threshold").when(F.col("a") == F.col("b"), "same_epoch").otherwise("candidate")
-    return pairs.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return identity.rejection_counts(table(spark, d, "embeddings"), 0.3, digits=6, id_col="vec_id", epoch_col="label", vector="embedding")
 
 
 @query("SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(b.event_id, a.event_id) AS event_id FROM (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL) a FULL JOIN (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY ALL) b ON a.user_id = b.user_id")

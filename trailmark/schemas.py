@@ -25,6 +25,8 @@ OBSERVATIONS = _table(
     f"{_BOX}, center_x double, center_y double, keypoints array<array<double>>, kp_conf array<double>, is_overlapping boolean, max_overlap_iou double, min_center_dist_norm double, center_dist_norm_det_idx bigint, "
     "has_body_features boolean, has_left_glove_features boolean, has_right_glove_features boolean, has_shorts_features boolean, has_e_app boolean, e_app_coverage double"
 )
+#: Tracking columns of an observation, without geometry and payload.
+META = ("frame_idx", "epoch_id", "local_track_id", "global_track_id", "det_id", "is_matched", "confirmed", "hits", "age", "time_since_update", "is_overlapping", "max_overlap_iou", "min_center_dist_norm", "center_dist_norm_det_idx", "has_body_features", "has_left_glove_features", "has_right_glove_features", "has_shorts_features", "has_e_app", "e_app_coverage")
 #: What the query API needs at least.
 REQUIRED = ("frame_idx", "epoch_id", "local_track_id", "global_track_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "keypoints", "kp_conf", "is_matched", "confirmed")
 

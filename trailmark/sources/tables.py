@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
-    It lies in the cluster's ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) does a temporary folder stand in for it.
+    It lies in the cluster's ``spark.checkpoint.dir``. Only in local mode, where
+    driver and executors are one process, may a temporary folder stand in for it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
