@@ -148,10 +148,17 @@ def thresholds(base: DataFrame, budgets: dict[str | None, float]) -> dict[str |
         now = spark.createDataFrame([(n, p, b) for n, (p, b) in state.items()], schema)
         inside = base.join(F.broadcast(now) if len(state) <= 20_000 else now, base["source"].eqNullSafe(now["name"]) & F.col("h").startswith(F.col("prefix")))
         sums = inside.groupBy("name", F.substring("h", 1, digits).alias("part")).agg(F.sum("size").alias("words"), F.count("h").alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("left").alias("left"))
-        order = Window.partitionBy("name").orderBy("part")
-        run = sums.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
+        # Running sums in two steps, first over the parts' leading digits and then
+        # within these, so no task orders all parts of a source.
+        sums = sums.withColumn("head", F.substring("part", 1, digits - 1))
+        heads = sums.groupBy(F.col("name").alias("n"), F.col("head").alias("h1")).agg(F.sum("words").alias("w"), F.max("high").alias("top"))
+        order = Window.partitionBy("n").orderBy("h1")
+        heads = heads.select("n", "h1", (F.sum("w").over(order) - F.col("w")).alias("ahead"), F.lag("top").over(order).alias("top"))
+        inner = Window.partitionBy("name", "head").orderBy("part")
+        run = sums.join(heads, F.col("name").eqNullSafe(F.col("n")) & (F.col("head") == F.col("h1")))
+        run = run.withColumn("upto", F.col("ahead") + F.sum("words").over(inner)).withColumn("before", F.col("upto") - F.col("words"))
         # The part in which the budget ends, and the greatest hash before it.
-        run = run.withColumn("previous", F.lag("high").over(order))
+        run = run.withColumn("previous", F.coalesce(F.lag("high").over(inner), "top"))
         edge = run.where((F.col("before") < F.col("left")) & (F.col("upto") >= F.col("left"))).groupBy("name").agg(F.min(F.struct("part", "before", "words", "rows", "low", "high", "previous")).alias("e"))
         following = {}
         for r in edge.collect():
