@@ -129,8 +129,9 @@ def dct_hash(image: np.ndarray, side: int = 32, low: int = 8) -> bytes:
     y0, x0 = np.minimum(y[:-1], image.shape[0] - 1), np.minimum(x[:-1], image.shape[1] - 1)
     y1, x1 = np.minimum(y1, image.shape[0]), np.minimum(x1, image.shape[1])
     y0, x0 = np.minimum(y0, y1 - 1), np.minimum(x0, x1 - 1)
-    # Rows are summed first, so what is held beside the image is ``side`` rows.
-    rows = np.stack([image[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(y0, y1, strict=True)])
+    # Rows are summed first, so what is held beside the image is ``side`` rows. In
+    # an image of fewer rows than boxes every box is one row high.
+    rows = np.add.reduceat(image, y0, axis=0, dtype=np.int64) if image.shape[0] >= side else image[y0].astype(np.int64)
     sums = np.concatenate([np.zeros((side, 1), dtype=np.int64), np.cumsum(rows, axis=1)], axis=1)
     boxes = (sums[:, x1] - sums[:, x0]) / np.outer(y1 - y0, x1 - x0)
     c = _cosines(side, low)
