@@ -296,6 +296,18 @@ def q_tracking_fold(spark: SparkSession, d: str) -> DataFrame:
     return track(seen)
 
 
+@query(OBS + """, f AS (SELECT local_track_id, epoch_id, frame_idx, bool_or(is_matched) AS seen FROM obs GROUP BY ALL),
+n AS (SELECT *, row_number() OVER w AS k, count(*) FILTER (seen) OVER w AS hits FROM f WINDOW w AS (PARTITION BY local_track_id, epoch_id ORDER BY frame_idx)),
+m AS (SELECT *, min(k) FILTER (seen) OVER (PARTITION BY local_track_id, epoch_id) AS born, max(k) FILTER (seen) OVER (PARTITION BY local_track_id, epoch_id ORDER BY frame_idx) AS last FROM n)
+SELECT CAST(local_track_id AS VARCHAR) AS video, epoch_id, frame_idx, 1::BIGINT AS local_track_id, seen AND k > born AS is_matched, hits >= 30 AS confirmed, hits, k - born + 1 AS age, k - last AS time_since_update FROM m WHERE k >= born""")
+def q_tracking_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """The fold where one thing stays in its place: one birth, a hit for each sight, a miss for each frame without."""
+    frames = obs(spark, d).groupBy(F.col("local_track_id").cast("string").alias("video"), "epoch_id", "frame_idx").agg(F.max("is_matched").alias("seen"))
+    place = F.when(F.col("seen"), F.lit(5.0))
+    found = track(frames.select("video", "epoch_id", "frame_idx", F.when(F.col("seen"), F.lit(0).cast("bigint")).alias("det_id"), place.alias("center_x"), place.alias("center_y")))
+    return found.select("video", "epoch_id", "frame_idx", "local_track_id", "is_matched", "confirmed", "hits", "age", "time_since_update")
+
+
 # ------------------------------------------------------------- sets
 _ids = lambda spark, d, kind: table(spark, d, "events").where((F.col("event_type") == kind) & (F.col("value") > 60)).select(F.hour("ts").alias("hour"), "user_id")
 for _name, _op, _sql in (("q_set_difference", "subtract", "EXCEPT"), ("q_set_intersection", "intersect", "INTERSECT"), ("q_set_union_all", "unionAll", "UNION ALL")):
