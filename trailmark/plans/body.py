@@ -146,12 +146,12 @@ def q_crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).select("vec_id", G.crop_boxes(F.col("kp"), F.col("conf"), F.lit(200), F.lit(200)).alias("c")).select("vec_id", "c.*")
 
 
-@query("SELECT event_id, event_type = 'view' AS observed, CASE WHEN event_type = 'view' THEN 30 ELSE 'nan'::double END AS width, CASE WHEN event_type = 'view' THEN 40 ELSE 'nan'::double END AS height FROM events")
+@query("SELECT event_id, event_type = 'view' AS observed, event_type <> 'view' AS padded, CASE WHEN event_type = 'view' THEN 30::double ELSE -1 END AS width, CASE WHEN event_type = 'view' THEN 40::double ELSE -1 END AS height FROM events")
 def q_padded_box(spark: SparkSession, d: str) -> DataFrame:
-    """The size of a box, NaN where there is no observation."""
+    """The size of a box; -1 for the NaN of one without an observation."""
     observed = F.col("event_type") == "view"
     box = G.padded_box(F.array(F.lit(10.0), F.lit(20.0), F.lit(40.0), F.lit(60.0)), observed)
-    return table(spark, d, "events").select("event_id", observed.alias("observed"), G.box_size(box).alias("s")).select("event_id", "observed", "s.*")
+    return table(spark, d, "events").select("event_id", observed.alias("observed"), F.isnan(box[0]).alias("padded"), G.box_size(box).alias("s")).select("event_id", "observed", "padded", *(F.nanvl(f"s.{c}", F.lit(-1.0)).alias(c) for c in ("width", "height")))
 
 
 # ------------------------------------------------------------- names, vectors, images
