@@ -104,19 +104,50 @@ def near_copies(seed, groups=14, most=14):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "chunk"), [(3, 90, 512), (5, 80, 512), (5, 80, 4), (3, 90, 4)])
-def test_jaccard_against_brute_force(spark, k, num, chunk):
+@pytest.mark.parametrize(("k", "num", "chunk", "hot"), [(3, 90, 512, 20_000), (5, 80, 512, 20_000), (5, 80, 4, 20_000), (3, 90, 4, 20_000), (3, 90, 1, 2)])
+def test_jaccard_against_brute_force(spark, k, num, chunk, hot):
     texts = near_copies(k * chunk)
     sizes, root = brute(texts, k, num, 100)
     first = {r: min(i for i, x in enumerate(root) if x == r) for r in set(root)}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    options = jaccard_tree.Options(words=k, num=num, den=100, chunk=chunk, pivots=1)
+    options = jaccard_tree.Options(words=k, num=num, den=100, chunk=chunk, pivots=1, hot=hot)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_tree.join(docs, options=options).collect()}
     assert got == {i: (sizes[i], first[root[i]]) for i in range(len(texts))}
     kept = sorted(r["doc_id"] for r in jaccard_tree.keep_one(docs, options=options).collect())
     assert kept == sorted(first.values())
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_every_class_of_a_key_meets_its_hub(spark, hot):
+    options = jaccard_tree.Options(words=5, num=80, den=100, hot=hot)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(near_copies(7, 6, 30))], "doc_id long, t long, text string").coalesce(2)
+    held, met = {}, {}
+    for r in jaccard_tree.routed(docs, options).collect():
+        held.setdefault(r["key"], set()).add(r["c"])
+    rows = jaccard_tree.classify(docs, options)
+    if hot == 1:
+        assert rows.where("size(often) > 0").count() == rows.rdd.getNumPartitions()
+    for r in jaccard_tree.hubs(rows, docs, options).collect():
+        met.setdefault((r["key"], r["hub"]), set()).add(r["c"])
+    shared = {k: v for k, v in held.items() if len(v) > 1}
+    assert len(met) == len(shared) > 0 and max(map(len, shared.values())) > 5
+    assert all(v | {hub} == shared[key] and hub not in v for (key, hub), v in met.items())
+
+
+def test_members_with_partners_in_any_chunk_stay(spark):
+    rng = np.random.default_rng(0)
+    sets = [rng.integers(0, 1 << 60, 60).astype(jaccard_tree.U) for _ in range(60)]
+    sets += [np.concatenate([s[:58], rng.integers(0, 1 << 60, 2).astype(jaccard_tree.U)]) for s in [*sets[:15], *[sets[59]] * 25]]
+    maps = np.stack([jaccard_tree.bitmap(s, 512) for s in sets])
+    want = jaccard_tree.partners(maps, np.full(len(sets), 60), 80, 100, np.zeros(len(sets), dtype=bool))
+    assert 0 < want.sum() < len(sets)
+    rows = [(i, f, 60, bytearray(m.tobytes())) for f in (1, 2) for i, m in enumerate(maps)] + [(0, 3, 60, bytearray(maps[0].tobytes()))]
+    members = spark.createDataFrame(rows, "c long, family long, n long, bitmap binary")
+    for chunk in (1, 2, 512):
+        got = sorted((r["family"], r["c"]) for r in jaccard_tree.partnered(members, jaccard_tree.Options(chunk=chunk)).collect())
+        assert got == [(f, i) for f in (1, 2) for i in np.flatnonzero(want).tolist()]
+
+
 def test_jaccard_edges(docs, empty):
     rows = {r["doc_id"]: r for r in jaccard_tree.join(docs).collect()}
     assert rows[1]["component_id"] == 1 and rows[2]["n_shingles"] == rows[3]["n_shingles"] == rows[4]["n_shingles"] == 0 and rows[4]["component_id"] == 4

@@ -11,7 +11,8 @@ reaches ``num / den``. The join is exact: it loses no link, up to collisions of
    chance, need not be sent unless a class has more of them than that). Of the
    classes that agree in a bucket one is the hub, and all of them join the hub's
    family. Both ends of a link are so in one family at least, and a family grows
-   with its hub's own buckets, not through those of its members.
+   with its hub's own buckets, not through those of its members. Keys that very
+   many classes hold get their hub beforehand and are dealt to many tasks.
    What shares a line or a passage is often in a family by chance: members that
    no bitmap of another member allows to link are dropped by a first traversal,
    before any set is sent.
@@ -58,6 +59,8 @@ LOW = U(0xFFFFFFFF)
 WIDE, WIDE_BYTES = 8, 8_000_000
 #: Tasks among which the classes of one component are dealt when it gets its name.
 SALTS = 32
+#: Keys that are counted at once, and the most keys that are told to all tasks (24 bytes each).
+TALLIED, TOLD = 500_000, 200_000
 
 
 # ---------------------------------------------------------------- routing
@@ -263,20 +266,69 @@ class Options:
     chunk: int = 512
     chunk_shingles: int = 2_000_000
     pivots: int = 32
+    #: Rows of a key beyond which several tasks share it.
+    hot: int = 20_000
+
+
+class Tally:
+    """Counts the classes by key, some half a million keys at a time."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, c: int) -> None:
+        self.keys.append(keys)
+        self.owners.append(np.full(len(keys), c, dtype=np.int64))
+        self.held += len(keys)
+
+    def flush(self) -> list[dict]:
+        """``key, n, c`` of the keys seen more than once: how often, and one class that has it."""
+        if not self.held:
+            return []
+        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
+        self.keys, self.owners, self.held = [], [], 0
+        found, at, n = np.unique(keys, return_index=True, return_counts=True)
+        often = n > 1
+        return [{"key": k, "n": m, "c": c} for k, m, c in zip(found[often].tolist(), n[often].tolist(), owners[at[often]].tolist(), strict=True)]
 
 
 def classify(docs: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, t, n, c, bitmap`` of every row: hash of the text, size, class (0 of none) and bitmap of its set."""
+    """``doc_id, t, n, c, bitmap`` of every row: hash of the text, size, class (0 of none) and bitmap of its set.
+
+    Some rows also carry ``often``: the keys that several classes before them hold.
+    """
+    routing = Routing.of(options.num, options.den)
+    names = ["doc_id", "t", "n", "c", "bitmap", "often"]
+    counts = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("c", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, sent, columns = Tally(), set(), None
+
+        def rows(often: list[dict]) -> pa.RecordBatch:
+            told = pa.array([None] * (len(columns[0]) - 1) + [often or None], counts)
+            return pa.RecordBatch.from_arrays([*columns, told], names=names)
+
         for b in slices(batches):
+            if columns is not None:
+                yield rows(tally.flush() if tally.held > TALLIED else [])
             sets = shingle_sets(b.column(2).to_pylist(), options.words)
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            classes = pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64())
+            classes = [fingerprint(s) if len(s) else 0 for s in sets]
             maps = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, classes, maps], names=["doc_id", "t", "n", "c", "bitmap"])
+            columns = [b.column(0), b.column(1), sizes, pa.array(classes, pa.int64()), maps]
+            for c, s in zip(classes, sets, strict=True):
+                if c and c not in sent:
+                    if len(sent) > 200_000:
+                        sent.clear()
+                    sent.add(c)
+                    tally.add(routing.keys(s), c)
+        if columns is not None:
+            yield rows(tally.flush())
 
-    return docs.select("doc_id", "t", "text").mapInArrow(task, "doc_id long, t long, n long, c long, bitmap binary")
+    schema = "doc_id long, t long, n long, c long, bitmap binary, often array<struct<key:long,n:long,c:long>>"
+    return docs.select("doc_id", "t", "text").mapInArrow(task, schema)
 
 
 def routed(docs: DataFrame, options: Options) -> DataFrame:
@@ -302,6 +354,29 @@ def routed(docs: DataFrame, options: Options) -> DataFrame:
     return docs.select("text").mapInArrow(task, "key long, c long")
 
 
+def hubs(rows: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
+    """``key, hub, c`` of every key that classes share: the hub is one class of the
+    key, the others are ``c``.
+
+    A key may be that of a third of all classes. Such keys are known from the
+    counts beside ``rows``; their hub is told to all tasks, so their rows need not
+    meet and are dealt by class. How often a key must be seen to count as one
+    grows with the table, so that at most ``TOLD`` keys are told.
+    """
+    keys = routed(docs, options)
+    often = rows.where("often is not null").select(F.inline("often")).groupBy("key").agg(F.sum("n").alias("n"), F.min("c").alias("told"))
+    seen = often.agg(F.sum("n")).first()[0] or 0
+    least = max(options.hot, seen // TOLD + 1)
+    hot = often.where(F.col("n") > least)
+    if hot.isEmpty():
+        by_key = Window.partitionBy("key").orderBy("c")
+        return keys.withColumn("hub", F.first("c").over(by_key)).where("hub <> c")
+    dealt = hot.select("key", "told", F.ceil(F.col("n") / least).cast("int").alias("parts"))
+    keys = keys.join(F.broadcast(dealt), "key", "left").withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))))
+    by_part = Window.partitionBy("key", "part").orderBy("c")
+    return keys.withColumn("hub", F.coalesce("told", F.first("c").over(by_part))).where("hub <> c").select("key", "hub", "c")
+
+
 def _sets(rows: DataFrame, options: Options) -> DataFrame:
     """``c, places, shingles``: the classes of ``rows`` with their sets. Equal rows
     follow one another in a task; one is kept."""
@@ -330,10 +405,11 @@ def _positions(column) -> list[np.ndarray]:
     return [flat[a:b].view(U) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def partners(maps: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets have another that bitmaps and sizes allow to link with them."""
+def partners(maps: np.ndarray, sizes: np.ndarray, num: int, den: int, known: np.ndarray) -> np.ndarray:
+    """Which sets have another that bitmaps and sizes allow to link with them; the
+    ``known`` ones do, and are not compared with each other."""
     tree = SignatureTree(maps, sizes)
-    found = np.zeros(len(sizes), dtype=bool)
+    found = known[tree.order]
     for x, y in leaf_pairs(tree, tree, num, den):
         if not (found[x].all() and found[y].all()):
             allowed = possible(tree, x, tree, y, num, den)
@@ -351,52 +427,77 @@ def partnered(members: DataFrame, options: Options) -> DataFrame:
 
     Most members are in a family by chance, as they share a line or a passage. A
     bitmap is a tenth of its set or less, so this is settled before sets are sent.
+    Large families are cut into chunks. Among near copies nearly all members find
+    one in their own chunk; each of the rest meets all chunks.
     """
     num, den = options.num, options.den
     members = cut(members)
+
+    def chunks(n: str, octets: str):
+        return F.ceil(F.greatest(F.col(n) / (8 * options.chunk), F.col(octets) / WIDE_BYTES)).cast("int")
+
+    def dealt(parts: str):
+        return F.pmod(F.xxhash64("c"), parts).cast("int")
+
     size = members.groupBy("family").agg(F.count("c").alias("n"), F.sum(F.octet_length("bitmap")).alias("bytes"))
-    size = size.where("n > 1").withColumn("chunks", F.ceil(F.greatest(F.col("n") / (8 * options.chunk), F.col("bytes") / WIDE_BYTES)).cast("int"))
-    size = cut(size)
+    size = cut(size.where("n > 1").withColumn("chunks", chunks("n", "bytes")))
     totals = size.where("chunks = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
     heaps = max(1, math.ceil((totals["bytes"] or 0) / WIDE_BYTES), math.ceil((totals["n"] or 0) / (8 * options.chunk)))
-    # Small families share a heap; of a large one, each pair of chunks is a heap.
-    placed = members.join(size.select("family", "chunks"), "family")
-    small = placed.where("chunks = 1").drop("chunks").withColumn("heap", F.pmod(F.xxhash64("family"), F.lit(heaps)))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    large = placed.where("chunks > 1").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int")).withColumn("other", other)
-    large = large.withColumn("heap", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))).drop("chunks", "own", "other")
 
     def task(heap: pa.Table) -> pa.Table:
         family, sizes = heap.column("family").to_numpy(), heap.column("n").to_numpy()
-        maps = heap.column("bitmap").combine_chunks()
+        maps, found = heap.column("bitmap").combine_chunks(), heap.column("found").to_numpy().copy()
         order = np.argsort(family, kind="stable")
-        found = np.zeros(len(family), dtype=bool)
         for some in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-            if len(some) > 1:
-                found[some] = partners(bitmaps(maps, some), sizes[some], num, den)
-        return heap.filter(pa.array(found)).drop(["heap"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
-    kept = small.groupBy("heap").applyInArrow(task, schema)
-    if not size.where("chunks > 1").isEmpty():
-        kept = kept.unionByName(large.groupBy("heap").applyInArrow(task, schema)).dropDuplicates(["family", "c"])
-    return kept
+            if len(some) > 1 and not found[some].all():
+                found[some] = partners(bitmaps(maps, some), sizes[some], num, den, found[some])
+        return heap.set_column(heap.schema.get_field_index("found"), "found", pa.array(found)).drop(["heap"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields) + ", found boolean"
+
+    def searched(heaped: DataFrame) -> DataFrame:
+        return heaped.select("heap", *members.columns, "found").groupBy("heap").applyInArrow(task, schema)
+
+    placed = members.join(size.select("family", "chunks"), "family").withColumn("found", F.lit(False))
+    # Small families share a heap.
+    small = searched(placed.where("chunks = 1").withColumn("heap", F.pmod(F.xxhash64("family"), F.lit(heaps))))
+    kept = small.where("found").drop("found")
+    if size.where("chunks > 1").isEmpty():
+        return kept
+    near = cut(searched(placed.where("chunks > 1").withColumn("heap", F.xxhash64("family", dealt("chunks")))))
+    kept = kept.unionByName(near.where("found").drop("found"))
+    # The members not found yet fill the first chunks of a family, the others those
+    # after them. Each chunk meets the first ones, each pair of chunks in a heap.
+    octets = F.octet_length("bitmap")
+    counts = near.groupBy("family").agg(
+        F.count_if(~F.col("found")).alias("rest"), F.sum(F.when(~F.col("found"), octets)).alias("rest_bytes"),
+        F.count_if("found").alias("others"), F.sum(F.when(F.col("found"), octets)).alias("other_bytes"),
+    )
+    counts = cut(counts.where("rest > 0").select("family", chunks("rest", "rest_bytes").alias("firsts"), chunks("others", "other_bytes").alias("lasts")))
+    if counts.isEmpty():
+        return kept
+    open_ = near.join(counts, "family")
+    own = F.when(F.col("found"), F.col("firsts") + dealt("lasts")).otherwise(dealt("firsts"))
+    met = F.when(F.col("found"), F.col("firsts")).otherwise(F.col("firsts") + F.col("lasts"))
+    meets = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    late = searched(meets.withColumn("heap", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))))
+    # Those found before come out as found again; the others of these are new.
+    late = late.where("found").join(near.where("not found").select("family", "c"), ["family", "c"], "left_semi")
+    return kept.unionByName(late.drop("found").dropDuplicates(["family", "c"]))
 
 
 def class_links(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """The rows' classes (``classify``), and a spanning set ``a, b`` of links between classes."""
     num, den = options.num, options.den
     rows = cut(classify(docs, options))
-    # The least class of a key is its hub. Two classes that share a key are both
+    # One class of a key is its hub. Two classes that share a key are both
     # in the family of that key's hub, so families cover all pairs to compare.
-    by_key = Window.partitionBy("key").orderBy("c")
-    shared = routed(docs, options).withColumn("hub", F.first("c").over(by_key)).where("hub <> c")
-    edges = cut(shared.groupBy("hub", "c").agg(F.count("key").alias("weight")))
-    hubs = edges.groupBy("hub").agg(F.sum("weight").alias("weight")).select("hub", F.col("hub").alias("c"), "weight")
+    edges = cut(hubs(rows, docs, options).groupBy("hub", "c").agg(F.count("key").alias("weight")))
+    own = edges.groupBy("hub").agg(F.sum("weight").alias("weight")).select("hub", F.col("hub").alias("c"), "weight")
     reps = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "t", "n", "bitmap")).alias("r"))
     # Size buckets of a ratio of den / num: partners are in the same or the next one.
     bucket = F.floor(F.log(F.col("r.n").cast("double")) / math.log(den / num)).cast("int")
-    members = edges.unionByName(hubs).join(reps, "c")
+    members = edges.unionByName(own).join(reps, "c")
     members = cut(partnered(members.select("c", F.col("hub").alias("family"), "weight", "r.*", bucket.alias("bucket")), options), edges)
     # By bucket first, combined before the shuffle, so a large family is a few rows.
     held = members.groupBy("family", "bucket").agg(F.count("c").alias("n"), F.sum("n").alias("s"))
