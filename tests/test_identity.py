@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import export, identity, skeleton
+from trailmark.operators import export, identity, matches, skeleton
 from trailmark.operators.components import components
 from trailmark.operators.tracking import track, track_log
 
@@ -148,3 +148,17 @@ def test_log_of_matched_pairs(spark):
     log, states = track_log(df).collect(), track(df).where("is_matched").collect()
     assert {(r["frame_idx"], r["local_track_id"], r["det_id"]) for r in log} == {(r["frame_idx"], r["local_track_id"], r["det_id"]) for r in states}
     assert all(r["update_motion"] and r["app_mode"] == "missing" and r["update_cost"] == pytest.approx(3 * r["d_motion"] + r["d_pose"] + 2 * r["d_app"]) for r in log)
+
+
+def test_candidate_budget(spark):
+    def frame(f, *hits, seen):
+        return [(1, f, t, h, t in seen) for t, h in enumerate(hits)]
+
+    # Of five tracks the last has the fewest hits, so missing it costs nothing.
+    rows = [*frame(0, 1, 1, 1, 1, 0, seen={0, 1, 2, 3}), *frame(1, 1, 2, 2, 2, 0, seen={1, 2, 3}), *frame(2, 1, 3, 3, 3, 0, seen={1, 2, 3})]
+    rows += [*frame(3, 2, 4, 4, 4, 0, seen={0, 1, 2, 3}), *frame(4, 3, 5, 5, 5, 0, seen={0, 1, 2, 3})[:4], *frame(5, 3, 6, 6, 6, 1, seen={1, 2, 3, 4})]
+    rows += [rows[0], (2, 7, 0, 1, None), (2, 9, 0, 1, None)]
+    states = spark.createDataFrame(rows, "epoch_id long, frame_idx long, local_track_id long, hits long, matched boolean")
+    got = [(r["epoch_id"], r["frame_idx"], r["missed_top"], r["used"], r["budget"]) for r in matches.candidate_budget(states).orderBy("epoch_id", "frame_idx").collect()]
+    assert got == [(1, 0, False, 9, 7), (1, 1, True, 7, 16), (1, 2, True, 16, 25), (1, 3, False, 25, 7), (1, 4, False, 7, 7), (1, 5, True, 7, 16), (2, 7, False, 9, 7), (2, 9, True, 7, 16)]
+    assert matches.candidate_budget(states.limit(0)).count() == 0

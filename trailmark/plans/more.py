@@ -138,3 +138,24 @@ SELECT vec_id, round((2 * mx * my + 1e-4) * (2 * (xy - mx * my) + 9e-4) / ((mx *
 def q_global_ssim(spark: SparkSession, d: str) -> DataFrame:
     a, b = table(spark, d, "embeddings").alias("a"), table(spark, d, "embeddings").alias("b")
     return a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), F.round(V.global_ssim(F.col("a.embedding"), F.col("b.embedding")), 6).alias("ssim"))
+
+
+@query("""WITH each AS (
+  SELECT l_suppkey AS e, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS f, l_linenumber AS t, count(*) AS hits, bool_or(l_returnflag <> 'R') AS matched
+  FROM lineitem GROUP BY ALL),
+frames AS (SELECT e, f, lead(f) OVER (PARTITION BY e ORDER BY f) AS nxt FROM (SELECT DISTINCT e, f FROM each)),
+due AS (
+  SELECT r.e, frames.nxt AS f, r.t
+  FROM (SELECT *, row_number() OVER (PARTITION BY e, f ORDER BY hits DESC, t) AS k FROM each) r JOIN frames USING (e, f)
+  WHERE k <= 4 AND nxt IS NOT NULL),
+missed AS (SELECT DISTINCT e, f FROM due WHERE NOT EXISTS (SELECT 1 FROM each WHERE each.e = due.e AND each.f = due.f AND each.t = due.t AND matched)),
+marked AS (SELECT e, f, EXISTS (SELECT 1 FROM missed m WHERE m.e = frames.e AND m.f = frames.f) AS m FROM frames),
+runs AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY e ORDER BY f) AS run FROM marked)
+budgets AS (SELECT e, f, m, CAST(7 + 9 * sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY e, run ORDER BY f) AS BIGINT) AS budget FROM runs)
+SELECT e AS epoch_id, f AS frame_idx, m AS missed_top, budget, CAST(coalesce(lag(budget) OVER (PARTITION BY e ORDER BY f), 9) AS BIGINT) AS used FROM budgets""")
+def q_candidate_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as epochs, months as frames, line numbers as tracks."""
+    line = table(spark, d, "lineitem")
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
+    states = line.groupBy(F.col("l_suppkey").alias("epoch_id"), month.alias("frame_idx"), F.col("l_linenumber").alias("local_track_id"))
+    return matches.candidate_budget(states.agg(F.count("*").alias("hits"), F.max(F.col("l_returnflag") != "R").alias("matched")))
