@@ -150,7 +150,7 @@ due AS (
   WHERE k <= 4 AND nxt IS NOT NULL),
 missed AS (SELECT DISTINCT e, f FROM due WHERE NOT EXISTS (SELECT 1 FROM each WHERE each.e = due.e AND each.f = due.f AND each.t = due.t AND matched)),
 marked AS (SELECT e, f, EXISTS (SELECT 1 FROM missed m WHERE m.e = frames.e AND m.f = frames.f) AS m FROM frames),
-runs AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY e ORDER BY f) AS run FROM marked)
+runs AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY e ORDER BY f) AS run FROM marked),
 budgets AS (SELECT e, f, m, CAST(7 + 9 * sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY e, run ORDER BY f) AS BIGINT) AS budget FROM runs)
 SELECT e AS epoch_id, f AS frame_idx, m AS missed_top, budget, CAST(coalesce(lag(budget) OVER (PARTITION BY e ORDER BY f), 9) AS BIGINT) AS used FROM budgets""")
 def q_candidate_budget(spark: SparkSession, d: str) -> DataFrame:
