@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,6 +23,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: int = 1, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Zero-copy batches of at most ``most`` bytes of a text column, or of one row."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto, at = size.cumsum(), 0
+        while at < b.num_rows:
+            done = upto[at - 1] if at else 0
+            end = min(max(at + 1, int(upto.searchsorted(done + most, side="right"))), at + rows, b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def text_of(df: DataFrame, name: str = "text"):
     """The text column as a string that is never null (null counts as empty)."""
     return F.coalesce(F.col(name).cast(StringType()), F.lit(""))
@@ -36,4 +49,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["WORD", "cut", "shared_dir", "slices", "table", "text_of", "word_count"]
+__all__ = ["WORD", "by_bytes", "cut", "shared_dir", "slices", "table", "text_of", "word_count"]

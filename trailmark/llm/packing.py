@@ -17,13 +17,16 @@ gaps, so that one padded window at most is left in each task.
 Edge cases: null and empty texts are documents of one token, ``end_id``;
 repeated rows (and rows with null ids) are packed once per row; an empty table
 gives no rows; other columns are ignored; very long texts become many whole
-windows. A special token's string in a text gets that token's id, as the
+windows. White space or words of millions of characters cost linear time (texts
+with white space beyond ``LONG_SPACE``, at which the encoder's pattern fails,
+are encoded by ``bpe``). A special token's string in a text gets that token's id, as the
 ``tokenizers`` library gives it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,22 +37,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import slices, text_of
+from trailmark.llm import bpe
+from trailmark.llm.common import by_bytes, text_of
 
 WINDOW = 2048
 END_ID = 1
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = bpe.TOKENIZER
+#: Characters of white space that the encoder's pattern surely takes.
+LONG_SPACE = 50_000
+#: Bytes of text that a task holds decoded, and ids in a batch that it returns.
+TEXT_BYTES, BATCH_IDS = 4 << 20, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SCHEMA_IDS = SCHEMA + ", ids array<int>"
 
 
-def _unicode_bytes() -> dict[str, int]:
-    """Printable stand-ins of byte-level BPE vocabularies: character -> byte."""
-    shown = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """A byte-pair encoder over the vocabulary of a byte-level ``tokenizers`` file.
@@ -69,13 +70,22 @@ def encoder(path: str):
     ranks_of = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
     if any(a >= b for a, b in zip(ranks_of[:-1], ranks_of[1:], strict=True)):
         raise ValueError(f"{path}: ids do not rise with the merges")
-    raw = _unicode_bytes()
+    raw = bpe.byte_names()
     ranks = {bytes(raw[c] for c in token): i for token, i in vocab.items() if token not in special}
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+
+def has_long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and _LONG_SPACE.search(text) is not None
+
+
 def encode(text: str, tokenizer: str = TOKENIZER) -> np.ndarray:
     """The ids of a text as little-endian unsigned 32-bit numbers."""
+    if has_long_space(text):
+        return next(bpe.encoder(tokenizer).encode([text]))
     return encoder(tokenizer).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
@@ -194,7 +204,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for b in slices(batches):
+        held = 0
+        for b in by_bytes(batches, TEXT_BYTES):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encode(text, tokenizer), end])
                 total, whole = len(ids), len(ids) // window * window
@@ -203,8 +214,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
                 if whole < total:
                     # A copy: an open window must not hold on to a long document.
                     rows.extend(packer.place((doc, whole, ids[whole:].copy(), total)))
-                if len(rows) >= 2000:
-                    yield emit()
+                held += total
+                if len(rows) >= 2000 or held >= BATCH_IDS:
+                    if rows:
+                        yield emit()
+                    held = 0
         rows.extend(packer.finish())
         if rows:
             yield emit()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ann_partition, chat_format, jaccard_tree, media_png, mixing, packing, quality_gam, secret_trigram, token_counts, url_filter
+from trailmark.llm import ann_partition, bpe, chat_format, collocations, fill_middle, jaccard_tree, media_png, mixing, packing, quality_gam, secret_trigram, token_counts, url_filter
 from trailmark.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -65,11 +65,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_jaccard_tree, op3_chat_format, op4_ann_partition, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op9_token_counts, op10_packing)}
+def op11_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(table(spark, sf_dir, "documents"))
+    text = fill_middle.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_jaccard_tree, op3_chat_format, op4_ann_partition, op5_media_png, op6_secret_trigram, op7_mixing, op8_url_filter, op9_token_counts, op10_packing, op11_bpe_speculate, op12_collocations, op13_fill_middle)}
 
 ORACLE: dict[str, str] = {
     "op2_jaccard_tree": jaccard_tree.oracle_sql(OP2.words, OP2.num, OP2.den),
     "op7_mixing": mixing.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
+    "op13_fill_middle": fill_middle.ORACLE_SQL,
     "op3_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -16,7 +16,10 @@ offsets (code points) of the unedited text, taken by start; one that overlaps
 an earlier one, or lies outside the text, is not applied and is not counted; a
 null edit list is empty; repeated rows are counted each; a text without white
 space is one leaf; an empty table gives no rows; other columns are ignored.
-Special tokens' strings are ordinary text here.
+Special tokens' strings are ordinary text here. White space and words of millions
+of characters cost linear time: an e-mail address is sought once in each run of
+its characters, so one that starts within such a run, right after another
+address, is no edit.
 """
 
 from __future__ import annotations
@@ -28,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import slices, text_of
-from trailmark.llm.packing import TOKENIZER, encoder
+from trailmark.llm import bpe
+from trailmark.llm.common import by_bytes, text_of
+from trailmark.llm.packing import TOKENIZER, encoder, has_long_space
 
 LEAF_CHARS = 512
-_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
 
 #: Edits of the query: personal data and noise that a clean-up would replace.
 CLEANUP = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<address>"),
     (r"\+?\d[\d ()-]{7,}\d", "<phone>"),
     (r"[ \t]{2,}", " "),
@@ -46,14 +49,7 @@ CLEANUP = (
 
 
 def leaves(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
-    out, at = [], 0
-    while len(text) - at > leaf_chars:
-        m = _CUT.search(text, at + leaf_chars)
-        if m is None:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    return [*out, text[at:]]
+    return list(bpe.blocks(text, leaf_chars))
 
 
 class TokenTree:
@@ -127,8 +123,8 @@ class TokenTree:
 
 
 def counter(tokenizer: str = TOKENIZER) -> Callable[[str], int]:
-    encode = encoder(tokenizer).encode_ordinary
-    return lambda text: len(encode(text)) if text else 0
+    encode, other = encoder(tokenizer).encode_ordinary, bpe.encoder(tokenizer)
+    return lambda text: 0 if not text else len(next(other.encode([text], special=False))) if has_long_space(text) else len(encode(text))
 
 
 def cleanup_edits(text: str, rules: Sequence[tuple[str, str]] = CLEANUP) -> list[tuple[int, int, str]]:
@@ -152,7 +148,7 @@ def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, ints = counter(tokenizer), pa.list_(pa.int32())
-        for b in slices(batches):
+        for b in by_bytes(batches, 4 << 20):
             chars, tokens = [], []
             for text in b.column(1).to_pylist():
                 parts = leaves(text, leaf_chars)
@@ -174,7 +170,7 @@ def recount(trees: DataFrame, *, edits_col: str | None = None, rules: Sequence[t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         names = ["doc_id", "n_chars", "n_tokens", "n_edits", "n_chars_edited", "n_tokens_edited", "encoded_chars"]
-        for b in slices(batches):
+        for b in by_bytes(batches, 4 << 20):
             out: list[tuple] = []
             for doc, text, chars, tokens, edits in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = cleanup_edits(text, rules) if edits_col is None else [(e["start"], e["end"], e["text"] or "") for e in edits or [] if e and e["start"] is not None and e["end"] is not None]
