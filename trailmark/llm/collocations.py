@@ -13,8 +13,9 @@ shrinks from step to step, and nothing that counts is lost:
 3. phrases of two to five words made of such pairs are summed by their text.
 
 The shards are written once, as a table. What a shard learns is joined to it by
-its number; nothing is broadcast but what Spark finds small. A word or pair has
-one row a shard at most, however often it occurs.
+its number (both joins read one shuffle of the shards, without their rare words);
+nothing is broadcast but what Spark finds small. A word or pair has one row a
+shard at most, however often it occurs.
 
 A candidate's score is that of its weakest cut, ``floor(1000 a n / (l r))`` with
 a, l and r the counts of the phrase and of its two parts and n that of all words
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import by_bytes, cut, text_of
 
 #: Bytes of text in a shard, and of those that a task holds for all its languages.
-SHARD_BYTES, HELD_BYTES = 1 << 20, 16 << 20
+SHARD_BYTES, HELD_BYTES = 4 << 20, 32 << 20
 LONGEST = 5
 #: Ends of pieces become 0xFF, which no text holds; a tab becomes a space.
 _END = b"\xff"
@@ -144,10 +145,25 @@ def shards(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
     return docs.select(lang.alias("lang"), text_of(docs, text_col).alias("text")).mapInArrow(task, schema)
 
 
-def _hashes(lang: str, words: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of a shard's words (numbered from 1)."""
+def _of_shard(known: list[int], words: list[str]) -> np.ndarray:
+    """A shard's words by their ids; rare ones are empty."""
+    named = np.full(max(known) + 1, "", dtype=object)
+    named[known] = words
+    return named
+
+
+def _frequent(packed: bytes, named: np.ndarray) -> np.ndarray:
+    """A shard's word ids; rare words end a piece."""
+    ids = _unpacked(packed)
+    frequent = np.zeros(int(ids.max()) + 1, dtype=bool)
+    frequent[np.flatnonzero(named != "")] = True
+    return _tidy(np.where(frequent[ids], ids, 0))
+
+
+def _hashes(lang: str, named: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of a shard's words."""
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    of = np.array([0, *(xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words)], dtype=np.uint64)
+    of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) if w else 0 for w in named), np.uint64, len(named))
     mixed = of[left] * np.uint64(0x9E3779B97F4A7C15) + of[right]
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
@@ -156,26 +172,24 @@ def _hashes(lang: str, words: list[str], left: np.ndarray, right: np.ndarray) ->
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a shard's pairs of frequent words: ``shard, pair, times``."""
     for b in batches:
-        for shard, lang, words, packed, kept in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            frequent = np.zeros(len(words) + 1, dtype=bool)
-            frequent[kept] = True
-            ids = _unpacked(packed)
-            ids = _tidy(np.where(frequent[ids], ids, 0))
+        for shard, lang, packed, known, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            named = _of_shard(known, words)
+            ids = _frequent(packed, named)
             ((_, at, times),) = ngrams(ids, 2, 2)
             if len(at):
-                pair = _hashes(lang, words, ids[at], ids[at + 1])
+                pair = _hashes(lang, named, ids[at], ids[at + 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(pair), pa.array(times.astype(np.int32))], names=["shard", "pair", "times"])
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a shard's phrases of frequent pairs: ``lang, phrase, size, times``."""
     for b in batches:
-        for lang, words, packed, kept in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            ids = _unpacked(packed)
+        for lang, packed, known, words, kept in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            named = _of_shard(known, words)
+            ids = _frequent(packed, named)
             pair = (ids[:-1] > 0) & (ids[1:] > 0)
-            pair[pair] = np.isin(_hashes(lang, words, ids[:-1][pair], ids[1:][pair]), np.array(kept))
+            pair[pair] = np.isin(_hashes(lang, named, ids[:-1][pair], ids[1:][pair]), np.array(kept))
             ids = _tidy(np.insert(ids, np.flatnonzero(~pair) + 1, 0))
-            named = np.array(["", *words], dtype=object)
             for size, at, times in ngrams(ids, 2, LONGEST):
                 if len(at):
                     text = [" ".join(x) for x in zip(*(named[ids[at + k]] for k in range(size)), strict=True)]
@@ -185,13 +199,16 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_phrases(cuts: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, size, f`` of all phrases of one to five words that occur ``least`` times."""
     words = cuts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word")).select("shard", "lang", (F.col("at") + 1).alias("id"), F.col("word.words").alias("word"), F.col("word.counts").alias("times"))
-    total = F.sum("times").over(Window.partitionBy("lang", "word"))
-    known = words.withColumn("total", total).filter(F.col("total") >= least).groupBy("shard").agg(F.collect_list("id").alias("kept"))
-    pairs = cuts.select("shard", "lang", "words", "ids").join(known, "shard").select("shard", "lang", "words", "ids", "kept").mapInArrow(_pairs, "shard long, pair long, times int")
-    total = F.sum("times").over(Window.partitionBy("pair"))
-    known = pairs.withColumn("total", total).filter(F.col("total") >= least).groupBy("shard").agg(F.collect_list("pair").alias("kept"))
-    longer = cuts.select("shard", "lang", "words", "ids").join(known, "shard").select("lang", "words", "ids", "kept").mapInArrow(_phrases, "lang string, phrase string, size int, times long")
-    single = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("times").cast("long").alias("times"))
+    frequent = words.withColumn("total", F.sum("times").over(Window.partitionBy("lang", "word"))).filter(F.col("total") >= least)
+    # Both lists are in the order of the same rows.
+    known = frequent.groupBy("shard").agg(F.collect_list("id").alias("known"), F.collect_list("word").alias("words"))
+    own = cuts.select("shard", "lang", "ids").join(known, "shard")
+    pairs = own.select("shard", "lang", "ids", "known", "words").mapInArrow(_pairs, "shard long, pair long, times int")
+    pairs = pairs.withColumn("total", F.sum("times").over(Window.partitionBy("pair"))).filter(F.col("total") >= least)
+    kept = pairs.groupBy("shard").agg(F.collect_list("pair").alias("kept"))
+    longer = own.join(kept, "shard").select("lang", "ids", "known", "words", "kept").mapInArrow(_phrases, "lang string, phrase string, size int, times long")
+    # Already together by word: no further shuffle.
+    single = frequent.groupBy("lang", "word").agg(F.first("total").alias("times")).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "times")
     found = single.unionByName(longer).groupBy("lang", "phrase", "size").agg(F.sum("times").alias("f"))
     return found.filter(F.col("f") >= least)
 
