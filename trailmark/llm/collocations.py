@@ -4,18 +4,19 @@ Texts are cut into shards of about ``SHARD_BYTES`` of one language, each with a
 table of its own word ids. A shard's n-grams are the intervals of its suffix
 array, built by prefix doubling in numpy, in which neighbours have n words in
 common; the counts of all shards are summed by key. A phrase can only be as
-frequent as each word and each pair of words in it, so what is sent about
-shrinks from step to step, and nothing that counts is lost:
+frequent as each part of it, so what is summed shrinks from step to step, and
+nothing that counts is lost:
 
-1. every shard's words are summed; each shard learns which of its are frequent;
-2. pairs of frequent words are summed under a 64-bit hash (two pairs of one
-   hash only look more frequent together); each shard learns which are;
-3. phrases of two to five words made of such pairs are summed by their text.
+1. every shard's words, then its pairs of frequent words, then its triples of
+   frequent pairs are summed under hashes (phrases of one hash only look more
+   frequent together), and each shard learns which of its are frequent;
+2. words and phrases of two to five words made of these are summed by their text.
 
-The shards are written once, as a table. What a shard learns is joined to it by
-its number (both joins read one shuffle of the shards, without their rare words);
-nothing is broadcast but what Spark finds small. A word or pair has one row a
-shard at most, however often it occurs.
+The shards are written once, as a table, and shuffled once; what a shard learns
+is joined to it by its number. Nothing is broadcast but what Spark finds small.
+Sums travel packed, one row for a shard and a range of hashes; a range is some
+``RANGE_WORDS`` words of the corpus, so their number grows with it and a task's
+memory does not. A word or phrase counts once a shard, however often it occurs.
 
 A candidate's score is that of its weakest cut, ``floor(1000 a n / (l r))`` with
 a, l and r the counts of the phrase and of its two parts and n that of all words
@@ -37,6 +38,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +48,8 @@ from trailmark.llm.common import by_bytes, cut, text_of
 
 #: Bytes of text in a shard, and of those that a task holds for all its languages.
 SHARD_BYTES, HELD_BYTES = 4 << 20, 32 << 20
+#: Words of the corpus whose sums meet in one task.
+RANGE_WORDS = 1 << 22
 LONGEST = 5
 #: Ends of pieces become 0xFF, which no text holds; a tab becomes a space.
 _END = b"\xff"
@@ -145,72 +149,150 @@ def shards(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
     return docs.select(lang.alias("lang"), text_of(docs, text_col).alias("text")).mapInArrow(task, schema)
 
 
-def _of_shard(known: list[int], words: list[str]) -> np.ndarray:
-    """A shard's words by their ids; rare ones are empty."""
-    named = np.full(max(known) + 1, "", dtype=object)
-    named[known] = words
-    return named
-
-
-def _frequent(packed: bytes, named: np.ndarray) -> np.ndarray:
-    """A shard's word ids; rare words end a piece."""
-    ids = _unpacked(packed)
-    frequent = np.zeros(int(ids.max()) + 1, dtype=bool)
-    frequent[np.flatnonzero(named != "")] = True
-    return _tidy(np.where(frequent[ids], ids, 0))
-
-
-def _hashes(lang: str, named: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of a shard's words."""
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    of = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) if w else 0 for w in named), np.uint64, len(named))
-    mixed = of[left] * np.uint64(0x9E3779B97F4A7C15) + of[right]
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed ^ mixed >> np.uint64(32)).view(np.int64)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a shard's pairs of frequent words: ``shard, pair, times``."""
-    for b in batches:
-        for shard, lang, packed, known, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            named = _of_shard(known, words)
-            ids = _frequent(packed, named)
-            ((_, at, times),) = ngrams(ids, 2, 2)
-            if len(at):
-                pair = _hashes(lang, named, ids[at], ids[at + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(pair), pa.array(times.astype(np.int32))], names=["shard", "pair", "times"])
-
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a shard's phrases of frequent pairs: ``lang, phrase, size, times``."""
-    for b in batches:
-        for lang, packed, known, words, kept in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            named = _of_shard(known, words)
-            ids = _frequent(packed, named)
-            pair = (ids[:-1] > 0) & (ids[1:] > 0)
-            pair[pair] = np.isin(_hashes(lang, named, ids[:-1][pair], ids[1:][pair]), np.array(kept))
-            ids = _tidy(np.insert(ids, np.flatnonzero(~pair) + 1, 0))
-            for size, at, times in ngrams(ids, 2, LONGEST):
-                if len(at):
-                    text = [" ".join(x) for x in zip(*(named[ids[at + k]] for k in range(size)), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(text, pa.string()), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(times)], names=["lang", "phrase", "size", "times"])
-
-
-def frequent_phrases(cuts: DataFrame, least: int) -> DataFrame:
+class _Shard:
+    """A shard's word ids and the keys of its phrases: a range and 32 bits of a hash."""
+
+    def __init__(self, lang: str, words: list[str], packed: bytes, ranges: int):
+        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        self.ids, self.ranges = _unpacked(packed), ranges
+        self.words = np.array(["", *words], dtype=object)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in self.words), np.uint64, len(words) + 1)
+
+    def keys(self, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        h = self.hashes[ids[at]]
+        for k in range(1, size):
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[ids[at + k]]
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h >> np.uint64(32)) % np.uint64(self.ranges) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def frequent(self, kept: np.ndarray) -> np.ndarray:
+        """Pieces without rare words."""
+        number = np.arange(1, len(self.words))
+        good = np.concatenate([[False], np.isin(self.keys(number, np.arange(len(number)), 1), kept)])
+        return _tidy(np.where(good[self.ids], self.ids, 0))
+
+    def linked(self, ids: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Pieces cut where a pair of words is rare."""
+        pair = (ids[:-1] > 0) & (ids[1:] > 0)
+        pair[pair] = np.isin(self.keys(ids, np.flatnonzero(pair), 2), kept)
+        return _tidy(np.insert(ids, np.flatnonzero(~pair) + 1, 0))
+
+
+def _kept(known: list[dict] | None) -> np.ndarray:
+    """What a shard has learnt, as keys."""
+    found = [np.frombuffer(k["low"], dtype="<u4").astype(np.int64) | k["range"] << 32 for k in known or []]
+    return np.concatenate([*found, np.zeros(0, dtype=np.int64)])
+
+
+def _by_range(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range and the places of its keys, in their order."""
+    order = np.argsort(keys, kind="stable")
+    ranges = keys[order] >> 32
+    cuts = np.flatnonzero(np.diff(ranges)) + 1
+    if len(keys):
+        for part in np.split(order, cuts):
+            yield int(keys[part[0]] >> 32), part
+
+
+def _counted(level: int, ranges: int):
+    """Counts of a shard's phrases of ``level`` words: ``shard, range, low, times``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {n: b.column(n)[i].as_py() for n in b.schema.names}
+                shard = _Shard(row["lang"], row["words"], row["ids"], ranges)
+                ids = shard.ids
+                if level > 1:
+                    ids = shard.frequent(_kept(row["kept1"]))
+                if level > 2:
+                    ids = shard.linked(ids, _kept(row["kept2"]))
+                ((_, at, times),) = ngrams(ids, level, level)
+                keys = shard.keys(ids, at, level)
+                parts = list(_by_range(keys))
+                low = [(keys[p] & 0xFFFFFFFF).astype("<u4").tobytes() for _, p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int64()), pa.array(low, pa.binary()), pa.array([times[p].astype("<u4").tobytes() for _, p in parts], pa.binary())], names=["shard", "range", "low", "times"])
+
+    return task
+
+
+def _summed(least: int):
+    """Of a range, each shard's keys that occur ``least`` times in all shards."""
+
+    def task(rows: pa.Table) -> pa.Table:
+        low, times = ([np.frombuffer(x, dtype="<u4") for x in rows.column(c).to_pylist()] for c in ("low", "times"))
+        _, which = np.unique(np.concatenate(low), return_inverse=True)
+        total = np.bincount(which, weights=np.concatenate(times))
+        good = np.split(total[which] >= least, np.cumsum([len(x) for x in low])[:-1])
+        kept = [x[g].tobytes() for x, g in zip(low, good, strict=True)]
+        some = pa.array([bool(k) for k in kept])
+        return pa.table([rows.column("shard"), rows.column("range"), pa.array(kept, pa.binary())], names=["shard", "range", "low"]).filter(some)
+
+    return task
+
+
+def _phrases(ranges: int):
+    """Counts of a shard's frequent words and phrases: ``range, lang, phrases, times``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {n: b.column(n)[i].as_py() for n in b.schema.names}
+                shard = _Shard(row["lang"], row["words"], row["ids"], ranges)
+                one, two, three = (_kept(row[f"kept{k}"]) for k in (1, 2, 3))
+                number = np.arange(1, len(shard.words))
+                keys = shard.keys(number, np.arange(len(number)), 1)
+                good = np.isin(keys, one)
+                found = [(keys[good], shard.words[1:][good].tolist(), np.bincount(shard.ids, minlength=len(shard.words))[1:][good])]
+                ids = shard.linked(shard.frequent(one), two)
+                triple = np.zeros(len(ids) + LONGEST, dtype=bool)
+                start = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
+                triple[start] = np.isin(shard.keys(ids, start, 3), three)
+                for size, at, times in ngrams(ids, 2, LONGEST):
+                    whole = np.ones(len(at), dtype=bool)
+                    for k in range(size - 2):
+                        whole &= triple[at + k]
+                    at, times = at[whole], times[whole]
+                    found.append((shard.keys(ids, at, size), [" ".join(x) for x in zip(*(shard.words[ids[at + k]] for k in range(size)), strict=True)], times))
+                keys, times = (np.concatenate([f[k] for f in found]) for k in (0, 2))
+                text = pa.array([t for f in found for t in f[1]], pa.string())
+                parts = list(_by_range(keys))
+                if not parts:
+                    continue
+                ends = pa.array(np.cumsum([0, *(len(p) for _, p in parts)]).astype(np.int32))
+                order = np.concatenate([p for _, p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array([row["lang"]] * len(parts)), pa.ListArray.from_arrays(ends, text.take(pa.array(order))), pa.ListArray.from_arrays(ends, pa.array(times[order].astype(np.int64)))], names=["range", "lang", "phrases", "times"])
+
+    return task
+
+
+def _frequent(least: int):
+    """Of a range, the phrases that occur ``least`` times: ``lang, phrase, size, f``."""
+
+    def task(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        parent = pc.list_parent_indices(rows.column("phrases").combine_chunks())
+        flat = pa.table([rows.column("lang").take(parent), pc.list_flatten(rows.column("phrases")), pc.list_flatten(rows.column("times"))], names=["lang", "phrase", "times"])
+        total = flat.group_by(["lang", "phrase"]).aggregate([("times", "sum")]).rename_columns(["lang", "phrase", "f"])
+        total = total.filter(pc.greater_equal(total.column("f"), least))
+        size = pc.cast(pc.add(pc.count_substring(total.column("phrase"), " "), 1), pa.int32())
+        return pa.table([total.column("lang"), total.column("phrase"), size, total.column("f")], names=["lang", "phrase", "size", "f"])
+
+    return task
+
+
+def frequent_phrases(cuts: DataFrame, least: int, range_words: int = RANGE_WORDS) -> DataFrame:
     """``lang, phrase, size, f`` of all phrases of one to five words that occur ``least`` times."""
-    words = cuts.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word")).select("shard", "lang", (F.col("at") + 1).alias("id"), F.col("word.words").alias("word"), F.col("word.counts").alias("times"))
-    frequent = words.withColumn("total", F.sum("times").over(Window.partitionBy("lang", "word"))).filter(F.col("total") >= least)
-    # Both lists are in the order of the same rows.
-    known = frequent.groupBy("shard").agg(F.collect_list("id").alias("known"), F.collect_list("word").alias("words"))
-    own = cuts.select("shard", "lang", "ids").join(known, "shard")
-    pairs = own.select("shard", "lang", "ids", "known", "words").mapInArrow(_pairs, "shard long, pair long, times int")
-    pairs = pairs.withColumn("total", F.sum("times").over(Window.partitionBy("pair"))).filter(F.col("total") >= least)
-    kept = pairs.groupBy("shard").agg(F.collect_list("pair").alias("kept"))
-    longer = own.join(kept, "shard").select("lang", "ids", "known", "words", "kept").mapInArrow(_phrases, "lang string, phrase string, size int, times long")
-    # Already together by word: no further shuffle.
-    single = frequent.groupBy("lang", "word").agg(F.first("total").alias("times")).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "times")
-    found = single.unionByName(longer).groupBy("lang", "phrase", "size").agg(F.sum("times").alias("f"))
-    return found.filter(F.col("f") >= least)
+    ranges = max(1, -(-(cuts.agg(F.sum("n")).first()[0] or 0) // range_words))
+    own = cuts.select("shard", "lang", "words", "ids")
+    for level in (1, 2, 3):
+        counted = own.mapInArrow(_counted(level, ranges), "shard long, range long, low binary, times binary")
+        kept = counted.groupBy("range").applyInArrow(_summed(least), "shard long, range long, low binary")
+        # At most a row a range, and no more than the shard's own phrases.
+        learnt = kept.groupBy("shard").agg(F.collect_list(F.struct("range", "low")).alias(f"kept{level}"))
+        own = own.join(learnt, "shard", "left" if level == 3 else "inner")
+    found = own.mapInArrow(_phrases(ranges), "range long, lang string, phrases array<string>, times array<long>")
+    return found.groupBy("range").applyInArrow(_frequent(least), "lang string, phrase string, size int, f long")
 
 
 def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, top: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
