@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SMALL
-from trailmark.plans import body, catalogue, more  # noqa: F401
+from trailmark.plans import body, catalogue, geometry, matching, more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

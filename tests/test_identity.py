@@ -1,12 +1,11 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import export, identity, matches, skeleton
-from trailmark.operators.components import components
+from trailmark.operators.cliques import merge_cliques
 from trailmark.operators.tracking import track, track_log
 
 
@@ -26,17 +25,10 @@ def some_edges(seed, n=40, share=0.25):
     return [(i, j, round(rng.random(), 1)) for i in range(n) for j in range(i + 1, n) if rng.random() < share]
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_greedy_cliques(seed):
-    edges = some_edges(seed)
-    got = identity.greedy_cliques(pd.DataFrame(edges, columns=["i", "j", "sim"]))
-    assert dict(zip(got["node"], got["first"], strict=True)) == brute_cliques(edges)
-
-
 def test_identities_are_numbered_by_size_and_strength(spark):
     edges = some_edges(7) + [(100, 101, 0.9), (100, 102, 0.8), (101, 102, 0.7), (200, 201, 0.99)]
     df = spark.createDataFrame(edges, "i long, j long, sim double")
-    got = {r["node"]: r["global_track_id"] for r in identity.identities(df, components(df.toDF("a", "b", "sim"))).collect()}
+    got = {r["node"]: r["global_track_id"] for r in identity.identities(merge_cliques(df)[0], df).collect()}
     first = brute_cliques(edges)
     groups = {}
     for n, f in first.items():
@@ -93,7 +85,7 @@ def test_public_entry(spark):
     mapping, rest = identity.build_mapping(nodes)
     found = {(r["epoch_id"], r["local_track_id"]): r["global_track_id"] for r in mapping.collect()}
     assert len(found) == 12 and all(len({found[e, t] for e in range(1, 5)}) == 1 for t in (1, 2, 3)) and set(found.values()) == {1, 2, 3}
-    assert [tuple(r) for r in rest.collect()] == [(9, 1, "too_small")]
+    assert [tuple(r) for r in rest.collect()] == [(9, 1, "alone")]
     mapping, rest = identity.build_mapping(nodes.limit(0))
     assert mapping.count() == rest.count() == 0
 

@@ -80,8 +80,11 @@ def test_export(spark):
     mapping = spark.createDataFrame([(1, 1, 7)], "epoch_id bigint, local_track_id bigint, global_track_id bigint")
     rows = export.build_observations(states, prepared, mapping, ordered=True).collect()
     assert [(r["global_track_id"], r["frame_idx"], r["det_id"], r["max_overlap_iou"]) for r in rows] == [(7, 1, 0, 0.5), (7, 2, None, None), (None, 2, 1, 0.25)]
-    with pytest.raises(RuntimeError):
-        export.build_observations(states, prepared.union(prepared), mapping)
+    for twice, other in ((prepared.union(prepared), mapping), (prepared, mapping.union(mapping))):
+        with pytest.raises(Exception, match="repeated key"):
+            export.build_observations(states, twice, other).collect()
+    with pytest.raises(ValueError, match="video"):
+        export.build_observations(states.selectExpr("'a' AS video", "*"), prepared, mapping)
 
 
 def test_sources(spark, tmp_path, obs):

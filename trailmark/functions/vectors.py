@@ -139,14 +139,6 @@ def centred(points: Column, root: int) -> Column:
     return F.when(usable, F.transform(points, lambda p: F.array(p[0] - r[0], p[1] - r[1]))).otherwise(points)
 
 
-def keypoint_box(points: Column, conf: Column, least: float) -> Column:
-    """x1, y1, x2, y2 around the points of enough confidence; null with no extent."""
-    good = F.filter(F.arrays_zip(points.alias("p"), conf.alias("c")), lambda z: (z["c"] >= least) & ~F.isnan(z["p"][0]) & ~F.isnan(z["p"][1]))
-    xs, ys = F.transform(good, lambda z: z["p"][0]), F.transform(good, lambda z: z["p"][1])
-    box = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-    return F.when((F.size(good) > 0) & (F.array_max(xs) > F.array_min(xs)) & (F.array_max(ys) > F.array_min(ys)), box)
-
-
 def global_ssim(a: Column, b: Column, c1: float = 1e-4, c2: float = 9e-4) -> Column:
     """Structural similarity of two equally long number arrays as one block."""
 

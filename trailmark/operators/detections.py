@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions import geometry as G
+from trailmark.schemas import keyed
 
 BOX = ("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
 INTER = tuple(f"bbox_inter_{x}" for x in ("x1", "y1", "x2", "y2"))
@@ -29,13 +30,13 @@ def box_of(names: tuple[str, ...] = BOX) -> Column:
     return F.when(F.forall(box, G.finite), box)
 
 
-def raw_rows(people: DataFrame, shard_size: int | None = None, by: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
+def raw_rows(people: DataFrame, shard_size: int | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
     """Rows of raw detections from people (``keypoints``, ``kp_conf``): box around
     the sure points, mean confidence and, with ``shard_size``, the place of the
     crop: which shard of so many crops, and where in it."""
     out = people.select("*", *box_columns(G.keypoint_box(F.col("keypoints"), F.col("kp_conf"))), G.mean_confidence(F.col("kp_conf")).alias("confidence"))
     if shard_size:
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("det_id")) - 1
+        place = F.row_number().over(Window.partitionBy(*(by or keyed(people))).orderBy("det_id")) - 1
         out = out.withColumn("__place", place).withColumns({"crop_shard_id": F.floor(F.col("__place") / shard_size), "crop_index": (F.col("__place") % shard_size).cast("bigint")}).drop("__place")
     return out
 
@@ -81,7 +82,7 @@ def drawable(rows: DataFrame, width: Column, height: Column) -> DataFrame:
     """Rows that have a box within the image, with it and their dense place in the
     frame in the order of ``det_id``."""
     box = G.box_or_keypoints(box_of(), F.col("keypoints"), F.col("kp_conf"), width, height)
-    order = Window.partitionBy("frame_idx").orderBy("det_id")
+    order = Window.partitionBy(*keyed(rows)).orderBy("det_id")
     return rows.withColumn("draw_box", box).where("draw_box is not null").withColumn("draw_idx", (F.row_number().over(order) - 1).cast("bigint"))
 
 
@@ -89,29 +90,31 @@ def center_risk(detections: DataFrame, diagonal: float = 1.0, limit: float = 0.0
     """``frame_idx, det_id, center_dist_norm_min, center_dist_overlap_risk``: the
     least distance to another detection of the frame in image diagonals, and
     whether it is at most ``limit``; null and false for one alone."""
-    centers = detections.select("frame_idx", "det_id", "center_x", "center_y")
-    other = centers.toDF("frame_idx", "other_id", "ox", "oy")
+    frame = keyed(detections)
+    centers = detections.select(*frame, "det_id", "center_x", "center_y")
+    other = centers.toDF(*frame, "other_id", "ox", "oy")
     away = F.sqrt(F.pow(F.col("center_x") - F.col("ox"), 2) + F.pow(F.col("center_y") - F.col("oy"), 2)) / max(diagonal, 1.0)
-    near = centers.join(other, "frame_idx").where("det_id <> other_id").groupBy("frame_idx", "det_id").agg(F.min(away).alias("center_dist_norm_min"))
-    return centers.select("frame_idx", "det_id").join(near, ["frame_idx", "det_id"], "left").withColumn("center_dist_overlap_risk", F.coalesce(F.col("center_dist_norm_min") <= limit, F.lit(False)))
+    near = centers.join(other, frame).where("det_id <> other_id").groupBy(*frame, "det_id").agg(F.min(away).alias("center_dist_norm_min"))
+    return centers.select(*frame, "det_id").join(near, [*frame, "det_id"], "left").withColumn("center_dist_overlap_risk", F.coalesce(F.col("center_dist_norm_min") <= limit, F.lit(False)))
 
 
 def top_with_nearest(detections: DataFrame, top: int = 3, extras: int = 3) -> DataFrame:
     """Of each frame the first ``top`` detections by ``det_id`` and, of the others,
     the ``extras`` nearest to one of them (detections without a centre come last)."""
-    order = Window.partitionBy("frame_idx").orderBy("det_id")
+    frame = keyed(detections)
+    order = Window.partitionBy(*frame).orderBy("det_id")
     placed = detections.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
     first = placed.where(F.col("place") < top)
-    heads = first.select("frame_idx", F.col("place").alias("head"), F.col("center_x").alias("hx"), F.col("center_y").alias("hy"))
+    heads = first.select(*frame, F.col("place").alias("head"), F.col("center_x").alias("hx"), F.col("center_y").alias("hy"))
     away = F.coalesce(F.sqrt(F.pow(F.col("center_x") - F.col("hx"), 2) + F.pow(F.col("center_y") - F.col("hy"), 2)), F.lit(float("inf")))
     # At most ``top`` heads a frame, so a row is multiplied by a constant.
-    near = placed.where(F.col("place") >= top).join(heads, "frame_idx").groupBy("frame_idx", "place").agg(F.min(F.struct(away.alias("d"), F.col("head"))).alias("n"))
-    nearest = Window.partitionBy("frame_idx").orderBy("n.d", "n.head", "place")
-    chosen = near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= extras).select("frame_idx", "place")
-    return first.unionByName(placed.join(chosen, ["frame_idx", "place"], "left_semi").select(first.columns))
+    near = placed.where(F.col("place") >= top).join(heads, frame).groupBy(*frame, "place").agg(F.min(F.struct(away.alias("d"), F.col("head"))).alias("n"))
+    nearest = Window.partitionBy(*frame).orderBy("n.d", "n.head", "place")
+    chosen = near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= extras).select(*frame, "place")
+    return first.unionByName(placed.join(chosen, [*frame, "place"], "left_semi").select(first.columns))
 
 
 def attach(detections: DataFrame, found: DataFrame, mechanism: str = "skeleton") -> DataFrame:
     """Detections with their overlap results of ``overlap_extrema``; 0 and false without any."""
-    out = detections.join(found, ["frame_idx", "det_id"], "left")
+    out = detections.join(found, keyed(detections, found, by=("frame_idx", "det_id")), "left")
     return out.withColumns({"max_overlap_iou": F.coalesce("max_overlap_iou", F.lit(0.0)), "is_overlapping": F.coalesce(F.col("max_overlap_iou") > 0, F.lit(False)), "overlap_mechanism": F.lit(mechanism)})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailmark.schemas import keyed
+
 #: The identity of whatever belongs to none.
 UNKNOWN = 880
 
@@ -71,19 +73,20 @@ def candidate_budget(states: DataFrame, most: int = 4, start: int = 9, step: int
     frame, which has no track to miss, uses ``start``. ``states`` has a row a track and frame, with ``hits`` after the frame
     and ``matched``; repeated rows count once, a null ``matched`` is a miss.
     """
-    frame = ["epoch_id", "frame_idx"]
-    order = Window.partitionBy("epoch_id").orderBy("frame_idx")
+    epoch = keyed(states, by=("epoch_id",))
+    frame = [*epoch, "frame_idx"]
+    order = Window.partitionBy(*epoch).orderBy("frame_idx")
     each = states.groupBy(*frame, "local_track_id").agg(F.max("hits").alias("hits"), F.max(F.coalesce("matched", F.lit(False))).alias("matched"))
     frames = each.select(*frame).distinct().withColumn("next", F.lead("frame_idx").over(order))
     due = top_by_hits(each, frame, "local_track_id", most).join(frames, frame).where("next is not null")
-    due = due.select("epoch_id", F.col("next").alias("frame_idx"), "local_track_id")
+    due = due.select(*epoch, F.col("next").alias("frame_idx"), "local_track_id")
     missed = due.join(each.where("matched"), [*frame, "local_track_id"], "left_anti").select(*frame).distinct()
     marked = frames.drop("next").join(missed.withColumn("missed_top", F.lit(True)), frame, "left")
     marked = marked.withColumn("missed_top", F.coalesce("missed_top", F.lit(False)))
     # Each calm frame begins a run; in a run the budget grows with every miss.
     run = F.sum((~F.col("missed_top")).cast("int")).over(order)
     marked = marked.withColumn("__run", run)
-    misses = F.sum(F.col("missed_top").cast("int")).over(Window.partitionBy("epoch_id", "__run").orderBy("frame_idx"))
+    misses = F.sum(F.col("missed_top").cast("int")).over(Window.partitionBy(*epoch, "__run").orderBy("frame_idx"))
     marked = marked.withColumn("budget", (calm + step * misses).cast("long")).drop("__run")
     return marked.withColumn("used", F.coalesce(F.lag("budget").over(order), F.lit(start).cast("long")))
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.schemas import keyed
+
 #: Bones of the 25-point body layout, all and those of the trunk.
 FULL = ((0, 1), (0, 15), (0, 16), (15, 17), (16, 18), (1, 2), (2, 3), (3, 4), (1, 5), (5, 6), (6, 7), (1, 8), (8, 9), (9, 10), (10, 11), (8, 12), (12, 13), (13, 14), (14, 19), (14, 20), (14, 21), (11, 22), (11, 23), (11, 24))
 TRUNK = ((1, 2), (1, 5), (2, 5), (1, 8), (8, 9), (8, 12), (9, 12), (2, 9), (5, 12))
@@ -61,11 +63,14 @@ def frame_extrema(detections: DataFrame, boxes: tuple[str, str, str, str] = ("bb
                 column.append(values)
         v, o, d, m = (np.concatenate(c) if c else np.array([]) for c in out)
         kept = v >= 0
-        columns = [pa.array(np.full(int(kept.sum()), frame[0] if len(frame) else 0), pa.int64()), pa.array(ids[: len(v)][kept], pa.int64()), pa.array(v[kept], pa.float64()), pa.array(o[kept].astype(np.int64), pa.int64(), mask=~(v[kept] > 0)), pa.array(d[kept], pa.float64()), pa.array(m[kept].astype(np.int64), pa.int64())]
-        return pa.table(columns, names=[c.split()[0] for c in EXTREMA.split(", ")])
-
-    rows = detections.select(F.col("frame_idx").cast("bigint"), F.col("det_id").cast("bigint"), *(F.col(b).cast("double") for b in boxes))
-    return rows.where(F.col("frame_idx").isNotNull() & F.col("det_id").isNotNull() & ~F.exists(F.array(*boxes), lambda x: x.isNull())).groupBy("frame_idx").applyInArrow(run, EXTREMA)
+        columns = [rows.column("video").take(pa.array(np.zeros(int(kept.sum()), dtype=np.int64)))] if "video" in keys else []
+        columns += [pa.array(np.full(int(kept.sum()), frame[0] if len(frame) else 0), pa.int64()), pa.array(ids[: len(v)][kept], pa.int64()), pa.array(v[kept], pa.float64()), pa.array(o[kept].astype(np.int64), pa.int64(), mask=~(v[kept] > 0)), pa.array(d[kept], pa.float64()), pa.array(m[kept].astype(np.int64), pa.int64())]
+        return pa.table(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    keys = keyed(detections)
+    schema = f"video string, {EXTREMA}" if "video" in keys else EXTREMA
+    rows = detections.select(F.col("frame_idx").cast("bigint"), F.col("det_id").cast("bigint"), *(F.col(b).cast("double") for b in boxes), *(F.col(k).cast("string") for k in keys[:-1]))
+    return rows.where(F.col("frame_idx").isNotNull() & F.col("det_id").isNotNull() & ~F.exists(F.array(*boxes), lambda x: x.isNull())).groupBy(*keys).applyInArrow(run, schema)
 
 
 def capsules(points: np.ndarray, sure: np.ndarray, shape: tuple[int, int], offset: tuple[float, float], bones=FULL, thickness: int = 7) -> np.ndarray:

@@ -21,12 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Fixed values of the 25-point body layout: joints that count, bones between
-#: them, roots by preference, left/right pairs.
-CORE = (1, 2, 3, 5, 6, 8, 9, 10, 12, 13)
-BONES = ((1, 2), (2, 3), (1, 5), (5, 6), (1, 8), (8, 9), (9, 10), (8, 12), (12, 13))
-ROOTS = (8, 1, 9, 12, 2, 5)
-SWAPS = ((2, 5), (3, 6), (9, 12), (10, 13))
+from trailmark.functions.geometry import SWAPS
+from trailmark.functions.pose import BONES, CORE, ROOTS
 
 STATES = "video string, epoch_id bigint, frame_idx bigint, local_track_id bigint, det_id bigint, is_matched boolean, confirmed boolean, hits bigint, age bigint, time_since_update bigint, center_x double, center_y double"
 

@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trailmark.functions import vectors as V
-from trailmark.operators import export, identity, matches, skeleton
-from trailmark.operators.components import components
+from trailmark.operators import export, identity, matches, scan, skeleton
 from trailmark.operators.query import View, windows
 from trailmark.operators.tracking import track
-from trailmark.sources.tables import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,18 +91,25 @@ on_obs("q_meta", lambda v: v.meta().select("frame_idx", "epoch_id", "global_trac
 _seen = lambda v: v.df.where("global_track_id is not null").groupBy("global_track_id", "frame_idx").agg(F.min("event_id").alias("event_id"))
 SEEN = "seen AS (SELECT global_track_id, frame_idx, min(event_id) AS event_id FROM obs WHERE global_track_id IS NOT NULL GROUP BY ALL), ids AS (SELECT DISTINCT global_track_id FROM seen)"
 on_obs("q_padded_window", lambda v: windows(_seen(v), [20], 24).drop("window_start"), f", {SEEN}\nSELECT i.global_track_id, f.frame_idx, s.event_id, s.event_id IS NOT NULL AS frame_mask FROM ids i CROSS JOIN (SELECT unnest(range(20, 44)) AS frame_idx) f LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx = f.frame_idx")
-on_obs("q_sliding_windows", lambda v: windows(_seen(v), range(0, 129, 16), 32).groupBy("global_track_id", "window_start").agg(F.count_if("frame_mask").alias("n_seen"), F.count("*").alias("n_frames")), f", {SEEN}\nSELECT i.global_track_id, w.window_start, CAST(count(s.event_id) AS BIGINT) AS n_seen, CAST(32 AS BIGINT) AS n_frames FROM ids i CROSS JOIN (SELECT unnest(range(0, 129, 16)) AS window_start) w LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx BETWEEN w.window_start AND w.window_start + 31 GROUP BY ALL")
 
+def _whole_axis(step: int, length: int):
+    """Windows of ``length`` hours, every ``step``, from the first frame that was seen through the last."""
 
-def _whole_axis(v: View) -> DataFrame:
-    """Windows from the first frame that was seen through the last."""
-    seen = _seen(v)
-    first, last = seen.agg(F.min("frame_idx"), F.max("frame_idx")).first()
-    starts = range(0) if first is None else range(first, last + 1, 16)
-    return windows(seen, starts, 32).groupBy("global_track_id", "window_start").agg(F.count_if("frame_mask").alias("n_seen"), F.count("*").alias("n_frames"))
+    def of(v: View) -> DataFrame:
+        seen = _seen(v)
+        first, last = seen.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+        starts = range(0) if first is None else range(first, last + 1, step)
+        return windows(seen, starts, length).groupBy("global_track_id", "window_start").agg(F.count_if("frame_mask").alias("n_seen"), F.count("*").alias("n_frames"))
 
+    return of
 
-on_obs("q_sliding_windows_whole", _whole_axis, f", {SEEN}, axis AS (SELECT min(frame_idx) AS a, max(frame_idx) AS b FROM seen)\nSELECT i.global_track_id, w.window_start, CAST(count(s.event_id) AS BIGINT) AS n_seen, CAST(32 AS BIGINT) AS n_frames FROM ids i CROSS JOIN (SELECT unnest(range(a, b + 1, 16)) AS window_start FROM axis) w LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx BETWEEN w.window_start AND w.window_start + 31 GROUP BY ALL")
+
+for _name, _step, _length in (("q_sliding_windows", 24, 24), ("q_sliding_windows_whole", 16, 32)):
+    on_obs(
+        _name, _whole_axis(_step, _length),
+        f", {SEEN}, axis AS (SELECT min(frame_idx) AS a, max(frame_idx) AS b FROM seen)\nSELECT i.global_track_id, w.window_start, CAST(count(s.event_id) AS BIGINT) AS n_seen, CAST({_length} AS BIGINT) AS n_frames "
+        f"FROM ids i CROSS JOIN (SELECT unnest(range(a, b + 1, {_step})) AS window_start FROM axis) w LEFT JOIN seen s ON s.global_track_id = i.global_track_id AND s.frame_idx BETWEEN w.window_start AND w.window_start + {_length - 1} GROUP BY ALL",
+    )
 
 
 # ------------------------------------------------------------- joins
@@ -177,9 +182,10 @@ def q_epoch_ids(spark: SparkSession, d: str) -> DataFrame:
     return export.epochs(frames, "reset", ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "epoch_id")
 
 
-def _series(spark: SparkSession, d: str, value) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", value.alias("value"))
-    return e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]).alias("values"))
+def _last(spark: SparkSession, d: str, value, chain) -> DataFrame:
+    """Each user's state after their last event."""
+    found = scan.states(table(spark, d, "events").withColumn("value", value), ["user_id"], ["ts", "event_id"], "value", chain)
+    return found.groupBy("user_id").agg(F.max_by(F.struct(*chain.names), F.struct("ts", "event_id")).alias("s"))
 
 
 NUMBERED = "WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS m FROM events)"
@@ -187,7 +193,7 @@ NUMBERED = "WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTI
 
 @query(NUMBERED + ", f AS (SELECT user_id, k, m, 0.2::double + 0.8::double * greatest(0, least(1, value / 100)) AS g FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, n.m, f.g * (1 - 0.8::double) + 0.8::double * greatest(0, least(1, n.value / 100)) FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1) SELECT user_id, round(g, 6) AS g FROM f WHERE k = m")
 def q_ema_fold(spark: SparkSession, d: str) -> DataFrame:
-    return _series(spark, d, F.col("value") / 100).select("user_id", F.round(V.ema(F.col("values"), 0.8), 6).alias("g"))
+    return _last(spark, d, F.col("value") / 100, scan.ema_chain(0.8)).select("user_id", F.round("s.g", 6).alias("g"))
 
 
 KALMAN = """, f AS (SELECT user_id, k, m, value AS x, 0::double AS v, 1000::double AS a, 0::double AS b, 1000::double AS c FROM n WHERE k = 1 UNION ALL
@@ -198,8 +204,7 @@ FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)) SELECT user_id, round
 
 @query(NUMBERED + KALMAN)
 def q_kalman_fold(spark: SparkSession, d: str) -> DataFrame:
-    s = _series(spark, d, F.col("value")).select("user_id", V.kalman_axis(F.col("values")).alias("s"))
-    return s.select("user_id", *(F.round(f"s.{x}", 6).alias(x) for x in "xvabc"))
+    return _last(spark, d, F.col("value"), scan.kalman_chain()).select("user_id", *(F.round(f"s.{x}", 6).alias(x) for x in "xvabc"))
 
 
 @query(OBS + ", t AS (SELECT DISTINCT global_track_id, frame_idx FROM obs WHERE global_track_id IS NOT NULL AND is_matched) SELECT global_track_id, frame_idx AS last_frame FROM (SELECT *, lead(frame_idx) OVER (PARTITION BY global_track_id ORDER BY frame_idx) AS following FROM t) WHERE following IS NOT NULL AND following <> frame_idx + 1")
@@ -283,12 +288,6 @@ def q_pair_status(spark: SparkSession, d: str) -> DataFrame:
     return identity.pair_status(strong.unionByName(inside).dropDuplicates(["i", "j"]), e, final, 0.32, id_col="vec_id", epoch_col="label").drop("sim")
 
 
-@query()
-def q_clique_groups(spark: SparkSession, d: str) -> DataFrame:
-    edges = cut(_edges(spark, d, 0.3))
-    return identity.identities(edges, components(edges.toDF("a", "b", "sim")), least=2)
-
-
 # ------------------------------------------------------------- tracking
 @query()
 def q_tracking_fold(spark: SparkSession, d: str) -> DataFrame:

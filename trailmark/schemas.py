@@ -15,13 +15,13 @@ def _table(columns: str) -> StructType:
 
 _BOX = "bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double"
 
-FRAMES = _table("frame_idx bigint, frame_path string, g double, reset_mode boolean, has_detections boolean")
-RAW_DETECTIONS = _table(f"frame_idx bigint, frame_path string, det_id bigint, keypoints array<array<double>>, kp_conf array<double>, confidence double, {_BOX}, crop_shard_id bigint, crop_index bigint")
-LOCAL_TRACKS = _table("frame_idx bigint, epoch_id bigint, local_track_id bigint, det_id bigint")
-TRACK_STATES = _table(f"frame_idx bigint, epoch_id bigint, local_track_id bigint, det_id bigint, is_matched boolean, confirmed boolean, hits bigint, age bigint, time_since_update bigint, {_BOX}, center_x double, center_y double")
-LOCAL_TO_GLOBAL = _table("epoch_id bigint, local_track_id bigint, global_track_id bigint")
+FRAMES = _table("video string, frame_idx bigint, frame_path string, g double, reset_mode boolean, has_detections boolean")
+RAW_DETECTIONS = _table(f"video string, frame_idx bigint, frame_path string, det_id bigint, keypoints array<array<double>>, kp_conf array<double>, confidence double, {_BOX}, crop_shard_id bigint, crop_index bigint")
+LOCAL_TRACKS = _table("video string, frame_idx bigint, epoch_id bigint, local_track_id bigint, det_id bigint")
+TRACK_STATES = _table(f"video string, frame_idx bigint, epoch_id bigint, local_track_id bigint, det_id bigint, is_matched boolean, confirmed boolean, hits bigint, age bigint, time_since_update bigint, {_BOX}, center_x double, center_y double")
+LOCAL_TO_GLOBAL = _table("video string, epoch_id bigint, local_track_id bigint, global_track_id bigint")
 OBSERVATIONS = _table(
-    "frame_idx bigint, epoch_id bigint, local_track_id bigint, global_track_id bigint, det_id bigint, is_matched boolean, confirmed boolean, hits bigint, age bigint, time_since_update bigint, "
+    "video string, frame_idx bigint, epoch_id bigint, local_track_id bigint, global_track_id bigint, det_id bigint, is_matched boolean, confirmed boolean, hits bigint, age bigint, time_since_update bigint, "
     f"{_BOX}, center_x double, center_y double, keypoints array<array<double>>, kp_conf array<double>, is_overlapping boolean, max_overlap_iou double, min_center_dist_norm double, center_dist_norm_det_idx bigint, "
     "has_body_features boolean, has_left_glove_features boolean, has_right_glove_features boolean, has_shorts_features boolean, has_e_app boolean, e_app_coverage double"
 )
@@ -37,3 +37,13 @@ def validate(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def keyed(*tables: DataFrame, by: tuple[str, ...] = ("frame_idx",)) -> list[str]:
+    """What rows of the tables are told apart by: ``by``, within their video where
+    the tables have one. A table that lacks it beside others that do not is an
+    error: its frames would meet those of every video."""
+    have = ["video" in t.columns for t in tables]
+    if any(have) and not all(have):
+        raise ValueError("only some of the tables have a video")
+    return ["video", *by] if all(have) else [*by]
