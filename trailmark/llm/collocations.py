@@ -47,10 +47,12 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import by_bytes, cut, text_of
 
 #: Bytes of text in a shard, and of those that a task holds for all its languages.
-SHARD_BYTES, HELD_BYTES = 4 << 20, 32 << 20
+SHARD_BYTES, HELD_BYTES = 4 << 20, 16 << 20
 #: Words of the corpus whose sums meet in one task.
 RANGE_WORDS = 1 << 22
 LONGEST = 5
+#: Exact up to 17 digits of 1000 a and of n, l and r.
+SCORE_SQL = "(1000 * CAST(a AS DECIMAL(14,0))) * CAST(n AS DECIMAL(17,0)) div (CAST(l AS DECIMAL(17,0)) * CAST(r AS DECIMAL(17,0)))"
 #: Ends of pieces become 0xFF, which no text holds; a tab becomes a space.
 _END = b"\xff"
 _TO = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _END * 10 + b" ")
@@ -66,7 +68,7 @@ def ngrams(ids: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[int,
     order = np.argsort(ids, kind="stable")
     while width < longest:
         key = rank * (int(rank.max()) + 1)
-        key[: n - width] += rank[width:]
+        key[: max(0, n - width)] += rank[width:]
         order = np.argsort(key, kind="stable")
         along = key[order]
         rank = np.empty(n, dtype=np.int64)
@@ -88,14 +90,22 @@ def ngrams(ids: np.ndarray, shortest: int, longest: int) -> Iterator[tuple[int,
         yield size, first[whole], times[whole]
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Word ids by byte planes, of which the upper ones are nearly empty."""
-    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte planes, of which the upper ones are nearly empty."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def _of_planes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Rising numbers by their differences."""
+    return _planes(np.diff(x, prepend=0))
+
+
+def _of_rising(planes: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(planes))
 
 
 def _tidy(ids: np.ndarray) -> np.ndarray:
@@ -107,8 +117,9 @@ def _tidy(ids: np.ndarray) -> np.ndarray:
 
 
 def shards(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``shard, lang, n, words, counts, ids``: word number i + 1 of a shard is ``words[i]``."""
-    schema = "shard long, lang string, n long, words array<string>, counts array<int>, ids binary"
+    """``shard, lang, n, words, ids``: compressed, words by falling count with spaces
+    between them, and their numbers in the text from 1 on (0 ends a piece)."""
+    schema = "shard long, lang string, n long, words binary, ids binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = count(TaskContext.get().partitionId() << 32)
@@ -126,12 +137,15 @@ def shards(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
                 number_of[_END]
                 found = part.replace(_END, b" \xff ").split()
                 ids = np.fromiter(map(number_of.__getitem__, found), np.int64, len(found))
-                counts = np.bincount(ids, minlength=1)[1:]
-                if not len(counts):
+                order = np.argsort(-np.bincount(ids, minlength=1)[1:], kind="stable")
+                if not len(order):
                     continue
-                words = pa.array([[w.decode() for w in list(number_of)[1:]]], pa.list_(pa.string()))
-                columns = [pa.array([next(number)]), pa.array([lang]), pa.array([int(counts.sum())]), words, pa.array([counts.astype(np.int32)], pa.list_(pa.int32())), pa.array([_packed(ids)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "n", "words", "counts", "ids"])
+                named = list(number_of)[1:]
+                place = np.zeros(len(order) + 1, dtype=np.int64)
+                place[order + 1] = np.arange(1, len(order) + 1)
+                words = zlib.compress(b" ".join([named[i] for i in order.tolist()]), 3)
+                columns = [pa.array([next(number)]), pa.array([lang]), pa.array([int((ids > 0).sum())]), pa.array([words], pa.binary()), pa.array([zlib.compress(_planes(place[ids]), 3)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "n", "words", "ids"])
 
         for b in by_bytes(batches, 4 << 20):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -152,11 +166,12 @@ def shards(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
 class _Shard:
     """A shard's word ids and the keys of its phrases: a range and 32 bits of a hash."""
 
-    def __init__(self, lang: str, words: list[str], packed: bytes, ranges: int):
+    def __init__(self, lang: str, words: bytes, ids: bytes, ranges: int):
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        self.ids, self.ranges = _unpacked(packed), ranges
-        self.words = np.array(["", *words], dtype=object)
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in self.words), np.uint64, len(words) + 1)
+        named = zlib.decompress(words).split(b" ")
+        self.ids, self.ranges = _of_planes(zlib.decompress(ids)), ranges
+        self.words = np.array(["", *(w.decode() for w in named)], dtype=object)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in (b"", *named)), np.uint64, len(named) + 1)
 
     def keys(self, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         h = self.hashes[ids[at]]
@@ -180,12 +195,12 @@ class _Shard:
 
 def _kept(known: list[dict] | None) -> np.ndarray:
     """What a shard has learnt, as keys."""
-    found = [np.frombuffer(k["low"], dtype="<u4").astype(np.int64) | k["range"] << 32 for k in known or []]
+    found = [_of_rising(k["low"]) | k["range"] << 32 for k in known or []]
     return np.concatenate([*found, np.zeros(0, dtype=np.int64)])
 
 
 def _by_range(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each range and the places of its keys, in their order."""
+    """Each range and the places of its keys, rising."""
     order = np.argsort(keys, kind="stable")
     ranges = keys[order] >> 32
     cuts = np.flatnonzero(np.diff(ranges)) + 1
@@ -210,8 +225,8 @@ def _counted(level: int, ranges: int):
                 ((_, at, times),) = ngrams(ids, level, level)
                 keys = shard.keys(ids, at, level)
                 parts = list(_by_range(keys))
-                low = [(keys[p] & 0xFFFFFFFF).astype("<u4").tobytes() for _, p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int64()), pa.array(low, pa.binary()), pa.array([times[p].astype("<u4").tobytes() for _, p in parts], pa.binary())], names=["shard", "range", "low", "times"])
+                low = [_rising(keys[p] & 0xFFFFFFFF) for _, p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int64()), pa.array(low, pa.binary()), pa.array([_planes(times[p]) for _, p in parts], pa.binary())], names=["shard", "range", "low", "times"])
 
     return task
 
@@ -220,11 +235,11 @@ def _summed(least: int):
     """Of a range, each shard's keys that occur ``least`` times in all shards."""
 
     def task(rows: pa.Table) -> pa.Table:
-        low, times = ([np.frombuffer(x, dtype="<u4") for x in rows.column(c).to_pylist()] for c in ("low", "times"))
+        low, times = [_of_rising(x) for x in rows.column("low").to_pylist()], [_of_planes(x) for x in rows.column("times").to_pylist()]
         _, which = np.unique(np.concatenate(low), return_inverse=True)
         total = np.bincount(which, weights=np.concatenate(times))
         good = np.split(total[which] >= least, np.cumsum([len(x) for x in low])[:-1])
-        kept = [x[g].tobytes() for x, g in zip(low, good, strict=True)]
+        kept = [_rising(x[g]) for x, g in zip(low, good, strict=True)]
         some = pa.array([bool(k) for k in kept])
         return pa.table([rows.column("shard"), rows.column("range"), pa.array(kept, pa.binary())], names=["shard", "range", "low"]).filter(some)
 
@@ -290,16 +305,17 @@ def frequent_phrases(cuts: DataFrame, least: int, range_words: int = RANGE_WORDS
         kept = counted.groupBy("range").applyInArrow(_summed(least), "shard long, range long, low binary")
         # At most a row a range, and no more than the shard's own phrases.
         learnt = kept.groupBy("shard").agg(F.collect_list(F.struct("range", "low")).alias(f"kept{level}"))
-        own = own.join(learnt, "shard", "left" if level == 3 else "inner")
+        # A shard of rare words alone has nothing to add.
+        own = own.join(learnt, "shard", "inner" if level == 1 else "left")
     found = own.mapInArrow(_phrases(ranges), "range long, lang string, phrases array<string>, times array<long>")
     return found.groupBy("range").applyInArrow(_frequent(least), "lang string, phrase string, size int, f long")
 
 
-def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, top: int = 2000, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, top: int = 2000, shard_bytes: int = SHARD_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases."""
     cuts = cut(shards(docs, text_col=text_col, lang_col=lang_col, shard_bytes=shard_bytes))
     sizes = cuts.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = cut(frequent_phrases(cuts, least))
+    phrases = cut(frequent_phrases(cuts, least, range_words))
     candidates = phrases.filter("size >= 2").withColumn("words", F.split("phrase", " "))
 
     def part(start: Column, length: Column) -> Column:
@@ -314,8 +330,7 @@ def mine(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", lea
     cuts_of = kept.select("lang", "phrase", "size", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts_of = cuts_of.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
     left, right = (counted.withColumnsRenamed({"part": p, "times": t}) for p, t in (("first", "l"), ("rest", "r")))
-    score = F.expr("(CAST(1000 * CAST(a AS DECIMAL(17,0)) AS DECIMAL(20,0)) * CAST(n AS DECIMAL(17,0))) div (CAST(l AS DECIMAL(17,0)) * CAST(r AS DECIMAL(17,0)))")
-    scored = cuts_of.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(sizes, "lang").withColumn("score", score)
+    scored = cuts_of.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(sizes, "lang").withColumn("score", F.expr(SCORE_SQL))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("w")).select("lang", "phrase", "w.*")
 
     # First within parts of a language, so that no task sorts a whole one.

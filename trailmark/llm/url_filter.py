@@ -1,7 +1,8 @@
 """URL filter: allow and block rules, then a classifier for all other URLs.
 
 The classifier is a logistic regression on hashed character n-grams of host and
-path, trained on a small labelled URL table. Host, path and rules are built-in
+path, trained on a small labelled URL table that is made by rule from word lists
+and looks like no table in particular. Host, path and rules are built-in
 column expressions; the score is a map over Arrow batches. Nothing shuffles.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and an empty
@@ -14,7 +15,9 @@ training table every score is 0.5, which allows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from string import ascii_lowercase, ascii_uppercase
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -32,25 +35,50 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Words of invented URLs of each label, 1 to block and 0 to allow, and the hosts' last parts.
+#: Words of URLs to block (1: gambling, drugs, adult, cracked software,
+#: fakes, loans, lotteries, phishing, link spam, advertising and tracking) and of
+#: ordinary ones (0), words that both use, last parts of hosts, first parts, languages.
 WORDS = {
-    1: "casino slots poker bet odds jackpot bonus pills viagra cialis pharma meds porn adult cams sexy warez crack keygen torrent replica outlet payday loan cash prize claim winner verify malware".split(),
-    0: "library manual docs news wiki research calendar museum history health weather garden forum recipes maps project support journal theatre science books choir market radio parks transit village letters railway notes".split(),
+    1: (
+        "casino slots poker roulette blackjack bet bets betting odds jackpot bonus win pills viagra cialis pharma meds steroids porn xxx adult cams sexy escort nude warez crack keygen torrent serial nulled replica fake outlet knockoff "
+        "payday loan cash credit lottery prize claim winner giveaway reward phish verify suspended malware spyware hack spam farm seo backlinks linkfarm doorway cloak ads adserver adclick track tracker tracking banner popup pixel affiliate clicks promo leads"
+    ).split(),
+    0: (
+        "library manual docs news wiki research calendar museum history health weather garden forum recipes maps project support journal theatre science books choir market radio parks transit village letters railway notes school college university hospital "
+        "city council archive music gallery kitchen travel hotel bakery coffee cycling running football chess astronomy physics chemistry biology geology language grammar poetry novel film camera photo paint wood metal house energy water river forest mountain ocean"
+    ).split(),
 }
-ENDS = {1: "top xyz click win biz".split(), 0: "org edu gov io com net".split()}
-
-
-def labelled_urls(words: dict[int, list[str]] = WORDS, ends: dict[int, list[str]] = ENDS) -> list[tuple[int, str]]:
-    """A small labelled table: hosts of two words, paths of a word, of a word and a
-    number, or as pages of a site in some language have them. The words, the
-    neutral parts and the plain paths are the same rule for both labels."""
-    out, mild = [], ("www.", "m.", "blog.", "")
-    for label, some in words.items():
-        for i, word in enumerate(some):
-            second, third = some[(7 * i + 3) % len(some)], some[(11 * i + 5) % len(some)]
-            host = f"{mild[i % 4]}{word}{'-' if i % 2 else ''}{second}.{ends[label][i % len(ends[label])]}"
-            out += [(label, f"http://{host}/{third}"), (label, f"https://{host}/{third}-{word}/{31 * i + 7}"), (label, f"https://{word}.example.{('com', 'org', 'net')[i % 3]}/{('en', 'de', 'es')[i % 3]}/{third}")]
-            out.append((0, f"http://{mild[i % 4]}{second[:2]}{word[-2:]}{third[:2]}.example.{('com', 'org', 'net')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{37 * i + 1}"))
+SHARED = "home page info about online free best new shop store blog site web my the go top world daily net hub center point link data service team group media".split()
+ENDS = "com org net io info co eu de fr uk us biz site online app top".split()
+FIRST = ("", "www.", "m.", "blog.", "shop.", "cdn.", "static.", "old.")
+LANGUAGES = "en de fr es it pt nl pl sv cs".split()
+
+
+def labelled_urls(n: int = 2400, words: dict[int, list[str]] = WORDS) -> list[tuple[int, str]]:
+    """A labelled table of ``n`` URLs of many sites, one in four to block.
+
+    Hosts and paths of both labels have the same shapes, last parts and shared
+    words; a label's own words are in its hosts and in half of its paths. Half of
+    the ordinary hosts are invented names. All choices follow a hash of the row.
+    """
+
+    def pick(some: Sequence[str], i: int, what: str) -> str:
+        return some[crc32(f"{i}:{what}".encode()) % len(some)]
+
+    def name(i: int, what: str) -> str:
+        return "".join(pick("b c d f g h j k l m n p r s t v w z st tr th ch sh".split(), i, f"{what}{k}") + pick("a e i o u ea ou er an in".split(), i, f"{what}{k}v") for k in range(2 + crc32(f"{i}:{what}".encode()) % 2))
+
+    out = []
+    for i in range(n):
+        label = int(i % 4 == 0)
+        one, two, other, brand = pick(words[label], i, "one"), pick(words[label], i, "two"), pick(SHARED, i, "other"), name(i, "brand")
+        if not label and i % 2:
+            one = name(i, "one")
+        shapes = (f"{one}.", f"{one}{two}.", f"{one}-{two}.", f"{other}-{one}.", f"{one}{other}.", f"{one}.{brand}.", f"{one}-{two}.{brand}.", f"{one}-{other}.{brand}.", f"{one}{i % 97}.")
+        host = pick(FIRST, i, "first") + pick(shapes, i, "host") + pick(ENDS, i, "end")
+        word, number = (two if crc32(f"{i}:own".encode()) % 2 else other), crc32(f"{i}:n".encode()) % 5000
+        paths = ("", "/", f"/{word}", f"/{word}/{number}", f"/{word}-{other}.html", f"/{pick(LANGUAGES, i, 'l')}/{word}/{number}", f"/{pick(LANGUAGES, i, 'l')}/{number}", f"/{2005 + i % 20}/{1 + i % 12:02}/{word}-{other}/", "/index.php", f"/wiki/{word}", f"/~{word}/", f"/p/{number}", f"/category/{word}/page/{i % 9}")
+        out.append((label, f"http{'s' * (i % 3 > 0)}://{host}{pick(paths, i, 'path')}"))
     return out
 
 
@@ -58,6 +86,18 @@ def labelled_urls(words: dict[int, list[str]] = WORDS, ends: dict[int, list[str]
 LABELLED = tuple(labelled_urls())
 
 
+def held_out(url: str) -> bool:
+    """Of a third of the hosts; none of their URLs is trained on."""
+    return crc32(parts_of(url)[0].encode()) % 3 == 1
+
+
+def parts_of(url: str) -> tuple[str, str]:
+    """Host and path of a labelled URL."""
+    rest = url.split("://", 1)[-1].split("?")[0].split("#")[0]
+    host, slash, path = rest.partition("/")
+    return host.lower(), slash + path
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
     lower-cased. Path: from there up to ``?``, ``#`` or the end. Else empty."""
@@ -97,9 +137,9 @@ def hashed(parts: Sequence[str], kind: int, bits: int, sizes: Sequence[int]) ->
 class UrlModel:
     """Logistic regression over ``2 ** bits`` hashed n-gram buckets, full-batch descent."""
 
-    def __init__(self, bits: int = 14, sizes: Sequence[int] = (3, 4, 5)):
+    def __init__(self, bits: int = 16, sizes: Sequence[int] = (3, 4, 5)):
         self.bits, self.sizes = bits, tuple(sizes)
-        self.weights, self.bias = np.zeros(1 << bits), 0.0
+        self.weights, self.bias, self.limit = np.zeros(1 << bits), 0.0, 0.5
 
     def counts(self, hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, bucket and count of every bucket of every URL, rows scaled to length 1."""
@@ -109,17 +149,33 @@ class UrlModel:
         length = np.sqrt(np.bincount(row, n * n, minlength=len(hosts)))
         return row, bucket, n / length[row]
 
-    def fit(self, rows: Sequence[tuple[int, str]], steps: int = 400, rate: float = 2.0, l2: float = 1e-4) -> UrlModel:
+    def fit(self, rows: Sequence[tuple[int, str]], steps: int = 300, rate: float = 0.5, l2: float = 1e-5) -> UrlModel:
+        """Full-batch descent with a step for each weight that shrinks with its past
+        gradients; both labels weigh alike, however many rows they have."""
         if not rows:
             return self
         y = np.array([label for label, _ in rows], dtype=float)
-        split = [url.split("://", 1)[-1].partition("/") for _, url in rows]
-        row, bucket, n = self.counts([h.lower() for h, _, _ in split], [slash + p for _, slash, p in split])
+        row, bucket, n = self.counts(*map(list, zip(*(parts_of(url) for _, url in rows), strict=True)))
+        share = np.clip(y.mean(), 1e-9, 1 - 1e-9)
+        weigh = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+        past, past_bias = np.full(1 << self.bits, 1e-12), 1e-12
         for _ in range(steps):
             z = np.bincount(row, self.weights[bucket] * n, minlength=len(y)) + self.bias
-            error = 1 / (1 + np.exp(-z)) - y
-            self.weights -= rate * (np.bincount(bucket, error[row] * n, minlength=1 << self.bits) / len(y) + l2 * self.weights)
-            self.bias -= rate * error.mean()
+            error = (1 / (1 + np.exp(-z)) - y) * weigh
+            slope = np.bincount(bucket, error[row] * n, minlength=1 << self.bits) + l2 * self.weights
+            past += slope**2
+            past_bias += error.sum() ** 2
+            self.weights -= rate * slope / np.sqrt(past)
+            self.bias -= rate * error.sum() / np.sqrt(past_bias)
+        return self
+
+    def settle(self, rows: Sequence[tuple[int, str]], wrong: float = 0.01) -> UrlModel:
+        """The least limit from 0.5 on at which of the ordinary ``rows`` (of hosts not
+        trained on) no more than a share of ``wrong`` is blocked."""
+        plain = [parts_of(url) for label, url in rows if not label]
+        if plain:
+            scores = np.sort(self.score(*map(list, zip(*plain, strict=True))))
+            self.limit = max(0.5, float(scores[-1 - int(wrong * len(scores))]))
         return self
 
     def score(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
@@ -128,14 +184,19 @@ class UrlModel:
         return 1 / (1 + np.exp(-np.bincount(row, self.weights[bucket] * n, minlength=len(hosts)) - self.bias))
 
 
+@lru_cache(maxsize=4)
+def trained(labelled: tuple[tuple[int, str], ...] = LABELLED) -> UrlModel:
+    return UrlModel().fit([r for r in labelled if not held_out(r[1])]).settle([r for r in labelled if held_out(r[1])])
+
+
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[int, str]] = LABELLED) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every URL.
 
     ``score`` is the classifier's probability of block, ``verdict`` the rule's or,
-    without a rule, block from 0.5 upwards of the score (0.5 itself, which an
-    untrained model gives to all, allows).
+    without a rule, block where the score is above the model's limit. The model is
+    trained on two thirds of the labelled hosts, the limit set on the others.
     """
-    model = UrlModel().fit(labelled)
+    model = trained(tuple(labelled))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -151,5 +212,5 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     return (
         pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
         .withColumns({"rule": rule, "ruled": verdict, "score": score("host", "path")})
-        .select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+        .select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > model.limit, "block").otherwise("allow")).alias("verdict"), "score")
     )
