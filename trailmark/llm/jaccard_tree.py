@@ -61,6 +61,8 @@ WIDE, WIDE_BYTES = 8, 8_000_000
 SALTS = 32
 #: Keys that are counted at once, and the most keys that are told to all tasks (24 bytes each).
 TALLIED, TOLD = 500_000, 200_000
+#: Members of families up to which the hashes of their texts are told to all tasks (8 bytes each).
+PICKED = 500_000
 
 
 # ---------------------------------------------------------------- routing
@@ -317,7 +319,7 @@ def classify(docs: DataFrame, options: Options) -> DataFrame:
             sizes = pa.array([len(s) for s in sets], pa.int64())
             classes = [fingerprint(s) if len(s) else 0 for s in sets]
             maps = pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None for s in sets], pa.binary())
-            columns = [b.column(0), b.column(1), sizes, pa.array(classes, pa.int64()), maps]
+            columns = [b.column(0), b.column(1), sizes, pa.array([c or None for c in classes], pa.int64()), maps]
             for c, s in zip(classes, sets, strict=True):
                 if c and c not in sent:
                     if len(sent) > 200_000:
@@ -365,10 +367,10 @@ def hubs(rows: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
     """
     keys = routed(docs, options)
     often = rows.where("often is not null").select(F.inline("often")).groupBy("key").agg(F.sum("n").alias("n"), F.min("c").alias("told"))
-    seen = often.agg(F.sum("n")).first()[0] or 0
-    least = max(options.hot, seen // TOLD + 1)
+    seen, most = often.agg(F.sum("n"), F.max("n")).first()
+    least = max(options.hot, (seen or 0) // TOLD + 1)
     hot = often.where(F.col("n") > least)
-    if hot.isEmpty():
+    if (most or 0) <= least:
         by_key = Window.partitionBy("key").orderBy("c")
         return keys.withColumn("hub", F.first("c").over(by_key)).where("hub <> c")
     dealt = hot.select("key", "told", F.ceil(F.col("n") / least).cast("int").alias("parts"))
@@ -441,7 +443,8 @@ def partnered(members: DataFrame, options: Options) -> DataFrame:
 
     size = members.groupBy("family").agg(F.count("c").alias("n"), F.sum(F.octet_length("bitmap")).alias("bytes"))
     size = cut(size.where("n > 1").withColumn("chunks", chunks("n", "bytes")))
-    totals = size.where("chunks = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    small = F.col("chunks") == 1
+    totals = size.agg(F.sum(F.when(small, F.col("n"))).alias("n"), F.sum(F.when(small, F.col("bytes"))).alias("bytes"), F.count_if(~small).alias("large")).first()
     heaps = max(1, math.ceil((totals["bytes"] or 0) / WIDE_BYTES), math.ceil((totals["n"] or 0) / (8 * options.chunk)))
 
     def task(heap: pa.Table) -> pa.Table:
@@ -460,9 +463,8 @@ def partnered(members: DataFrame, options: Options) -> DataFrame:
 
     placed = members.join(size.select("family", "chunks"), "family").withColumn("found", F.lit(False))
     # Small families share a heap.
-    small = searched(placed.where("chunks = 1").withColumn("heap", F.pmod(F.xxhash64("family"), F.lit(heaps))))
-    kept = small.where("found").drop("found")
-    if size.where("chunks > 1").isEmpty():
+    kept = searched(placed.where("chunks = 1").withColumn("heap", F.pmod(F.xxhash64("family"), F.lit(heaps)))).where("found").drop("found")
+    if not totals["large"]:
         return kept
     near = cut(searched(placed.where("chunks > 1").withColumn("heap", F.xxhash64("family", dealt("chunks")))))
     kept = kept.unionByName(near.where("found").drop("found"))
@@ -503,16 +505,24 @@ def class_links(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame
     held = members.groupBy("family", "bucket").agg(F.count("c").alias("n"), F.sum("n").alias("s"))
     size = held.groupBy("family").agg(F.sum("n").alias("members"), F.sum("s").alias("shingles"))
     size = size.withColumn("large", (F.col("members") > options.chunk) | (F.col("shingles") > options.chunk_shingles) & (F.col("members") > 2))
-    totals = size.where(~F.col("large")).agg(F.sum("shingles").alias("s"), F.sum("members").alias("m")).first()
+    light = ~F.col("large")
+    totals = size.agg(F.sum(F.when(light, F.col("shingles"))).alias("s"), F.sum(F.when(light, F.col("members"))).alias("m"), F.count_if("large").alias("large"), F.sum("members").alias("all")).first()
     heaps = max(1, math.ceil((totals["s"] or 0) / options.chunk_shingles), math.ceil((totals["m"] or 0) / (4 * options.chunk)))
     parts = held.join(size.where("large").select("family"), "family")
     chunks = F.ceil(F.greatest(F.col("n") / options.chunk, F.col("s") / options.chunk_shingles)).cast("int")
-    parts = cut(parts.select("family", "bucket", chunks.alias("chunks")))
-    placed = members.join(parts, ["family", "bucket"], "left").withColumn("chunk", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
+    parts = parts.select("family", "bucket", chunks.alias("chunks"))
+    some_large = bool(totals["large"])
+    if some_large:
+        parts = cut(parts)
+    placed = members.join(parts, ["family", "bucket"], "left") if some_large else members.withColumn("chunks", F.lit(None).cast("int"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
     # A class is in as many families as its keys have hubs. One text of each
     # class, by its row's id and text hash.
     place = F.struct("family", "bucket", "chunk")
     homes = placed.groupBy("c", "doc_id", "t").agg(F.collect_list(place).alias("places"))
+    if (totals["all"] or 0) <= PICKED:
+        # So few that every task can know them: only their texts are shuffled.
+        docs = docs.join(F.broadcast(homes.select("t").distinct()), "t", "left_semi")
     texts = docs.alias("d").join(homes.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t")))
     sets = cut(_sets(texts.select("m.c", "m.places", "d.text"), options))
     at_home = sets.select("c", F.explode("places").alias("place"), "shingles").select("c", "place.*", "shingles")
@@ -520,7 +530,6 @@ def class_links(docs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame
     columns = ["c", "family", "shingles"]
     heap = F.when(F.col("chunk").isNotNull(), F.xxhash64("family", "bucket", "chunk")).otherwise(F.pmod(F.xxhash64("family"), F.lit(heaps)))
     heaped = at_home.select(heap.alias("heap"), F.lit(False).alias("pivot"), *columns)
-    some_large = not parts.isEmpty()
     if some_large:
         best = Window.partitionBy("family", "bucket").orderBy(F.desc("weight"), "c")
         named = placed.where("chunk is not null").withColumn("place", F.row_number().over(best)).where(F.col("place") <= options.pivots)
@@ -620,7 +629,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, options: Options) -> D
     salted = joined.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(named, ["label", "salt"])
     alone = classes.where("label is null").select("c", F.col("c").alias("label"), F.col("first").alias("component_id"))
     by_class = cut(salted.select("c", "label", "component_id").unionByName(alone), classes)
-    return rows.join(by_class, "c", "left").select("doc_id", "t", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Rows without words have no class, and need not meet in a task.
+    named = rows.where("c is not null").join(by_class, "c").select("doc_id", "t", "n", "label", "component_id")
+    return named.unionByName(rows.where("c is null").select("doc_id", "t", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
@@ -642,16 +653,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     dropped = found.where("component_id is not null and doc_id is distinct from component_id").select("doc_id", "t").distinct()
     first = found.where("doc_id = component_id")
     tied = first.groupBy("label").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least < most").select("label", "least")
-    if not tied.isEmpty():
-        dropped = dropped.unionByName(first.join(tied, "label").where("t > least").select("doc_id", "t").distinct())
     repeated = found.groupBy("doc_id", "t").count().where("count > 1").select("doc_id", "t")
+    there = {r[0] for r in tied.select(F.lit("tied")).limit(1).union(repeated.select(F.lit("repeated")).limit(1)).collect()}
+    if "tied" in there:
+        dropped = dropped.unionByName(first.join(tied, "label").where("t > least").select("doc_id", "t").distinct())
     marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": F.xxhash64(text_of(docs, text_col))})
 
     def match(keys: DataFrame):
         return F.col("__id").eqNullSafe(keys["doc_id"]) & (F.col("__t") == keys["t"])
 
     kept = marked.join(dropped, match(dropped), "left_anti")
-    if not repeated.isEmpty():
+    if "repeated" in there:
         once = kept.join(repeated, match(repeated), "left_semi").dropDuplicates(["__id", "__t"])
         kept = kept.join(repeated, match(repeated), "left_anti").unionByName(once)
     return kept.drop("__id", "__t")
