@@ -247,7 +247,8 @@ def _summed(least: int):
 
 
 def _phrases(ranges: int):
-    """Counts of a shard's frequent words and phrases: ``range, lang, phrases, times``."""
+    """Counts of a shard's frequent words and phrases: ``range, lang, phrases, times``;
+    the phrases of a row are compressed, a line each."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,13 +271,14 @@ def _phrases(ranges: int):
                     at, times = at[whole], times[whole]
                     found.append((shard.keys(ids, at, size), [" ".join(x) for x in zip(*(shard.words[ids[at + k]] for k in range(size)), strict=True)], times))
                 keys, times = (np.concatenate([f[k] for f in found]) for k in (0, 2))
-                text = pa.array([t for f in found for t in f[1]], pa.string())
-                parts = list(_by_range(keys))
-                if not parts:
-                    continue
-                ends = pa.array(np.cumsum([0, *(len(p) for _, p in parts)]).astype(np.int32))
-                order = np.concatenate([p for _, p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array([row["lang"]] * len(parts)), pa.ListArray.from_arrays(ends, text.take(pa.array(order))), pa.ListArray.from_arrays(ends, pa.array(times[order].astype(np.int64)))], names=["range", "lang", "phrases", "times"])
+                text = np.array([t for f in found for t in f[1]], dtype=object)
+                parts = []
+                for r, p in _by_range(keys):
+                    p = p[np.argsort(text[p])]  # like beginnings follow one another
+                    parts.append((r, zlib.compress("\n".join(text[p].tolist()).encode(), 3), _planes(times[p])))
+                if parts:
+                    ranges_of, lines, counts = zip(*parts, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges_of, pa.int64()), pa.array([row["lang"]] * len(parts)), pa.array(lines, pa.binary()), pa.array(counts, pa.binary())], names=["range", "lang", "phrases", "times"])
 
     return task
 
@@ -285,9 +287,9 @@ def _frequent(least: int):
     """Of a range, the phrases that occur ``least`` times: ``lang, phrase, size, f``."""
 
     def task(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        parent = pc.list_parent_indices(rows.column("phrases").combine_chunks())
-        flat = pa.table([rows.column("lang").take(parent), pc.list_flatten(rows.column("phrases")), pc.list_flatten(rows.column("times"))], names=["lang", "phrase", "times"])
+        lines = [zlib.decompress(x).decode().split("\n") for x in rows.column("phrases").to_pylist()]
+        lang = rows.column("lang").combine_chunks().take(pa.array(np.repeat(np.arange(len(lines)), [len(x) for x in lines])))
+        flat = pa.table([lang, pa.array([t for x in lines for t in x], pa.string()), pa.array(np.concatenate([_of_planes(x) for x in rows.column("times").to_pylist()]))], names=["lang", "phrase", "times"])
         total = flat.group_by(["lang", "phrase"]).aggregate([("times", "sum")]).rename_columns(["lang", "phrase", "f"])
         total = total.filter(pc.greater_equal(total.column("f"), least))
         size = pc.cast(pc.add(pc.count_substring(total.column("phrase"), " "), 1), pa.int32())
@@ -307,7 +309,7 @@ def frequent_phrases(cuts: DataFrame, least: int, range_words: int = RANGE_WORDS
         learnt = kept.groupBy("shard").agg(F.collect_list(F.struct("range", "low")).alias(f"kept{level}"))
         # A shard of rare words alone has nothing to add.
         own = own.join(learnt, "shard", "inner" if level == 1 else "left")
-    found = own.mapInArrow(_phrases(ranges), "range long, lang string, phrases array<string>, times array<long>")
+    found = own.mapInArrow(_phrases(ranges), "range long, lang string, phrases binary, times binary")
     return found.groupBy("range").applyInArrow(_frequent(least), "lang string, phrase string, size int, f long")
 
 
