@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.sources.results import read_json, write_manifest
+from trailmark.streaming.sink import write_counted
 
 _NOTHING = object()
 
@@ -24,6 +25,34 @@ def option(config: dict, path: str, default=None):
     return value
 
 
+def options(spark: SparkSession, path: str, defaults: dict | None = None) -> dict:
+    """Nested options of a JSON file over ``defaults``. A value must be of the kind of
+    its default (a whole number may stand for a fraction; null for any), and a name
+    that has no default is an error; without defaults anything goes."""
+    found = read_json(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+
+    def over(base: dict, new: dict, at: str) -> dict:
+        out = dict(base)
+        for name, value in new.items():
+            place = f"{at}{name}"
+            if name not in base:
+                raise ValueError(f"unknown option {place}")
+            default = base[name]
+            if isinstance(default, dict) and isinstance(value, dict):
+                value = over(default, value, f"{place}.")
+            elif default is not None and value is not None:
+                if isinstance(default, float) and type(value) is int:
+                    value = float(value)
+                if type(value) is not type(default):
+                    raise ValueError(f"option {place} is {value!r}, expected {type(default).__name__}")
+            out[name] = value
+        return out
+
+    return found if defaults is None else over(defaults, found, "")
+
+
 def fingerprint(files: DataFrame) -> dict:
     """What an input of ``path, length, modificationTime`` rows (a ``binaryFile``
     listing) is known by: how many files, bytes, the latest change, and a sum of
@@ -64,9 +93,8 @@ def run(spark: SparkSession, source: DataFrame, stages: Sequence[Stage], folder:
         if dirty or done is None or done.get("status") != "completed":
             dirty = True
             write_manifest(spark, manifest, status="running")
-            stage.run(spark, at).write.mode("overwrite").parquet(path)
-            out = spark.read.parquet(path)
-            last = {"last_frame": out.agg(F.max("frame_idx")).first()[0]} if "frame_idx" in out.columns else {}
-            write_manifest(spark, manifest, status="completed", rows=out.count(), **last)
+            counts = write_counted(stage.run(spark, at), path)
+            counts.pop("first_frame", None)
+            write_manifest(spark, manifest, status="completed", **counts)
         at = spark.read.parquet(path)
     return at

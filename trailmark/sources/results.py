@@ -126,13 +126,22 @@ def parse_people(df: DataFrame, json_col: str = "people_json", least: float = 0.
 
 
 def write_manifest(spark: SparkSession, path: str, **values) -> None:
-    """A small JSON file. It is written beside its place and put there by a rename
-    that replaces an earlier one, so a reader sees the one or the other."""
+    """A small JSON file; see ``write_bytes``."""
+    write_bytes(spark, path, json.dumps(values, sort_keys=True).encode())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file. It is written beside its place and put there by a rename that
+    replaces an earlier one, so a reader sees the one or the other."""
     jvm = spark.sparkContext._jvm
     fs, where = _fs(spark, path)
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
-    out.write(bytearray(json.dumps(values, sort_keys=True).encode()))
+    out.write(bytearray(content))
     out.close()
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
