@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import brute_skeleton
 from trailmark.operators import export, identity, matches, skeleton
 from trailmark.operators.cliques import merge_cliques
 from trailmark.operators.tracking import track, track_log
@@ -110,13 +111,13 @@ def test_extrema_against_pairs(spark):
 
 def test_capsule_mask_pixel_by_pixel():
     points, sure = np.array([[5.0, 9.0], [22.0, 14.0], [40.0, 3.0]]), [True, True, False]
-    mask = skeleton.capsules(points, sure, (24, 30), (0.0, 0.0), bones=((0, 1), (1, 2)))
+    mask = brute_skeleton.capsules(points, sure, (24, 30), (0.0, 0.0), bones=((0, 1), (1, 2)))
     for y in range(24):
         for x in range(30):
             t = min(1, max(0, ((x - 5) * 17 + (y - 9) * 5) / (17 * 17 + 5 * 5)))
             assert mask[y, x] == (((x - 5 - 17 * t) ** 2 + (y - 9 - 5 * t) ** 2) <= 3.5**2)
-    assert skeleton.mask_iou(mask, mask) == 1 and skeleton.mask_iou(mask, mask[:5]) == 0 and skeleton.mask_iou(None, mask) == 0
-    assert skeleton.mask_iou(mask, np.zeros_like(mask)) == 0 and skeleton.mask_iou(~mask & mask, ~mask & mask) == 0
+    assert brute_skeleton.mask_iou(mask, mask) == 1 and brute_skeleton.mask_iou(mask, mask[:5]) == 0 and brute_skeleton.mask_iou(None, mask) == 0
+    assert brute_skeleton.mask_iou(mask, np.zeros_like(mask)) == 0 and brute_skeleton.mask_iou(~mask & mask, ~mask & mask) == 0
 
 
 def test_skeleton_pairs(spark):
@@ -131,6 +132,35 @@ def test_skeleton_pairs(spark):
     assert 0.3 < near["skeleton_iou"] < 1 and near["iou"] == pytest.approx(0.35 * near["skeleton_iou"] + 0.65 * near["core_skeleton_iou"]) and near["iou"] == got[3, 1, 0]["iou"]
 
 
+def test_spans_count_the_pixels_of_drawn_skeletons(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for frame in range(12):
+        for det in range(4):
+            points = rng.random((25, 2)) * rng.choice([8, 60, 150]) + rng.random(2) * 80
+            if det == 2:
+                points = np.round(points)  # bones along axes, of no length, on halves
+                points[5:9, 0] = points[5, 0] + 0.5
+                points[9:12, 1] = points[9, 1]
+                points[12] = points[13]
+            points[rng.integers(25)] = np.nan
+            conf = None if det == 3 and frame % 3 == 0 else rng.choice([0.01, 0.9], size=25).tolist()
+            box = [float(v) for v in (*points[0], *(points[0] + 30))] if det == 1 and np.isfinite(points[0]).all() else None
+            rows.append((frame, det, points.tolist(), conf, box))
+    df = spark.createDataFrame([*rows, (50, 0, None, None, None), (50, 1, rows[0][2], [0.9] * 25, None)], "frame_idx long, det_id long, keypoints array<array<double>>, kp_conf array<double>, bbox array<double>")
+    for thickness in (7, 1):
+        got = {(r["frame_idx"], r["det_id"], r["other_id"]): r for r in skeleton.skeleton_pairs(df, thickness).collect()}
+        assert len(got) == 12 * 12 + 2
+        for frame in range(12):
+            people = [brute_skeleton.person(p, c, b) for f, _, p, c, b in rows if f == frame]
+            for i in range(4):
+                for j in range(i + 1, 4):
+                    want = brute_skeleton.skeleton_overlap(people[i], people[j], thickness=thickness)
+                    r, s = got[frame, i, j], got[frame, j, i]
+                    assert (r["iou"], r["skeleton_iou"], r["core_skeleton_iou"]) == pytest.approx(want, abs=1e-12)
+                    assert (s["iou"], s["center_dist_norm"]) == (r["iou"], r["center_dist_norm"])
+
+
 # ------------------------------------------------------------------ the fold's log
 
 

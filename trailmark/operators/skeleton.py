@@ -1,8 +1,8 @@
 """Overlap of people in a frame: boxes without materialised pairs, and skeletons
-drawn as capsules.
+as capsules, counted by spans of pixels.
 
 The frame is the unit of work: its people are few (a camera's view), frames are
-many. Within a frame a block of people at a time is compared with all others.
+many. For boxes a block of people at a time is compared with all others.
 
 Skeletons are drawn by the exact distance of a pixel's centre to the bone (at
 most half the thickness), not by an image library's smoothed lines, so scores
@@ -15,9 +15,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions import geometry as G
 from trailmark.schemas import keyed
 
 #: Bones of the 25-point body layout, all and those of the trunk.
@@ -73,93 +74,116 @@ def frame_extrema(detections: DataFrame, boxes: tuple[str, str, str, str] = ("bb
     return rows.where(F.col("frame_idx").isNotNull() & F.col("det_id").isNotNull() & ~F.exists(F.array(*boxes), lambda x: x.isNull())).groupBy(*keys).applyInArrow(run, schema)
 
 
-def capsules(points: np.ndarray, sure: np.ndarray, shape: tuple[int, int], offset: tuple[float, float], bones=FULL, thickness: int = 7) -> np.ndarray:
-    """A mask of ``shape`` (height, width) of all bones whose two joints are sure."""
-    mask, reach = np.zeros(shape, dtype=bool), max(1, thickness) / 2
-    for a, b in bones:
-        if a >= len(points) or b >= len(points) or not (sure[a] and sure[b]):
-            continue
-        p, q = (np.array([round(float(points[k][c]) - float(offset[c])) for c in (0, 1)], dtype=float) for k in (a, b))
-        lo, hi = np.floor(np.minimum(p, q) - reach).astype(int), np.ceil(np.maximum(p, q) + reach).astype(int) + 1
-        x0, y0, x1, y1 = max(0, lo[0]), max(0, lo[1]), min(shape[1], hi[0]), min(shape[0], hi[1])
-        if x1 <= x0 or y1 <= y0:
-            continue
-        x, y = np.arange(x0, x1, dtype=float)[None, :], np.arange(y0, y1, dtype=float)[:, None]
-        v = q - p
-        length = float(v @ v)
-        t = np.clip(((x - p[0]) * v[0] + (y - p[1]) * v[1]) / length, 0, 1) if length else np.zeros((y1 - y0, x1 - x0))
-        mask[y0:y1, x0:x1] |= (x - p[0] - t * v[0]) ** 2 + (y - p[1] - t * v[1]) ** 2 <= reach * reach
-    return mask
-
-
-def mask_iou(a: np.ndarray | None, b: np.ndarray | None) -> float:
-    """0 where a mask is missing, empty or of another shape."""
-    if a is None or b is None or a.shape != b.shape or not a.size:
-        return 0.0
-    union = float((a | b).sum())
-    return float((a & b).sum()) / union if union > 1e-9 else 0.0
-
-
-def person(points, conf, box=None, least: float = 0.05) -> dict:
-    """Points, which of them are sure, and the given box or that of the sure points (none without extent)."""
-    xy = np.array([p[:2] for p in points] if points is not None else [], dtype=float).reshape(-1, 2)
-    c = np.ones(len(xy)) if conf is None else np.zeros(len(xy))
-    if conf is not None:
-        some = np.array([np.nan if v is None else v for v in conf], dtype=float)[: len(xy)]
-        c[: len(some)] = some
-    sure = np.isfinite(xy).all(axis=1) & np.isfinite(c) & (c >= least)
-
-    def sane(b):
-        return b if b is not None and len(b) == 4 and all(v is not None and math.isfinite(v) for v in b) and b[2] > b[0] and b[3] > b[1] else None
-
-    around = [*xy[sure].min(axis=0), *xy[sure].max(axis=0)] if sure.any() else None
-    return {"points": xy, "sure": sure, "box": sane(box) or sane(around)}
-
-
-def skeleton_overlap(a: dict, b: dict, full_weight: float = 0.35, trunk_weight: float = 0.65, thickness: int = 7) -> tuple[float, float, float]:
-    """Score, overlap of the full skeletons and of the trunks, on a shared padded canvas."""
-    boxes = [p["box"] for p in (a, b) if p["box"] is not None]
-    if not boxes:
-        return 0.0, 0.0, 0.0
-    low, high, pad = np.min([x[:2] for x in boxes], axis=0), np.max([x[2:] for x in boxes], axis=0), max(1, 3 * max(1, thickness))
-    shape = tuple(max(1, math.ceil(v)) for v in (high - low + 2 * pad)[::-1])
-    offset = tuple(low - pad)
-    full, trunk = (mask_iou(*(capsules(p["points"], p["sure"], shape, offset, bones, thickness) for p in (a, b))) for bones in (FULL, TRUNK))
-    return full_weight * full + trunk_weight * trunk, full, trunk
-
-
-def skeleton_pairs(detections: DataFrame, thickness: int = 7, least: float = 0.05) -> DataFrame:
+def _sane(box: Column) -> Column:
+    """The box if it has four finite values and an extent."""
+    return G.sane_box(box.cast("array<double>"))
+
+
+def _people(detections: DataFrame, frame: list[str], least: float) -> DataFrame:
+    """Joints with whether they are sure, the given box or that of the sure joints,
+    and the extent of the sure joints."""
+    points = F.col("keypoints").cast("array<array<double>>")
+    conf = F.col("kp_conf").cast("array<double>")
+    places = F.sequence(F.lit(0), F.size(points) - 1)
+
+    def joint(i: Column) -> Column:
+        p = F.get(points, i)
+        x, y = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        known = conf.isNull() | F.coalesce(G.finite(F.get(conf, i)) & (F.get(conf, i) >= least), F.lit(False))
+        return F.struct(x.alias("x"), y.alias("y"), (G.finite(x) & G.finite(y) & known).alias("ok"))
+
+    joints = F.when(F.size(points) > 0, F.transform(places, joint)).otherwise(F.array().cast("array<struct<x: double, y: double, ok: boolean>>"))
+    given = F.col("bbox") if "bbox" in detections.columns else F.lit(None).cast("array<double>")
+    out = detections.select(*frame, F.col("det_id").cast("bigint").alias("det_id"), joints.alias("joints"), _sane(given).alias("given"))
+    sure = F.filter("joints", lambda j: j["ok"])
+    xs, ys = F.transform(sure, lambda j: j["x"]), F.transform(sure, lambda j: j["y"])
+    out = out.withColumn("around", F.when(F.size(sure) > 0, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))))
+    return out.select(*frame, "det_id", F.struct("joints", "around", F.coalesce("given", _sane(F.col("around"))).alias("box")).alias("p"))
+
+
+def _row_span(thickness: int) -> tuple[Column, Column]:
+    """First and last pixel of a row (``row``) within half the thickness of the bone
+    from ``px, py`` to ``qx, qy``, all of them whole: of the discs around its ends
+    and the strip between them. No pixel lies exactly on the border, whose distance
+    from the bone is an odd number of halves for odd thicknesses."""
+    reach = max(1, thickness) / 2
+    px, py, qx, qy, row = (F.col(c).cast("double") for c in ("px", "py", "qx", "qy", "row"))
+    vx, vy = qx - px, qy - py
+    length = vx * vx + vy * vy
+    none = F.lit(None).cast("double")
+    spans = []
+    for x, y in ((px, py), (qx, qy)):
+        rest = F.lit(reach * reach) - (row - y) * (row - y)
+        half = F.when(rest >= 0, F.sqrt(rest))
+        spans.append((x - half, x + half))
+    across, d = F.lit(reach) * F.sqrt(length), row - py
+    # |(x - px) vy - d vx| <= across, and 0 <= (x - px) vx + d vy <= length.
+    one, two = (d * vx - across) / F.nullif(vy, F.lit(0.0)), (d * vx + across) / F.nullif(vy, F.lit(0.0))
+    three, four = -d * vy / F.nullif(vx, F.lit(0.0)), (length - d * vy) / F.nullif(vx, F.lit(0.0))
+    low = F.when(vy == 0, F.least(three, four)).when(vx == 0, F.least(one, two)).otherwise(F.greatest(F.least(one, two), F.least(three, four)))
+    high = F.when(vy == 0, F.greatest(three, four)).when(vx == 0, F.greatest(one, two)).otherwise(F.least(F.greatest(one, two), F.greatest(three, four)))
+    inside = (length > 0) & (low <= high) & F.when(vy == 0, F.abs(d * vx) <= across).when(vx == 0, (d * vy >= 0) & (d * vy <= length)).otherwise(F.lit(True))
+    spans.append((F.when(inside, px + low), F.when(inside, px + high)))
+    return F.ceil(F.least(*(a for a, _ in spans), none) - 1e-9), F.floor(F.greatest(*(b for _, b in spans), none) + 1e-9)
+
+
+def _covered(spans: Column) -> Column:
+    """Pixels of a row in any of the sorted spans."""
+    start = F.struct(F.lit(-1).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("bigint"), x["b"] - F.greatest(x["a"], s["end"] + 1) + 1)).alias("n"))
+
+    return F.aggregate(spans, start, step, lambda s: s["n"])
+
+
+def skeleton_pairs(detections: DataFrame, thickness: int = 7, least: float = 0.05, full_weight: float = 0.35, trunk_weight: float = 0.65) -> DataFrame:
     """``frame_idx, det_id, other_id, iou, skeleton_iou, core_skeleton_iou, center_dist_norm``
     of all pairs of a frame, both directions: what ``overlap_extrema`` and the
-    overlap evaluation of tracks read. Pairs whose padded boxes do not meet
-    score 0 without being drawn.
-    """
-    schema = "frame_idx bigint, det_id bigint, other_id bigint, iou double, skeleton_iou double, core_skeleton_iou double, center_dist_norm double"
+    overlap evaluation of tracks read.
 
-    def run(rows: pa.Table) -> pa.Table:
-        people = [(r["det_id"], person(r["keypoints"], r["kp_conf"], r["bbox"], least)) for r in rows.to_pylist()]
-        frame, out = rows.column("frame_idx")[0].as_py(), []
-        for i, (x, a) in enumerate(people):
-            for y, b in people[i + 1 :]:
-                score, away = (0.0, 0.0, 0.0), math.inf
-                if a["box"] is not None and b["box"] is not None:
-                    p, q = np.array(a["box"]), np.array(b["box"])
-                    apart = np.abs(p[:2] + p[2:] - q[:2] - q[2:]) / 2
-                    away = float(np.hypot(*apart) / ((math.sqrt((p[2] - p[0]) * (p[3] - p[1])) + math.sqrt((q[2] - q[0]) * (q[3] - q[1]))) / 2))
-                # Bones reach beyond a given box only by joints outside it, so all sure joints count here.
-                if all(_meets(a, b, k, thickness) for k in (0, 1)):
-                    score = skeleton_overlap(a, b, thickness=thickness)
-                out += [(frame, x, y, *score, away), (frame, y, x, *score, away)]
-        columns = zip(*out, strict=True) if out else [[]] * 7
-        return pa.table([pa.array(list(c), pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(columns)], names=[c.split()[0] for c in schema.split(", ")])
-
-    box = F.col("bbox") if "bbox" in detections.columns else F.lit(None).cast("array<double>")
-    rows = detections.select(F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("det_id").cast("bigint").alias("det_id"), "keypoints", "kp_conf", box.alias("bbox"))
-    return rows.where("frame_idx is not null and det_id is not null").groupBy("frame_idx").applyInArrow(run, schema)
-
-
-def _meets(a: dict, b: dict, axis: int, thickness: int) -> bool:
-    if not a["sure"].any() or not b["sure"].any():
-        return False
-    x, y = a["points"][a["sure"], axis], b["points"][b["sure"], axis]
-    return bool(x.min() - thickness <= y.max() + thickness and y.min() - thickness <= x.max() + thickness)
+    Both skeletons of a pair stand on a shared canvas. A bone covers a span of
+    pixels in each row; shared and covered pixels are counted from the spans.
+    Pairs whose sure joints are too far apart score 0 without being drawn. Frames
+    are dealt once; all that follows stays in place.
+    """
+    frame = keyed(detections)
+    rows = detections.where(F.col("det_id").isNotNull() & F.col("frame_idx").isNotNull())
+    seen = _people(rows, frame, least)
+    pairs = seen.join(seen.select(*frame, F.col("det_id").alias("other_id"), F.col("p").alias("q")), frame).where("det_id < other_id")
+    boxes = F.filter(F.array("p.box", "q.box"), lambda b: b.isNotNull())
+    corner = lambda k, of: of(F.transform(boxes, lambda b: b[k]))
+    (px1, py1, px2, py2), (qx1, qy1, qx2, qy2) = ([F.col(f"{s}.box")[k] for k in range(4)] for s in "pq")
+    dx, dy = (px1 + px2 - qx1 - qx2) / 2, (py1 + py2 - qy1 - qy2) / 2
+    away = F.sqrt(dx * dx + dy * dy) / ((F.sqrt((px2 - px1) * (py2 - py1)) + F.sqrt((qx2 - qx1) * (qy2 - qy1))) / 2)
+    # Bones reach beyond a given box only by joints outside it, so all sure joints count here.
+    a, b = F.col("p.around"), F.col("q.around")
+    meets = (F.size(boxes) > 0) & (a[0] - thickness <= b[2] + thickness) & (b[0] - thickness <= a[2] + thickness) & (a[1] - thickness <= b[3] + thickness) & (b[1] - thickness <= a[3] + thickness)
+    pairs = pairs.withColumns({"away": F.coalesce(away, F.lit(float("inf"))), "drawn": F.coalesce(meets, F.lit(False))})
+
+    pad = max(1, 3 * max(1, thickness))
+    canvas = pairs.where("drawn").withColumns({"ox": corner(0, F.array_min) - pad, "oy": corner(1, F.array_min) - pad, "w": corner(2, F.array_max), "h": corner(3, F.array_max)})
+    canvas = canvas.withColumns({"w": F.greatest(F.lit(1), F.ceil(F.col("w") - (F.col("ox") + pad) + 2 * pad)), "h": F.greatest(F.lit(1), F.ceil(F.col("h") - (F.col("oy") + pad) + 2 * pad))})
+    bones = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("i"), F.lit(j).alias("j")) for kind, some in enumerate((FULL, TRUNK)) for i, j in some))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p.joints").alias("joints")), F.struct(F.lit(1).alias("side"), F.col("q.joints").alias("joints"))))
+    one = canvas.select(*frame, "det_id", "other_id", "ox", "oy", "w", "h", sides.alias("s")).withColumn("bone", F.explode(bones))
+    at = [F.get(F.col("s.joints"), F.col(f"bone.{k}")) for k in ("i", "j")]
+    one = one.withColumns({"from": at[0], "to": at[1]}).where("from.ok and to.ok")
+    whole = {f"{n}{c}": F.rint(F.col(f"{e}.{c}") - F.col(f"o{c}")).cast("bigint") for n, e in (("p", "from"), ("q", "to")) for c in "xy"}
+    one = one.withColumns(whole)
+    reach = math.floor(max(1, thickness) / 2)
+    low, high = F.greatest(F.lit(0), F.least("py", "qy") - reach), F.least(F.col("h") - 1, F.greatest("py", "qy") + reach)
+    rows = one.where(low <= high).withColumn("row", F.explode(F.sequence(low, high)))
+    first, last = _row_span(thickness)
+    rows = rows.select(*frame, "det_id", "other_id", F.col("bone.kind").alias("kind"), "row", F.col("s.side").alias("side"), F.greatest(F.lit(0), first).alias("a"), F.least(F.col("w") - 1, last).alias("b")).where("a <= b")
+    # A row's spans: as many as both skeletons have bones.
+    line = rows.groupBy(*frame, "det_id", "other_id", "kind", "row").agg(F.array_sort(F.collect_list(F.struct("a", "b", "side"))).alias("spans"))
+    counts = line.select(*frame, "det_id", "other_id", "kind", _covered(F.col("spans")).alias("u"), _covered(F.filter("spans", lambda x: x["side"] == 0)).alias("n0"), _covered(F.filter("spans", lambda x: x["side"] == 1)).alias("n1"))
+    counts = counts.groupBy(*frame, "det_id", "other_id", "kind").agg(F.sum("u").alias("u"), (F.sum("n0") + F.sum("n1") - F.sum("u")).alias("shared"))
+    kinds = counts.groupBy(*frame, "det_id", "other_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("shared") / F.col("u"))).alias(n) for k, n in enumerate(("skeleton_iou", "core_skeleton_iou"))))
+    found = pairs.select(*frame, "det_id", "other_id", F.col("away").alias("center_dist_norm")).join(kinds, [*frame, "det_id", "other_id"], "left")
+    found = found.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in ("skeleton_iou", "core_skeleton_iou")})
+    found = found.withColumn("iou", F.col("skeleton_iou") * full_weight + F.col("core_skeleton_iou") * trunk_weight)
+    ends = F.array(F.struct(F.col("det_id").alias("x"), F.col("other_id").alias("y")), F.struct(F.col("other_id").alias("x"), F.col("det_id").alias("y")))
+    out = found.withColumn("e", F.explode(ends))
+    return out.select(*frame, F.col("e.x").alias("det_id"), F.col("e.y").alias("other_id"), "iou", "skeleton_iou", "core_skeleton_iou", "center_dist_norm")

@@ -220,12 +220,35 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).select(F.floor(F.col("vec_id") / 8).alias("frame_idx"), F.col("vec_id").alias("det_id"), F.col("kp").alias("keypoints"), F.col("conf").alias("kp_conf"), "e")
 
 
-@query()
+_VALUES = lambda bones: ", ".join(f"({i}, {j})" for i, j in bones)
+
+
+@query(PEOPLE + f""", joints AS (SELECT vec_id, i, kp[i + 1][1] AS x, kp[i + 1][2] AS y FROM p, range(25) AS t(i) WHERE conf[i + 1] >= 0.4),
+boxes AS (SELECT vec_id, vec_id // 8 AS frame, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM joints GROUP BY vec_id),
+sized AS (SELECT *, x2 > x1 AND y2 > y1 AS sane FROM boxes),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, least(CASE WHEN a.sane THEN a.x1 END, CASE WHEN b.sane THEN b.x1 END) - 21 AS ox, least(CASE WHEN a.sane THEN a.y1 END, CASE WHEN b.sane THEN b.y1 END) - 21 AS oy,
+  CASE WHEN a.sane AND b.sane THEN sqrt(((a.x1 + a.x2 - b.x1 - b.x2) / 2) ** 2 + ((a.y1 + a.y2 - b.y1 - b.y2) / 2) ** 2) / ((sqrt((a.x2 - a.x1) * (a.y2 - a.y1)) + sqrt((b.x2 - b.x1) * (b.y2 - b.y1))) / 2) ELSE 'inf'::DOUBLE END AS away
+  FROM sized a JOIN sized b ON b.frame = a.frame AND b.vec_id > a.vec_id),
+bones AS (SELECT 0 AS kind, * FROM (VALUES {_VALUES(skeleton.FULL)}) AS t(i, j) UNION ALL SELECT 1, * FROM (VALUES {_VALUES(skeleton.TRUNK)}) AS t(i, j)),
+ends AS (SELECT a, b, side, kind, CAST(round_even(f.x - ox, 0) AS BIGINT) AS px, CAST(round_even(f.y - oy, 0) AS BIGINT) AS py, CAST(round_even(t.x - ox, 0) AS BIGINT) AS qx, CAST(round_even(t.y - oy, 0) AS BIGINT) AS qy
+  FROM pairs, (VALUES (0), (1)) AS s(side), bones JOIN joints f ON f.i = bones.i JOIN joints t ON t.i = bones.j AND t.vec_id = f.vec_id WHERE f.vec_id = CASE WHEN side = 0 THEN a ELSE b END),
+lines AS (SELECT *, unnest(range(least(py, qy) - 3, greatest(py, qy) + 4)) AS y FROM ends),
+cells AS (SELECT *, unnest(range(least(px, qx) - 3, greatest(px, qx) + 4)) AS x FROM lines),
+dots AS (SELECT DISTINCT a, b, side, kind, x, y FROM cells WHERE 4 * ((x - px) ** 2 + (y - py) ** 2) <= 49 OR 4 * ((x - qx) ** 2 + (y - qy) ** 2) <= 49
+  OR ((x - px) * (qx - px) + (y - py) * (qy - py) BETWEEN 0 AND (qx - px) ** 2 + (qy - py) ** 2 AND 4 * ((x - px) * (qy - py) - (y - py) * (qx - px)) ** 2 <= 49 * ((qx - px) ** 2 + (qy - py) ** 2) AND (qx <> px OR qy <> py))),
+counts AS (SELECT a, b, kind, count(*) AS n FROM dots GROUP BY ALL), seen AS (SELECT DISTINCT a, b, kind, x, y FROM dots), wholes AS (SELECT a, b, kind, count(*) AS u FROM seen GROUP BY ALL),
+ious AS (SELECT a, b, sum(CASE kind WHEN 0 THEN 0.35 ELSE 0.65 END * (n - u) / u) AS iou FROM counts JOIN wholes USING (a, b, kind) GROUP BY ALL),
+people AS (SELECT vec_id AS id, vec_id // 8 AS frame FROM p),
+whole AS (SELECT x.frame, x.id AS a, y.id AS b, coalesce(iou, 0) AS iou, coalesce(away, 'inf'::DOUBLE) AS away FROM people x JOIN people y ON y.frame = x.frame AND y.id > x.id LEFT JOIN ious ON ious.a = x.id AND ious.b = y.id LEFT JOIN pairs ON pairs.a = x.id AND pairs.b = y.id),
+ways AS (SELECT frame, a AS det_id, b AS other_id, round(iou, 9) AS iou, round(away, 9) AS away FROM whole UNION ALL SELECT frame, b, a, round(iou, 9), round(away, 9) FROM whole)
+SELECT frame AS frame_idx, det_id, round(max(iou), 6) AS max_overlap_iou, CASE WHEN max(iou) > 0 THEN arg_max(other_id, (iou, -other_id)) END AS max_overlap_det_idx,
+  round(min(away), 6) AS min_center_dist_norm, arg_min(other_id, (away, other_id)) AS center_dist_norm_det_idx FROM ways GROUP BY ALL""")
 def q_skeleton_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest overlap of each drawn skeleton with another of its frame."""
+    """The strongest overlap of each drawn skeleton with another of its frame, and its nearest neighbour."""
     from trailmark.operators.export import overlap_extrema
 
-    return overlap_extrema(skeleton.skeleton_pairs(_frames(spark, d), least=0.4))
+    pairs = skeleton.skeleton_pairs(_frames(spark, d), least=0.4).withColumns({c: F.round(c, 9) for c in ("iou", "center_dist_norm")})
+    return overlap_extrema(pairs).withColumns({c: F.round(c, 6) for c in ("max_overlap_iou", "min_center_dist_norm")})
 
 
 @query(PEOPLE + """, k AS (SELECT vec_id, list_filter(list_zip(kp, conf), lambda z: z[2] >= 0.1) AS z, conf FROM p)
