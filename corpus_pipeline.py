@@ -48,8 +48,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them: never, once or twice.
 
-    Null and empty texts have no words, count for no target and are not taken;
-    repeated rows are told apart; a null source is one of its own.
+    Null and empty texts have no words: they count for no target and come as their
+    hash falls. Repeated rows are told apart; a null source is one of its own.
     """
     return mixing.take(docs)
 
