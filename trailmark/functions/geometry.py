@@ -49,6 +49,16 @@ def finite_list(values: Column) -> Column:
     return F.when((F.size(values) > 0) & F.forall(values, lambda x: finite(x)), F.transform(values, lambda x: x.cast("double")))
 
 
+def bool_list(values: Column) -> Column:
+    """Numbers as whether they are other than 0 (what is no number is; null counts as none)."""
+    return F.transform(values, lambda x: F.coalesce(x.cast("double") != 0, F.lit(False)))
+
+
+def pair_list(values: Column) -> Column:
+    """Points as their first two numbers; null where one has fewer."""
+    return F.when(F.forall(values, lambda p: F.size(p) >= 2), F.transform(values, lambda p: F.array(p[0].cast("double"), p[1].cast("double"))))
+
+
 def relations_json(relations: Column) -> Column:
     return F.coalesce(F.to_json(relations), F.lit("[]"))
 

@@ -60,6 +60,14 @@ def fuse(parts: list[tuple[Column, float, int]]) -> tuple[Column, Column]:
     return whole, F.when(units[0].isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), seen / F.lit(total)))).otherwise(F.lit(0.0))
 
 
+def fuse_mask(parts: list[tuple[Column, float, int]]) -> Column:
+    """Which places of the vector of ``fuse`` come from a part that is there; null
+    where there is no vector."""
+    there = [F.when(F.size(v) == width, unit(v)).isNotNull() for v, _, width in parts]
+    places = F.concat(*(F.array_repeat(t, width) for t, (_, _, width) in zip(there, parts, strict=True)))
+    return F.when(fuse(parts)[0].isNotNull(), places)
+
+
 def box_iou(a: list[Column], b: list[Column]) -> Column:
     """Of boxes x1, y1, x2, y2; 0 where the union is no more than 1e-9."""
     w = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

@@ -101,30 +101,37 @@ def _people(detections: DataFrame, frame: list[str], least: float) -> DataFrame:
     return out.select(*frame, "det_id", F.struct("joints", "around", F.coalesce("given", _sane(F.col("around"))).alias("box")).alias("p"))
 
 
-def _row_span(thickness: int) -> tuple[Column, Column]:
-    """First and last pixel of a row (``row``) within half the thickness of the bone
-    from ``px, py`` to ``qx, qy``, all of them whole: of the discs around its ends
-    and the strip between them. No pixel lies exactly on the border, whose distance
-    from the bone is an odd number of halves for odd thicknesses."""
-    reach = max(1, thickness) / 2
-    px, py, qx, qy, row = (F.col(c).cast("double") for c in ("px", "py", "qx", "qy", "row"))
-    vx, vy = qx - px, qy - py
-    length = vx * vx + vy * vy
-    none = F.lit(None).cast("double")
-    spans = []
-    for x, y in ((px, py), (qx, qy)):
-        rest = F.lit(reach * reach) - (row - y) * (row - y)
-        half = F.when(rest >= 0, F.sqrt(rest))
-        spans.append((x - half, x + half))
-    across, d = F.lit(reach) * F.sqrt(length), row - py
-    # |(x - px) vy - d vx| <= across, and 0 <= (x - px) vx + d vy <= length.
-    one, two = (d * vx - across) / F.nullif(vy, F.lit(0.0)), (d * vx + across) / F.nullif(vy, F.lit(0.0))
-    three, four = -d * vy / F.nullif(vx, F.lit(0.0)), (length - d * vy) / F.nullif(vx, F.lit(0.0))
-    low = F.when(vy == 0, F.least(three, four)).when(vx == 0, F.least(one, two)).otherwise(F.greatest(F.least(one, two), F.least(three, four)))
-    high = F.when(vy == 0, F.greatest(three, four)).when(vx == 0, F.greatest(one, two)).otherwise(F.least(F.greatest(one, two), F.greatest(three, four)))
-    inside = (length > 0) & (low <= high) & F.when(vy == 0, F.abs(d * vx) <= across).when(vx == 0, (d * vy >= 0) & (d * vy <= length)).otherwise(F.lit(True))
-    spans.append((F.when(inside, px + low), F.when(inside, px + high)))
-    return F.ceil(F.least(*(a for a, _ in spans), none) - 1e-9), F.floor(F.greatest(*(b for _, b in spans), none) + 1e-9)
+def _row_spans(bones: DataFrame, thickness: int) -> DataFrame:
+    """``bones`` (whole ``px, py, qx, qy``; canvas ``w, h``) by rows, with the first and
+    last pixel ``a, b`` within half the thickness of the bone: of the discs around
+    its ends and the strip between them. No pixel lies exactly on the border of an
+    odd thickness, as half of it is no distance between whole points there.
+
+    Column by column, so that each value is computed once.
+    """
+    reach, zero = max(1, thickness) / 2, F.lit(0.0)
+    low, high = F.greatest(F.lit(0), F.least("py", "qy") - math.floor(reach)), F.least(F.col("h") - 1, F.greatest("py", "qy") + math.floor(reach))
+    out = bones.withColumns({"vx": (F.col("qx") - F.col("px")).cast("double"), "vy": (F.col("qy") - F.col("py")).cast("double"), "low": low, "high": high})
+    out = out.where("low <= high").withColumn("length", F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    out = out.withColumns({"across": F.sqrt("length") * reach, "row": F.explode(F.sequence("low", "high"))})
+    out = out.withColumns({"d": (F.col("row") - F.col("py")).cast("double"), "e": (F.col("row") - F.col("qy")).cast("double")})
+    # Half the width of the discs in the row, and where |(x - px) vy - d vx| <= across and 0 <= (x - px) vx + d vy <= length.
+    disc = lambda c: F.when(F.abs(c) <= reach, F.sqrt(F.lit(reach * reach) - F.col(c) * F.col(c)))
+    dx, dy = F.col("d") * F.col("vx"), F.col("d") * F.col("vy")
+    out = out.withColumns({
+        "hp": disc("d"), "hq": disc("e"), "flat": F.abs(dx) <= F.col("across"), "beside": (dy >= 0) & (dy <= F.col("length")),
+        "c1": (dx - F.col("across")) / F.nullif("vy", zero), "c2": (dx + F.col("across")) / F.nullif("vy", zero),
+        "p1": -dy / F.nullif("vx", zero), "p2": (F.col("length") - dy) / F.nullif("vx", zero),
+    })
+    # Without a slope one of the two conditions bounds no x: it holds for the whole row or not at all.
+    out = out.withColumns({"c1": F.least("c1", "c2"), "c2": F.greatest("c1", "c2"), "p1": F.least("p1", "p2"), "p2": F.greatest("p1", "p2")})
+    out = out.withColumns({"s1": F.greatest("c1", "p1"), "s2": F.least("c2", "p2")})
+    strip = (F.col("length") > 0) & (F.col("s1") <= F.col("s2")) & ((F.col("vy") != 0) | F.col("flat")) & ((F.col("vx") != 0) | F.col("beside"))
+    out = out.withColumn("strip", F.coalesce(strip, F.lit(False)))
+    first = F.least(-F.col("hp"), F.col("vx") - F.col("hq"), F.when(F.col("strip"), F.col("s1")))
+    last = F.greatest(F.col("hp"), F.col("vx") + F.col("hq"), F.when(F.col("strip"), F.col("s2")))
+    out = out.withColumns({"a": F.greatest(F.lit(0), F.ceil(F.col("px") + first - 1e-9)), "b": F.least(F.col("w") - 1, F.floor(F.col("px") + last + 1e-9))})
+    return out.where("a <= b")
 
 
 def _covered(spans: Column) -> Column:
@@ -171,13 +178,10 @@ def skeleton_pairs(detections: DataFrame, thickness: int = 7, least: float = 0.0
     one = one.withColumns({"from": at[0], "to": at[1]}).where("from.ok and to.ok")
     whole = {f"{n}{c}": F.rint(F.col(f"{e}.{c}") - F.col(f"o{c}")).cast("bigint") for n, e in (("p", "from"), ("q", "to")) for c in "xy"}
     one = one.withColumns(whole)
-    reach = math.floor(max(1, thickness) / 2)
-    low, high = F.greatest(F.lit(0), F.least("py", "qy") - reach), F.least(F.col("h") - 1, F.greatest("py", "qy") + reach)
-    rows = one.where(low <= high).withColumn("row", F.explode(F.sequence(low, high)))
-    first, last = _row_span(thickness)
-    rows = rows.select(*frame, "det_id", "other_id", F.col("bone.kind").alias("kind"), "row", F.col("s.side").alias("side"), F.greatest(F.lit(0), first).alias("a"), F.least(F.col("w") - 1, last).alias("b")).where("a <= b")
+    one = one.select(*frame, "det_id", "other_id", F.col("bone.kind").alias("kind"), F.col("s.side").alias("side"), "w", "h", "px", "py", "qx", "qy")
+    rows = _row_spans(one, thickness).select(*frame, "det_id", "other_id", "kind", "row", "side", "a", "b")
     # A row's spans: as many as both skeletons have bones.
-    line = rows.groupBy(*frame, "det_id", "other_id", "kind", "row").agg(F.array_sort(F.collect_list(F.struct("a", "b", "side"))).alias("spans"))
+    line = rows.groupBy(*frame, "det_id", "other_id", "kind", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "side"))).alias("spans"))
     counts = line.select(*frame, "det_id", "other_id", "kind", _covered(F.col("spans")).alias("u"), _covered(F.filter("spans", lambda x: x["side"] == 0)).alias("n0"), _covered(F.filter("spans", lambda x: x["side"] == 1)).alias("n1"))
     counts = counts.groupBy(*frame, "det_id", "other_id", "kind").agg(F.sum("u").alias("u"), (F.sum("n0") + F.sum("n1") - F.sum("u")).alias("shared"))
     kinds = counts.groupBy(*frame, "det_id", "other_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("shared") / F.col("u"))).alias(n) for k, n in enumerate(("skeleton_iou", "core_skeleton_iou"))))
