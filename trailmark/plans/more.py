@@ -12,7 +12,8 @@ from trailmark.plans.catalogue import EDGES, OBS, obs, query, table
 _NORM = "sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])))"
 
 
-@query(f"SELECT vec_id, list_transform(embedding, lambda x: round(x::double / {_NORM.format('embedding')}, 6)) AS v FROM embeddings")
+#: A small negative value rounds to the one zero that has no sign, as in the query.
+@query(f"SELECT vec_id, list_transform(embedding, lambda x: round(x::double / {_NORM.format('embedding')}, 6) + 0::DOUBLE) AS v FROM embeddings")
 def q_l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
     return e.select("vec_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
