@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import jaccard_tree, mixing, packing, quality_gam, secret_trigram
-from trailmark.llm.common import cut, table
+from trailmark.llm.common import cut, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is judged as an empty one; repeated rows are judged alike; texts
     are read whole.
     """
+    small_batches(spark)
     return quality_gam.keep(docs, quality_gam.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -33,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked with nothing. Of rows that repeat an id and text one stays, of rows of
     one id and several texts in a group the one of the smallest text hash.
     """
+    small_batches(spark)
     return jaccard_tree.keep_one(docs, options=jaccard_tree.Options(words=5, num=80, den=100))
 
 
@@ -42,6 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays, repeated ones too; a null text stays null, a text without
     secrets as it is.
     """
+    small_batches(spark)
     return secret_trigram.redact(docs)
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,19 @@ def test_run_chains_the_stages(spark):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= packing.WINDOW
+
+
+def test_texts_travel_in_small_batches(spark):
+    """Of 10,000 texts an executor and its workers would hold several copies at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    try:
+        for own, want in (("10000", 1000), ("0", 1000), ("7", 7)):
+            spark.conf.set(name, own)
+            packed = packing.pack(docs, with_ids=False)
+            most = docs.coalesce(1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "doc_id", pa.array([b.num_rows])) for b in batches), "doc_id long, text string")
+            assert most.agg(F.max("doc_id")).first()[0] == want
+        assert packed.agg(F.sum("length")).first()[0] == 3000 * len(packing.encode("some words")) + 3000
+    finally:
+        spark.conf.set(name, before)

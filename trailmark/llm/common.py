@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,24 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: int
             at = end
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on an Arrow batch of this session has at most ``rows`` rows.
+
+    A batch of texts is held several times, by the executor and by its Python
+    workers; Spark's 10,000 texts are tens of megabytes each time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def tidy() -> None:
+    """Memory that earlier tasks of this Python worker used goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_of(df: DataFrame, name: str = "text"):
     """The text column as a string that is never null (null counts as empty)."""
     return F.coalesce(F.col(name).cast(StringType()), F.lit(""))
@@ -49,4 +69,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["WORD", "by_bytes", "cut", "shared_dir", "slices", "table", "text_of", "word_count"]
+__all__ = ["WORD", "by_bytes", "cut", "shared_dir", "slices", "small_batches", "table", "text_of", "tidy", "word_count"]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe
-from trailmark.llm.common import by_bytes, text_of
+from trailmark.llm.common import by_bytes, small_batches, text_of, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -46,7 +46,7 @@ TOKENIZER = bpe.TOKENIZER
 #: Characters of white space that the encoder's pattern surely takes.
 LONG_SPACE = 50_000
 #: Bytes of text that a task holds decoded, and ids in a batch that it returns.
-TEXT_BYTES, BATCH_IDS = 4 << 20, 1 << 20
+TEXT_BYTES, BATCH_IDS = 1 << 20, 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SCHEMA_IDS = SCHEMA + ", ids array<int>"
 
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         packer = Packer(window, cut_cost, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], dtype="<u4")
         rows: list[tuple] = []
@@ -222,5 +223,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
         rows.extend(packer.finish())
         if rows:
             yield emit()
+        tidy()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).mapInArrow(task, SCHEMA_IDS if with_ids else SCHEMA)
