@@ -211,3 +211,19 @@ def windows(df: DataFrame, starts: Iterable[int], length: int) -> DataFrame:
     if {"is_matched", "keypoints"} <= set(df.columns):
         out = out.withColumn("detection_mask", F.coalesce(F.col("is_matched") & F.col("keypoints").isNotNull(), F.lit(False)))
     return out
+
+
+def window_counts(df: DataFrame, first: int, last: int, stride: int, length: int) -> DataFrame:
+    """``global_track_id, window_start, n_seen, n_frames`` of ``windows`` that start at
+    ``first`` and every ``stride`` through ``last``, without a row for each frame of
+    a window: an observation counts in the windows that hold it."""
+    starts = F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"), F.lit(stride).cast("bigint"))
+    rows = df.where("global_track_id is not null").select("global_track_id", "frame_idx")
+    every = rows.select("global_track_id").distinct().select("global_track_id", F.explode(starts).alias("window_start"), F.lit(0).cast("bigint").alias("n"))
+    # The numbers of the first and the last window that hold a frame.
+    low = F.greatest(F.lit(0), F.ceil((F.col("frame_idx") - first - length + 1) / stride)).cast("bigint")
+    high = F.least(F.lit((last - first) // stride), F.floor((F.col("frame_idx") - first) / stride)).cast("bigint")
+    held = rows.select("global_track_id", low.alias("low"), high.alias("high")).where("low <= high")
+    held = held.select("global_track_id", F.explode(F.sequence("low", "high")).alias("k"))
+    held = held.select("global_track_id", (F.col("k") * stride + first).cast("bigint").alias("window_start"), F.lit(1).cast("bigint").alias("n"))
+    return every.unionByName(held).groupBy("global_track_id", "window_start").agg(F.sum("n").alias("n_seen")).withColumn("n_frames", F.lit(length).cast("bigint"))
