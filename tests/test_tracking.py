@@ -1,6 +1,9 @@
+import time
+
 import numpy as np
 import pytest
 
+from trailmark.operators import tracking
 from trailmark.operators.tracking import Motion, Params, Seen, Track, Tracker, decide_appearance, deferred_match, pose_similarity, risky_overlaps, track
 from trailmark.streaming.tracking import track_stream
 
@@ -231,3 +234,40 @@ def test_unknown_coverage_is_no_perfect_match(spark):
     found = track(spark.createDataFrame(rows, "video string, epoch_id bigint, frame_idx bigint, det_id bigint, center_x double, center_y double, e_app array<double>, e_app_coverage double"))
     last = found.where("frame_idx = 7").collect()
     assert not any(r["is_matched"] and r["local_track_id"] == 1 for r in last)  # opposite vectors never match
+
+
+def test_candidates_go_on_as_by_a_sorted_list_of_all_pairs(monkeypatch):
+    """Scores of all pairs, in order, against kinds that are settled band by band."""
+    rng, p = np.random.default_rng(3), Params()
+
+    def score(c, s):
+        motion = c.motion.distance(s.x, s.y, p) / p.birth_chi2
+        if motion > p.birth_motion:
+            return None
+        total = motion + tracking.pose_penalty(c.seen, s, p)
+        if c.vector is None or s.vector is None:
+            total += p.birth_appearance_missing
+        elif (1 - tracking._cosine(c.vector, s.vector)) / 2 > p.birth_appearance_limit:
+            total += p.birth_appearance_bad
+        return total + (p.birth_near_existing if c.kind == "near" else 0.0)
+
+    for most, step, body in ((1 << 18, 1, False), (50, 1, False), (50, 40, False), (1, 0.01, False), (200, 1, True)):
+        monkeypatch.setattr(tracking, "AT_ONCE", most)
+        place = lambda n: np.round(rng.exponential(300, (n, 2)) / step) * step  # noqa: B023, E731
+        see = lambda k, x, y: seen(x, angled(0.9 * (k % 7) / 7) if k % 3 else None, points=bool(k % 5), det=k) if body else Seen(k, x, y)  # noqa: B023, E731
+        t = Tracker(p)
+        t.pending = [tracking.Pending(Motion(x, y, a=1000.0 + 500 * (k % 2)), "near" if k % 4 == 0 else "normal", 2, s := see(k, x, y), s.vector) for k, (x, y) in enumerate(place(120))]
+        rest = [see(k, x, y) for k, (x, y) in enumerate(place(150))]
+        want: list = []
+        for _, i, j in sorted((v, i, j) for i, c in enumerate(t.pending) for j, s in enumerate(rest) if (v := score(c, s)) is not None):
+            if all(i != a and j != b for a, b in want):
+                want.append((i, j))
+        assert len(want) > 20 and t._continued(rest) == want
+
+
+def test_large_frames_compare_no_pair_of_rows_in_python():
+    rng, tracker = np.random.default_rng(0), Tracker()
+    began = time.perf_counter()
+    for _ in range(4):
+        tracker.step([Seen(k, float(x), 0.0) for k, x in enumerate(rng.exponential(500, 5000))])
+    assert time.perf_counter() - began < 40  # 25 million pairs a frame took minutes

@@ -118,7 +118,8 @@ class Motion:
         self.c += p.process * dt * dt
 
     def distance(self, x: float, y: float, p: Params) -> float:
-        return ((x - self.x) ** 2 + (y - self.y) ** 2) / (self.a + p.measure)
+        dx, dy = x - self.x, y - self.y
+        return (dx * dx + dy * dy) / (self.a + p.measure)
 
     def update(self, x: float, y: float, p: Params) -> None:
         s = self.a + p.measure
@@ -308,21 +309,91 @@ def penalties(values: np.ndarray, active: np.ndarray, k: float) -> np.ndarray:
 def deferred_match(row_cost: np.ndarray, valid: np.ndarray, conflict, greedy: float) -> dict[int, int]:
     """Tracks propose in the order of their costs; a detection keeps the best of
     its proposers by conflict cost, own cost and position; losers go on."""
-    wishes = {t: [d for d in np.argsort(row_cost[t], kind="stable") if valid[t, d] and row_cost[t, d] <= greedy] for t in range(row_cost.shape[0])}
-    owner: dict[int, int] = {}
-    free = [t for t in wishes if wishes[t]]
-    while free:
-        asked: dict[int, list[int]] = {}
-        for t in free:
-            asked.setdefault(int(wishes[t].pop(0)), []).append(t)
-        free = []
-        for d, rivals in asked.items():
-            rivals = sorted({*rivals, *([owner[d]] if d in owner else [])})
-            cost = conflict(d, rivals) if len(rivals) > 1 else [0.0]
-            best = min(range(len(rivals)), key=lambda i: (cost[i], row_cost[rivals[i], d], rivals[i]))
-            owner[d] = rivals[best]
-            free += [t for t in rivals if t != rivals[best] and wishes[t]]
-    return {t: d for d, t in owner.items()}
+    order = [np.argsort(row, kind="stable") for row in row_cost]
+    wishes = {t: o[valid[t, o] & (row_cost[t, o] <= greedy)] for t, o in enumerate(order)}
+
+    def contested(d: np.ndarray, t: np.ndarray, _: np.ndarray) -> np.ndarray:
+        groups = np.split(t, np.flatnonzero(np.diff(d)) + 1)
+        return np.concatenate([conflict(int(e), g.tolist()) if len(g) > 1 else [0.0] for e, g in zip(np.unique(d), groups, strict=True)])
+
+    return {t: int(wishes[t][k]) for t, k in _proposals(wishes, {t: row_cost[t, w] for t, w in wishes.items()}, contested).items()}
+
+
+def _proposals(wishes: dict[int, np.ndarray], costs: dict[int, np.ndarray], conflict) -> dict[int, int]:
+    """The same from each track's wishes, first to last, with their costs: the place
+    in its wishes of what a track holds. All that propose in a round do so at once.
+
+    ``conflict(d, t, place)`` gives the cost of each proposal of a round, sorted by
+    detection and track; places run over the wishes of all tracks.
+    """
+    if not any(len(w) for w in wishes.values()):
+        return {}
+    tracks = np.array(list(wishes), dtype=np.int64)
+    flat, row = np.concatenate(list(wishes.values())).astype(np.int64), np.concatenate(list(costs.values()))
+    count, start = np.zeros((2, tracks.max() + 1), dtype=np.int64)
+    count[tracks] = [len(w) for w in wishes.values()]
+    start[tracks] = np.cumsum(count[tracks]) - count[tracks]
+    at, owner = np.full(len(count), -1), np.full(flat.max() + 1, -1)
+    free = tracks[count[tracks] > 0]
+    while len(free):
+        at[free] += 1
+        held = owner[np.unique(flat[start[free] + at[free]])]
+        t = np.sort(np.concatenate([free, held[held >= 0]]))
+        place = start[t] + at[t]
+        order = np.argsort(flat[place], kind="stable")
+        t, place = t[order], place[order]
+        d = flat[place]
+        order = np.lexsort((t, row[place], conflict(d, t, place), d))
+        t, d = t[order], d[order]
+        first = np.r_[True, d[1:] != d[:-1]]
+        owner[d[first]] = t[first]
+        free = t[~first]
+        free = free[at[free] + 1 < count[free]]
+    return {t: int(at[t]) for t in owner[owner >= 0].tolist()}
+
+
+def ascending_pairs(left: list[list[int]], right: list[list[int]], i: np.ndarray, j: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs, those of the lowest score first, then of the lowest members.
+
+    ``i, j, score`` are pairs of kinds: all members of ``left[i]`` and ``right[j]``
+    (ascending) score alike. Members that are taken are taken out of the lists.
+    """
+    out: list[tuple[int, int]] = []
+    a, b = [0] * len(left), [0] * len(right)
+    order = np.argsort(score, kind="stable")
+    i, j, score = i[order], j[order], score[order]
+    edges = np.flatnonzero(np.diff(score)) + 1
+    for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(score)], strict=True):
+        some = [(u, v) for u, v in zip(i[low:high].tolist(), j[low:high].tolist(), strict=True) if a[u] < len(left[u]) and b[v] < len(right[v])]
+        if len(some) == 1:
+            u, v = some[0]
+            n = min(len(left[u]) - a[u], len(right[v]) - b[v])
+            out += zip(left[u][a[u] : a[u] + n], right[v][b[v] : b[v] + n], strict=True)
+            a[u], b[v] = a[u] + n, b[v] + n
+        elif some:
+            near: dict[int, list[int]] = {}
+            for u, v in some:
+                near.setdefault(u, []).append(v)
+            for m, u in sorted((m, u) for u in near for m in left[u][a[u] :]):
+                open_ = [v for v in near[u] if b[v] < len(right[v])]
+                if open_:
+                    v = min(open_, key=lambda v: right[v][b[v]])
+                    out.append((m, right[v][b[v]]))
+                    a[u], b[v] = a[u] + 1, b[v] + 1
+    for lists, taken in ((left, a), (right, b)):
+        for k, n in enumerate(taken):
+            del lists[k][:n]
+    return out
+
+
+#: So many pairs of kinds are compared at once where a frame has more.
+AT_ONCE = 1 << 18
+
+
+def _within(xs: np.ndarray, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``x`` moved by ``reach`` begins and ends in the ascending ``xs``."""
+    reach = reach * (1 + 1e-9) + 1e-9 * (1 + np.abs(x))
+    return np.searchsorted(xs, x - reach, "left"), np.searchsorted(xs, x + reach, "right")
 
 
 class Tracker:
@@ -335,43 +406,71 @@ class Tracker:
         self.next_id, self.easy, self.before = 1, 0, set()
         self.log: list[tuple] | None = None  # a list takes one row a matched pair
 
-    def _pairs(self, seen: list[Seen]) -> tuple[np.ndarray, np.ndarray]:
-        """Motion, pose and appearance cost of each pair, and which pass all gates."""
+    def _wishes(self, seen: list[Seen]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each track the detections that pass all gates, with their motion, pose
+        and appearance costs. Only detections within reach are looked at."""
         p = self.p
-        cost, valid = np.ones((3, len(self.tracks), len(seen))), np.zeros((len(self.tracks), len(seen)), dtype=bool)
+        x, y, coverage = (np.array([getattr(s, c) for s in seen], dtype=float) for c in ("x", "y", "coverage"))
+        posed, dressed = (np.array([getattr(s, c) for s in seen], dtype=bool) for c in ("posed", "dressed"))
+        points, vectors = (np.array([getattr(s, c) is not None for s in seen], dtype=bool) for c in ("points", "vector"))
+        order = np.argsort(x, kind="stable")
+        relax = np.array([1 + p.relax_strength * (min(1.0, t.missed / p.relax_full) if t.confirmed else 0.0) for t in self.tracks])
+        spread = np.array([t.motion.a + p.measure for t in self.tracks])
+        low, high = _within(x[order], np.array([t.motion.x for t in self.tracks]), np.sqrt(p.chi2 * np.minimum(1.0, p.motion * relax) * spread))
         for i, t in enumerate(self.tracks):
-            relax = 1 + p.relax_strength * (min(1.0, t.missed / p.relax_full) if t.confirmed else 0.0)
-            for j, s in enumerate(seen):
-                d = t.motion.distance(s.x, s.y, p)
-                cost[0, i, j] = min(1.0, d / p.chi2)
-                if d > p.chi2 or cost[0, i, j] > p.motion * relax:
-                    continue
-                cost[1, i, j] = (1 - pose_similarity(t.points, t.conf, s.points, s.conf, p.min_conf)) / 2
-                if cost[1, i, j] > p.pose * relax and s.posed:
-                    continue
-                cost[2, i, j] = min(1.0, max(0.0, (1 - _cosine(t.vector, s.vector, s.mask)) / 2 + p.missing * (1 - s.coverage)))
-                valid[i, j] = cost[2, i, j] <= p.appearance or not s.dressed
-        return cost, valid
-
-    def _match(self, seen: list[Seen]) -> tuple[dict[int, int], np.ndarray]:
+            at = order[low[i] : high[i]]
+            dx, dy = x[at] - t.motion.x, y[at] - t.motion.y
+            d = (dx * dx + dy * dy) / spread[i]
+            motion = np.minimum(1.0, d / p.chi2)
+            keep = (d <= p.chi2) & (motion <= p.motion * relax[i])
+            at, motion = at[keep], motion[keep]
+            pose = np.full(len(at), 0.5)
+            if t.points is not None:
+                for k in np.flatnonzero(points[at]):
+                    s = seen[at[k]]
+                    pose[k] = (1 - pose_similarity(t.points, t.conf, s.points, s.conf, p.min_conf)) / 2
+            keep = (pose <= p.pose * relax[i]) | ~posed[at]
+            at, motion, pose = at[keep], motion[keep], pose[keep]
+            look = np.full(len(at), 0.5)
+            if t.vector is not None:
+                for k in np.flatnonzero(vectors[at]):
+                    s = seen[at[k]]
+                    look[k] = (1 - _cosine(t.vector, s.vector, s.mask)) / 2
+            look = np.minimum(1.0, np.maximum(0.0, look + p.missing * (1 - coverage[at])))
+            keep = (look <= p.appearance) | ~dressed[at]
+            if keep.any():
+                yield i, at[keep], np.stack([motion, pose, look])[:, keep]
+
+    def _match(self, seen: list[Seen]) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+        """The detection of each matched track, and the pair's three costs."""
         p = self.p
-        cost, valid = self._pairs(seen)
-        row = np.full(valid.shape, 880.0)
 
-        def total(parts: np.ndarray, active: np.ndarray, over: np.ndarray) -> np.ndarray:
-            w = [np.full(len(active), x) for x in p.weights]
-            w[2] = w[2] * np.where(over, p.boost, 1.0)
-            return sum(w[k] * penalties(parts[k], active, p.ratio[k]) for k in range(3))
+        def total(parts: np.ndarray, over: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            """Log ratios to the best of each run of columns, weighted."""
+            n = np.diff(np.r_[starts, len(over)])
+            best = np.repeat(np.minimum.reduceat(parts, starts, axis=1), n, axis=1)
+            away = [np.clip(np.log((v + 1e-6) / (b + 1e-6)) / math.log(max(k, 1.000001)), 0, 1) for v, b, k in zip(parts, best, p.ratio, strict=True)]
+            w = p.weights
+            return w[0] * away[0] + w[1] * away[1] + np.where(over, w[2] * p.boost, w[2]) * away[2]
 
         over = np.array([s.overlap > 0 for s in seen], dtype=bool)
-        for i in range(len(self.tracks)):
-            if valid[i].any():
-                row[i] = np.where(valid[i], total(cost[:, i], valid[i], over), 880.0)
-
-        def conflict(d: int, rivals: list[int]) -> np.ndarray:
-            return total(cost[:, rivals, d], np.ones(len(rivals), dtype=bool), np.full(len(rivals), over[d]))
-
-        return deferred_match(row, valid, conflict, p.greedy), cost
+        wishes: dict[int, np.ndarray] = {}
+        costs: dict[int, np.ndarray] = {}
+        parts: dict[int, np.ndarray] = {}
+        for i, at, found in self._wishes(seen):
+            row = total(found, over[at], np.zeros(1, dtype=int))
+            order = np.lexsort((at, row))
+            order = order[row[order] <= p.greedy]
+            wishes[i], costs[i], parts[i] = at[order], row[order], found[:, order]
+        if not wishes:
+            return {}, {}
+        every = np.concatenate(list(parts.values()), axis=1)
+
+        def conflict(d: np.ndarray, t: np.ndarray, place: np.ndarray) -> np.ndarray:
+            return total(every[:, place], over[d], np.r_[0, np.flatnonzero(np.diff(d)) + 1])
+
+        held = _proposals(wishes, costs, conflict)
+        return {i: int(wishes[i][k]) for i, k in held.items()}, {i: parts[i][:, k] for i, k in held.items()}
 
     def step(self, seen: list[Seen]) -> list[tuple]:
         """One frame: state rows of the tracks that live after it."""
@@ -380,7 +479,7 @@ class Tracker:
             t.motion.predict(p)
             t.age += 1
             t.missed += 1
-        matches, cost = self._match(seen) if self.tracks and seen else ({}, None)
+        matches, cost = self._match(seen) if self.tracks and seen else ({}, {})
         now = {self.tracks[i].id for i in matches}
         for t in self.tracks:
             t.frozen = {s: n for s, n in t.frozen.items() if s not in now}
@@ -393,11 +492,11 @@ class Tracker:
         for i, j in matches.items():
             t, s = self.tracks[i], seen[j]
             risky = risky_overlaps(s, t, holder, p)
-            decision = decide_appearance(t, s, *cost[:, i, j], bool(risky), p)
-            moved = cost[0, i, j] <= p.update_motion
+            decision = decide_appearance(t, s, *cost[i], bool(risky), p)
+            moved = cost[i][0] <= p.update_motion
             if self.log is not None:
-                total = float(np.dot(p.weights, cost[:, i, j]))
-                self.log.append((t.id, s.det_id, *(float(c) for c in cost[:, i, j]), total, moved, decision, list(risky), sorted(t.frozen)))
+                total = float(np.dot(p.weights, cost[i]))
+                self.log.append((t.id, s.det_id, *(float(c) for c in cost[i]), total, moved, decision, list(risky), sorted(t.frozen)))
             if moved:
                 # Under an overlap the place is trusted a little, pose and vector not at all.
                 share = p.overlap_motion if risky else 1.0
@@ -407,7 +506,7 @@ class Tracker:
                 t.confirmed |= t.hits >= p.min_hits
                 t.sub |= t.hits >= p.min_hits_sub
                 t.center = (s.x, s.y)
-                if not risky and s.points is not None and cost[1, i, j] <= p.update_pose and joints(s) >= p.joints_update:
+                if not risky and s.points is not None and cost[i][1] <= p.update_pose and joints(s) >= p.joints_update:
                     t.points, t.conf = s.points, s.conf
             if decision == "strict" and moved:
                 t.vector = s.vector if t.vector is None else p.ema * t.vector + (1 - p.ema) * s.vector
@@ -426,22 +525,75 @@ class Tracker:
         self.tracks = [t for t in self.tracks if t.id not in gone and t.missed <= (p.max_confirmed_age if t.confirmed else p.max_age)]
         return [(t.id, dets.get(t.id, -1), t.id in dets, t.confirmed, t.hits, t.age, t.missed, *t.center) for t in self.tracks]
 
-    def _nearest(self, s: Seen, tracks: list[Track]) -> float:
-        return min((t.motion.distance(s.x, s.y, self.p) / self.p.birth_chi2 for t in tracks), default=math.inf)
-
-    def _pending_score(self, c: Pending, s: Seen) -> float | None:
-        """Distance and penalties of continuing a pending candidate by a detection, None where not allowed."""
+    def _nearest(self, seen: list[Seen], tracks: list[Track]) -> list[float]:
+        """The scaled distance of each detection to the nearest of the tracks."""
+        p, out = self.p, np.full(len(seen), math.inf)
+        x, y = (np.array([getattr(s, c) for s in seen], dtype=float) for c in "xy")
+        for t in tracks:
+            dx, dy = x - t.motion.x, y - t.motion.y
+            out = np.fmin(out, (dx * dx + dy * dy) / (t.motion.a + p.measure) / p.birth_chi2)
+        return out.tolist()
+
+    def _continued(self, rest: list[Seen]) -> list[tuple[int, int]]:
+        """Which pending candidate goes on by which detection, the lowest scores first.
+
+        Candidates alike in all that is scored are scored once, likewise detections.
+        In a large frame near pairs are settled before farther ones are looked at.
+        """
         p = self.p
-        motion = c.motion.distance(s.x, s.y, p) / p.birth_chi2
-        if motion > p.birth_motion:
-            return None
-        score = motion + pose_penalty(c.seen, s, p)
-        if c.vector is None or s.vector is None:
-            score += p.birth_appearance_missing
-        elif (1 - _cosine(c.vector, s.vector)) / 2 > p.birth_appearance_limit:
-            score += p.birth_appearance_bad
-        score += p.birth_near_existing if c.kind == "near" else 0.0
-        return score if p.birth_score <= 0 or score <= p.birth_score else None
+        kinds: dict[tuple, list[int]] = {}
+        for i, c in enumerate(self.pending):
+            m, own = c.motion, c.seen.points is not None or c.vector is not None
+            kinds.setdefault((m.x, m.y, m.a, c.kind == "near", i if own else -1), []).append(i)
+        places: dict[tuple, list[int]] = {}
+        for j, s in enumerate(rest):
+            places.setdefault((s.x, s.y, j if s.points is not None or s.vector is not None else -1), []).append(j)
+        left, right = list(kinds.values()), [places[k] for k in sorted(places)]
+        if not left or not right:
+            return []
+        x, y, a = (np.array([k[c] for k in kinds], dtype=float) for c in range(3))
+        extra = np.array([p.birth_near_existing if k[3] else 0.0 for k in kinds])
+        xs, ys = (np.array([k[c] for k in sorted(places)], dtype=float) for c in range(2))
+        # The least that is added to the distance.
+        points, vectors = (any(v is not None for v in (getattr(c, n) for c in some)) for n, some in (("points", rest), ("vector", rest)))
+        base = (0.0 if points else p.birth_pose_missing, 0.0 if vectors else p.birth_appearance_missing)
+        out: list[tuple[int, int]] = []
+        reaches = [p.birth_motion / 4**k for k in range(12, -1, -1)]
+        while reaches:
+            u, v = (np.array([k for k, some in enumerate(lists) if some], dtype=int) for lists in (left, right))
+            if not len(u) or not len(v):
+                break
+
+            def windows(reach: float) -> tuple[np.ndarray, np.ndarray]:
+                return _within(xs[v], x[u], np.sqrt(reach * p.birth_chi2 * (a[u] + p.measure)))  # noqa: B023
+
+            reach = reaches.pop(0)
+            low, high = windows(reach)
+            while reaches:
+                more = windows(reaches[0])
+                if (more[1] - more[0]).sum() > AT_ONCE:
+                    break
+                reach, (low, high) = reaches.pop(0), more
+            n = high - low
+            i = np.repeat(u, n)
+            j = v[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            dx, dy = xs[j] - x[i], ys[j] - y[i]
+            motion = (dx * dx + dy * dy) / (a[i] + p.measure) / p.birth_chi2
+            keep = motion <= reach
+            i, j, motion = i[keep], j[keep], motion[keep]
+            pose, look = np.full(len(i), p.birth_pose_missing), np.full(len(i), p.birth_appearance_missing)
+            if points or vectors:
+                for k, (c, s) in enumerate((self.pending[left[g][0]], rest[right[h][0]]) for g, h in zip(i.tolist(), j.tolist(), strict=True)):
+                    pose[k] = pose_penalty(c.seen, s, p)
+                    if c.vector is not None and s.vector is not None:
+                        look[k] = p.birth_appearance_bad if (1 - _cosine(c.vector, s.vector)) / 2 > p.birth_appearance_limit else 0.0
+            score = motion + pose + look + extra[i]
+            # Pairs out of reach score no less than this.
+            keep = score < (reach + base[0]) + base[1] if reaches else np.ones(len(i), dtype=bool)
+            if p.birth_score > 0:
+                keep &= score <= p.birth_score
+            out += ascending_pairs(left, right, i[keep], j[keep], score[keep])
+        return out
 
     def _births(self, rest: list[Seen]) -> None:
         p = self.p
@@ -449,31 +601,31 @@ class Tracker:
         for c in self.pending:
             c.motion.predict(p)
             c.age += 1
-        pairs = sorted((score, i, j) for i, c in enumerate(self.pending) for j, s in enumerate(rest) if (score := self._pending_score(c, s)) is not None)
         used_c: set[int] = set()
         used_s: set[int] = set()
-        for _, i, j in pairs:
-            if i not in used_c and j not in used_s:
-                used_c.add(i)
-                used_s.add(j)
-                c = self.pending[i]
-                c.motion.update(rest[j].x, rest[j].y, p)
-                c.seen, c.hits, c.misses = rest[j], c.hits + 1, 0
-                if rest[j].vector is not None:
-                    c.vector = rest[j].vector if c.vector is None else p.ema * c.vector + (1 - p.ema) * rest[j].vector
+        for i, j in self._continued(rest):
+            used_c.add(i)
+            used_s.add(j)
+            c = self.pending[i]
+            c.motion.update(rest[j].x, rest[j].y, p)
+            c.seen, c.hits, c.misses = rest[j], c.hits + 1, 0
+            if rest[j].vector is not None:
+                c.vector = rest[j].vector if c.vector is None else p.ema * c.vector + (1 - p.ema) * rest[j].vector
         ready = []
+        blocked = [c for c in self.pending if c.kind == "blocked"]
+        distance = {id(c): away for c, away in zip(blocked, self._nearest([c.seen for c in blocked], stable), strict=True)}
         for i, c in enumerate(self.pending):
             c.misses += i not in used_c
             if c.kind == "blocked":  # set free of what it stood too close to; the hits it needs stay
-                away = self._nearest(c.seen, stable)
+                away = distance[id(c)]
                 c.kind = c.kind if away <= p.close else "near" if away <= p.near else "normal"
             if i in used_c and c.hits >= c.need:
                 ready.append(c)
-        self.pending = [c for c in self.pending if c not in ready and c.age <= p.birth_age and c.misses <= p.birth_misses]
-        for j, s in enumerate(rest):
+        born = {id(c) for c in ready}
+        self.pending = [c for c in self.pending if id(c) not in born and c.age <= p.birth_age and c.misses <= p.birth_misses]
+        for j, (s, nearest) in enumerate(zip(rest, self._nearest(rest, stable), strict=True)):
             if j in used_s:
                 continue
-            nearest = self._nearest(s, stable)
             if self.easy < p.easy_births:
                 kind, need = "easy_start", p.easy_hits
                 self.easy += 1
@@ -514,11 +666,11 @@ def _coverage(value) -> float:
 
 
 def _frame(rows: pd.DataFrame) -> list[Seen]:
-    out = []
+    out, posed, dressed = [], "keypoints" in rows, "e_app" in rows
     for r in rows.sort_values("det_id").to_dict("records"):
         if pd.isna(r["det_id"]) or pd.isna(r["center_x"]) or pd.isna(r["center_y"]):
             continue  # a frame without detections, or a detection without a place
-        out.append(Seen(int(r["det_id"]), float(r["center_x"]), float(r["center_y"]), _array(r.get("keypoints")), _array(r.get("kp_conf")), _array(r.get("e_app")), _coverage(r.get("e_app_coverage", 1.0)), float(r.get("max_overlap_iou") or 0.0), tuple(r["risky"]) if r.get("risky") is not None else (), _overlaps(r.get("overlap_relations")), _mask(r.get("e_app_valid_mask")), "keypoints" in rows, "e_app" in rows))
+        out.append(Seen(int(r["det_id"]), float(r["center_x"]), float(r["center_y"]), _array(r.get("keypoints")), _array(r.get("kp_conf")), _array(r.get("e_app")), _coverage(r.get("e_app_coverage", 1.0)), float(r.get("max_overlap_iou") or 0.0), tuple(r["risky"]) if r.get("risky") is not None else (), _overlaps(r.get("overlap_relations")), _mask(r.get("e_app_valid_mask")), posed, dressed))
     return out
 
 
