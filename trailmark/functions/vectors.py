@@ -27,6 +27,13 @@ def masked_cosine(a: Column, b: Column, mask: Column) -> Column:
     return cosine(keep(a), keep(b))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded as SQL engines do: what is scaled by a power of ten goes to the nearest
+    whole number, halves away from 0, and a small negative value becomes -0.0."""
+    near = F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+    return F.when(near == 0, x * F.lit(0.0)).otherwise(near)
+
+
 def once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed one time, also where ``use`` needs it
     inside a lambda (there Spark would compute an expression again for each element)."""

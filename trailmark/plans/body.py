@@ -28,7 +28,7 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounded(v: Column) -> Column:
-    return F.transform(v, lambda x: F.round(x, 6))
+    return F.transform(v, lambda x: V.rounded(x))
 
 
 # ------------------------------------------------------------- poses
@@ -53,7 +53,7 @@ def q_pose_centred(spark: SparkSession, d: str) -> DataFrame:
     c = people(spark, d).select("vec_id", V.centred(F.col("kp"), G.MID_HIP).alias("c"))
 
     def total(axis: int) -> Column:
-        return F.round(F.aggregate("c", F.lit(0.0), lambda s, p: s + p[axis]), 6)
+        return V.rounded(F.aggregate("c", F.lit(0.0), lambda s, p: s + p[axis]))
 
     return c.select("vec_id", total(0).alias("x"), total(1).alias("y"))
 
